@@ -142,79 +142,131 @@ def calendar_transitions(slices: DataFrame) -> DataFrame:
 
 
 def route_grid(slices: DataFrame, windows: Sequence[str] = K.WINDOWS, min_pairs: int = 1) -> DataFrame:
-    """Dense results: every route of a date in every target window, and the status of the route."""
-    routes = slices.select("observation_date", "route").distinct()
-    grid = routes.withColumn("booking_window", F.explode(F.array(*[F.lit(w) for w in windows])))
-    dense = _with_status(grid.join(slices.drop("index_value", "status", "warnings"), SLICE, "left"), K.BASE_INDEX, min_pairs)
+    """Dense results: every route of a date in every target window, and the status of the route.
+
+    The slices of a route are gathered (at most one per window) and laid out again, so the quotes are read once.
+    """
+    stats = [c for c in slices.columns if c not in (*SLICE, "index_value", "status", "warnings")]
+    per_route = slices.groupBy("observation_date", "route").agg(
+        F.map_from_entries(F.collect_list(F.struct("booking_window", F.struct(*stats)))).alias("_by_window")
+    )
+    rows = per_route.withColumn("booking_window", F.explode(F.array(*[F.lit(w) for w in windows])))
+    rows = rows.withColumn("_s", F.col("_by_window")[F.col("booking_window")]).select(*SLICE, "_s.*")
     any_success = F.max(F.col("status") == SUCCESS).over(Window.partitionBy("observation_date", "route"))
-    return dense.withColumn("route_status", F.when(any_success, SUCCESS).otherwise(INSUFFICIENT))
+    return _with_status(rows, K.BASE_INDEX, min_pairs).withColumn(
+        "route_status", F.when(any_success, SUCCESS).otherwise(INSUFFICIENT)
+    )
 
 
 def fixed_base_slices(
-    observations: DataFrame, base_date: Column, include_travel_date: bool = False, allow_suspect: bool = False,
+    observations: DataFrame, base_date: Column | None = None, include_travel_date: bool = False, allow_suspect: bool = False,
     min_pairs: int = 1,
 ) -> DataFrame:
-    """Slice results of every later date against the quotes of one base date."""
+    """Slice results of every later date against the quotes of one base date (the first when none is given)."""
     from .pairing import _priced
 
+    days = observations.agg(F.array_sort(F.collect_set("observation_date"))).scalar()  # one entry per calendar day
+    base = F.array_min(days) if base_date is None else base_date
     best = (
         _priced(observations, include_travel_date, allow_suspect)
         .groupBy(*SLICE, "fingerprint")
         .agg(F.min("fare").alias("fare"), F.count(F.lit(1)).alias("raw"))
+        .withColumn("_base", base)
+        .filter(F.col("observation_date") >= F.col("_base"))
     )
-    is_base = F.col("observation_date") == base_date
-    base, later = best.filter(is_base), best.filter(F.col("observation_date") > base_date)
-    product = ["route", "booking_window", "fingerprint"]
-    pairs = later.filter("fare is not null").join(
-        base.filter("fare is not null").select(*product, F.col("fare").alias("base_fare")), product
-    )
+    # A product has one row per day, so its window is no longer than the calendar.
+    product = Window.partitionBy("route", "booking_window", "fingerprint")
+    is_base = F.col("observation_date") == F.col("_base")
+    best = best.withColumn("base_fare", F.max(F.when(is_base, F.col("fare"))).over(product))
     relative = finite(F.try_divide("fare", "base_fare"))
     usable = F.when(relative > 0, relative)
-    stats = pairs.groupBy(*SLICE).agg(
-        F.exp(F.avg(F.ln(usable))).alias("geometric_mean"), F.count(usable).alias("num_matched_pairs")
+    stats = best.groupBy(*SLICE, "_base").agg(
+        F.exp(F.avg(F.ln(usable))).alias("geometric_mean"),
+        F.count(usable).alias("num_matched_pairs"),
+        F.sum("raw").alias("num_current_observations"),
     )
-    base_size = base.groupBy("route", "booking_window").agg(F.sum("raw").alias("num_previous_observations"))
-    now_size = later.groupBy(*SLICE).agg(F.sum("raw").alias("num_current_observations"))
-    days = now_size.select("observation_date").distinct()
-    base_on_days = (
-        base_size.withColumn("day", F.explode(days.agg(F.collect_list("observation_date")).scalar()))
-        .withColumnRenamed("day", "observation_date")
+    # Base routes appear on every later day, quoted or not: gather the days of a slice and lay them out again.
+    fields = ["geometric_mean", "num_matched_pairs", "num_current_observations"]
+    per_slice = stats.groupBy("route", "booking_window", "_base").agg(
+        F.map_from_entries(F.collect_list(F.struct("observation_date", F.struct(*fields)))).alias("_by_day")
+    ).withColumn("num_previous_observations", F.col("_by_day")[F.col("_base")]["num_current_observations"])
+    rows = per_slice.withColumn("observation_date", F.explode(days)).filter(F.col("observation_date") > F.col("_base"))
+    rows = rows.withColumn("_s", F.col("_by_day")[F.col("observation_date")]).filter(
+        F.col("_s").isNotNull() | F.col("num_previous_observations").isNotNull()
     )
-    joined = now_size.join(base_on_days, SLICE, "full_outer").join(stats, SLICE, "left")
-    return _with_status(joined, K.BASE_INDEX, min_pairs)
+    return _with_status(rows.select(*SLICE, "num_previous_observations", "_s.*"), K.BASE_INDEX, min_pairs)
 
 
 # ------------------------------------------------------------------ national
 
 
+def _basket_rows(grid: DataFrame, weights: DataFrame) -> DataFrame:
+    """Grid rows with ``weight`` (null outside the basket) and ``_idx``, the value of a successful slice."""
+    value = F.when((F.col("status") == SUCCESS) & F.col("index_value").isNotNull(), F.col("index_value"))
+    return grid.withColumn("_idx", value).join(weights.select("route", "weight"), "route", "left")
+
+
+def _group_sums() -> dict[str, Column]:
+    """Aggregates of a (date, window) group: covered weight, weighted sums, basket routes seen."""
+    seen = F.col("_idx").isNotNull()
+    weight = F.coalesce("weight", F.lit(0.0))
+    positive = seen & (weight > 0)
+    return {
+        "_cov": F.coalesce(F.sum(F.when(seen, weight)), F.lit(0.0)),
+        "_full": F.sum(F.when(seen, weight * F.col("_idx"))),
+        "_part": F.sum(F.when(positive, weight * F.col("_idx"))),
+        "_positive": F.sum(F.when(positive, weight)),
+    }
+
+
+def _seen_routes() -> Column:
+    # Routes of the basket only: the set is no longer than the configured basket.
+    return F.collect_set(F.when(F.col("_idx").isNotNull() & F.col("weight").isNotNull(), F.col("route")))
+
+
+def _coverage_ratio() -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_cov")))
+
+
+def _basket_list(weights: DataFrame) -> Column:
+    """Routes of the basket in their configured order."""
+    return weights.agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "route"))), lambda s: s["route"])
+    ).scalar()
+
+
+def _window_sums(rows: DataFrame) -> DataFrame:
+    group = Window.partitionBy("observation_date", "booking_window")
+    seen = F.col("_idx").isNotNull()
+    weight = F.coalesce("weight", F.lit(0.0))
+    return rows.withColumns(
+        {
+            "_cov": F.coalesce(F.sum(F.when(seen, weight)).over(group), F.lit(0.0)),
+            "_positive": F.sum(F.when(seen & (weight > 0), weight)).over(group),
+        }
+    )
+
+
+def _subbasket_share() -> Column:
+    return F.coalesce(F.try_divide(F.when(F.col("weight") > 0, F.col("weight")), F.col("_positive")), F.lit(0.0))
+
+
 def observed_weights(grid: DataFrame, weights: DataFrame) -> DataFrame:
     """Successful slices with their basket weight and the sub-basket weight rescaled to one."""
-    found = grid.filter((F.col("status") == SUCCESS) & F.col("index_value").isNotNull())
-    rows = route_weight(found.select(*SLICE, "index_value"), weights)
-    group = Window.partitionBy("observation_date", "booking_window")
-    positive = F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0)
-    return rows.withColumn("covered_weight", F.sum("weight").over(group)).withColumn(
-        "subbasket_weight", F.coalesce(F.try_divide(positive, F.sum(positive).over(group)), F.lit(0.0))
+    rows = _window_sums(_basket_rows(grid, weights)).filter("_idx is not null")
+    return rows.select(
+        *SLICE, "index_value", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.col("_cov").alias("covered_weight"),
+        _subbasket_share().alias("subbasket_weight"),
     )
 
 
 def weight_coverage(grid: DataFrame, weights: DataFrame) -> DataFrame:
     """Coverage ratio with the present and missing basket routes per (date, window)."""
-    found = F.when((F.col("status") == SUCCESS) & F.col("index_value").isNotNull(), F.col("route"))
-    basket = weights.select("route", "weight", F.col("ordinal"))
-    keys = grid.select("observation_date", "booking_window", found.alias("route"))
-    joined = keys.join(basket, "route", "left")
-    # Routes of the basket only: the sets are no longer than the configured basket.
-    seen = joined.groupBy("observation_date", "booking_window").agg(
-        F.coalesce(F.sum("weight"), F.lit(0.0)).alias("_cov"),
-        F.collect_set(F.when(F.col("weight").isNotNull(), F.col("route"))).alias("_seen"),
+    rows = _basket_rows(grid, weights).groupBy("observation_date", "booking_window").agg(
+        _group_sums()["_cov"].alias("_cov"), _seen_routes().alias("_seen")
     )
-    ordered = weights.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "route"))), lambda s: s["route"])
-    ).scalar()
-    return seen.withColumn("_all", ordered).select(
-        "observation_date", "booking_window",
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_cov"))).alias("coverage_ratio"),
+    return rows.withColumn("_all", _basket_list(weights)).select(
+        "observation_date", "booking_window", _coverage_ratio().alias("coverage_ratio"),
         F.filter("_all", lambda r: F.array_contains("_seen", r)).alias("present_routes"),
         F.filter("_all", lambda r: ~F.array_contains("_seen", r)).alias("missing_routes"),
     )
@@ -228,29 +280,39 @@ def _listed(routes: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(routes, lambda r: F.concat(F.lit("'"), r, F.lit("'"))), ", "), F.lit("]"))
 
 
+def _complete() -> Column:
+    return F.col("coverage_ratio") >= 1.0 - K.COVERAGE_TOLERANCE
+
+
+def _blocked(allow_partial: bool, min_coverage: float) -> Column:
+    """Why a group gets no national index: no, incomplete or low coverage; null when it gets one."""
+    cov = F.col("coverage_ratio")
+    chain = F.when(cov == 0.0, "none")
+    if not allow_partial:
+        chain = chain.when(~_complete(), "strict")
+    return chain.when(cov < min_coverage, "low")
+
+
+def _weight_errors(weights: DataFrame) -> Column:
+    return validate_weights(weights).agg(F.flatten(F.collect_list("errors"))).scalar()
+
+
 def national_index(
     grid: DataFrame, weights: DataFrame, allow_partial: bool = False, min_coverage: float = K.MIN_COVERAGE
 ) -> DataFrame:
-    """Weighted national index per (date, window) with coverage policy, status and warnings."""
-    sums = (
-        observed_weights(grid, weights)
-        .groupBy("observation_date", "booking_window")
-        .agg(
-            F.sum(F.col("weight") * F.col("index_value")).alias("_full"),
-            F.sum(F.col("subbasket_weight") * F.col("index_value")).alias("_part"),
-        )
-    )
-    coverage = weight_coverage(grid, weights)
-    check = validate_weights(weights)
-    errors = check.agg(F.flatten(F.collect_list("errors"))).scalar()
+    """Weighted national index per (date, window) with coverage policy, status and warnings, in one aggregation."""
+    sums = {name: value.alias(name) for name, value in _group_sums().items()}
     rows = (
-        coverage.join(sums, ["observation_date", "booking_window"], "left")
-        .withColumn("_errors", errors)
-        .withColumn("weight_version", check.agg(F.max("version")).scalar())
+        _basket_rows(grid, weights)
+        .groupBy("observation_date", "booking_window")
+        .agg(*sums.values(), _seen_routes().alias("_seen"))
+        .withColumns({"_errors": _weight_errors(weights), "_all": _basket_list(weights),
+                      "weight_version": weights.agg(F.max("version")).scalar(), "coverage_ratio": _coverage_ratio()})
+        .withColumn("missing_routes", F.filter("_all", lambda r: ~F.array_contains("_seen", r)))
+        .withColumn("_blocked", _blocked(allow_partial, min_coverage))
     )
-    cov, complete = F.col("coverage_ratio"), F.col("coverage_ratio") >= 1.0 - K.COVERAGE_TOLERANCE
+    cov, complete = F.col("coverage_ratio"), _complete()
     failed = F.size("_errors") > 0
-    blocked = F.when(cov == 0.0, "none").when((not allow_partial) & ~complete, "strict").when(cov < min_coverage, "low")
     missing = F.concat(
         F.lit("Missing route data for weighted routes: "), _listed(F.col("missing_routes")), F.lit(". Coverage: "), _percent(cov)
     )
@@ -268,9 +330,9 @@ def national_index(
         )
     )
     open_ = ~failed & F.col("_blocked").isNull()
-    return rows.withColumn("_blocked", blocked).select(
+    return rows.select(
         "observation_date", "booking_window",
-        F.when(open_ & complete, F.col("_full")).when(open_, F.col("_part")).alias("national_index"),
+        F.when(open_ & complete, F.col("_full")).when(open_, F.try_divide("_part", "_positive")).alias("national_index"),
         F.when(failed, 0.0).otherwise(cov).alias("coverage_ratio"),
         F.when(failed, "FAILED").when(F.col("_blocked").isNotNull(), INSUFFICIENT)
         .when(complete, SUCCESS).otherwise("PARTIAL_COVERAGE").alias("status"),
@@ -311,24 +373,24 @@ def stored_previous_index(grid: DataFrame, weights: DataFrame, stored: DataFrame
     ).drop("_stored", "_start")
 
 
-def contributions(grid: DataFrame, national: DataFrame, weights: DataFrame) -> DataFrame:
+def contributions(
+    grid: DataFrame, weights: DataFrame, allow_partial: bool = False, min_coverage: float = K.MIN_COVERAGE
+) -> DataFrame:
     """Level, point and percentage-share contributions of the routes behind each national index.
 
     ``grid`` carries ``previous_index``.
     """
-    used = national.filter(F.col("status").isin(SUCCESS, "PARTIAL_COVERAGE")).select(
-        "observation_date", "booking_window", F.col("status").alias("_national")
+    rows = (
+        _window_sums(_basket_rows(grid, weights))
+        .withColumns({"coverage_ratio": _coverage_ratio(), "_errors": _weight_errors(weights)})
+        .filter(_blocked(allow_partial, min_coverage).isNull() & (F.size("_errors") == 0) & F.col("_idx").isNotNull())
     )
-    rows = observed_weights(grid, weights).join(
-        grid.select(*SLICE, "previous_index"), SLICE, "left"
-    ).join(used, ["observation_date", "booking_window"])
-    weight = F.when(F.col("_national") == SUCCESS, F.col("weight")).otherwise(F.col("subbasket_weight"))
-    point = F.col("weight") * (F.col("route_index") - F.col("previous_index"))
+    effective = F.when(_complete(), F.coalesce("weight", F.lit(0.0))).otherwise(_subbasket_share())
     total = F.sum("point_contribution").over(Window.partitionBy("observation_date", "booking_window"))
     return (
-        rows.select(*SLICE, weight.alias("weight"), F.col("index_value").alias("route_index"), "previous_index")
+        rows.select(*SLICE, effective.alias("weight"), F.col("_idx").alias("route_index"), "previous_index")
         .withColumn("level_contribution", F.col("weight") * F.col("route_index"))
-        .withColumn("point_contribution", point)
+        .withColumn("point_contribution", F.col("weight") * (F.col("route_index") - F.col("previous_index")))
         .withColumn("_total", total)
         .withColumn(
             "percentage_share_of_change",
@@ -358,7 +420,10 @@ def execution_checksum(
     shown = F.coalesce(F.format_string("%.6f", "national_index"), F.lit("null"))
     shown = F.when(F.col("national_index").isNull(), "null").otherwise(shown)
     per_date = national.groupBy("observation_date").agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat(F.col("booking_window"), F.lit("="), shown))), ",").alias("_indices"),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("booking_window", shown.alias("v")))), lambda e: F.concat_ws("=", e["booking_window"], e["v"])),
+            ",",
+        ).alias("_indices"),
         F.max("weight_version").alias("weight_version"),
     )
     rows = per_date.join(counts, "observation_date").withColumn(

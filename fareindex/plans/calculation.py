@@ -49,7 +49,8 @@ def _date_counts(grid: DataFrame, previous_date: Column) -> DataFrame:
 
 def _finish(grid: DataFrame, weights: DataFrame, allow_partial: bool, min_coverage: float, previous_date: Column) -> IndexRun:
     national = ix.national_index(grid, weights, allow_partial, min_coverage)
-    return IndexRun(grid, national, ix.contributions(grid, national, weights), _date_counts(grid, previous_date))
+    parts = ix.contributions(grid, weights, allow_partial, min_coverage)
+    return IndexRun(grid, national, parts, _date_counts(grid, previous_date))
 
 
 def historical_index(
@@ -84,11 +85,10 @@ def fixed_base_index(
     allow_partial: bool = True, min_coverage: float = K.MIN_COVERAGE, min_pairs: int = 1,
 ) -> IndexRun:
     """Every later date against the base date; contributions use the last known route index."""
-    if base_date is None:
-        base_date = observations.agg(F.min("observation_date")).scalar()
     slices = ix.fixed_base_slices(observations, base_date, min_pairs=min_pairs)
     grid = ix.carried_previous_index(ix.route_grid(slices, windows, min_pairs), weights)
-    return _finish(grid, weights, allow_partial, min_coverage, base_date)
+    first = observations.agg(F.min("observation_date")).scalar() if base_date is None else base_date
+    return _finish(grid, weights, allow_partial, min_coverage, first)
 
 
 def calendar_gaps(observations: DataFrame) -> DataFrame:

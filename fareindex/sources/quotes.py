@@ -22,7 +22,7 @@ def complete_raw(df: DataFrame) -> DataFrame:
     base, taxes, charges = fares.split_total(
         F.col("total_fare"), F.col("base_fare"), F.col("taxes"), F.col("mandatory_charges"), tolerance=None
     )
-    stamp = F.date_format("observation_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    stamp = F.date_format("observation_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
     identity = F.concat_ws(
         "|", F.concat_ws("-", "origin", "destination"), shown("travel_date"), shown("airline"), shown("flight_number"),
