@@ -4,6 +4,6 @@
 def load():
     """The registry with every query registered."""
     from . import registry, tables  # noqa: F401
-    from . import cleaning_queries, index_queries, signal_queries  # noqa: F401
+    from . import cleaning_queries, index_queries, signal_queries, read_queries  # noqa: F401  (each uses the tables before it)
 
     return registry

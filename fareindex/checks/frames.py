@@ -47,14 +47,12 @@ def results(spark, sf) -> DataFrame:
 
 def route_results(spark, sf) -> DataFrame:
     run = history(spark, sf)
-    weights = ix.demo_weights(spark)
-    rows = stores.route_rows(run.grid.withColumn("index_value", F.col("index_value")), run.contributions, weights, "A", F.lit(None).cast("timestamp"))
-    exact = run.grid.select("observation_date", "booking_window", "route", F.col("index_value").alias("_exact"))
-    rows = rows.join(exact, ["observation_date", "booking_window", "route"])
-    rows = _runs(rows)
-    return rows.select(
-        "observation_date", "booking_window", "calculation_version", "route", F.bround(F.col("_exact") * F.col("_f"), 4).alias("index_value"),
-        "status", "weight", "contribution", "calculation_timestamp",
+    key = ["observation_date", "booking_window", "route"]
+    parts = run.contributions.select(*key, F.bround(F.coalesce("point_contribution", "level_contribution"), 4).alias("contribution"))
+    rows = run.grid.select(*key, "index_value", "status").join(parts, key, "left").join(ix.demo_weights(spark).select("route", "weight"), "route", "left")
+    return _runs(rows).select(
+        "observation_date", "booking_window", "calculation_version", "route",
+        F.bround(F.col("index_value") * F.col("_f"), 4).alias("index_value"), "status", "weight", "contribution", "calculation_timestamp",
     )
 
 

@@ -62,10 +62,15 @@ def storable_observations(normalized: DataFrame) -> DataFrame:
     )
 
 
-def persist_observations(normalized: DataFrame, path: str) -> int:
-    """Append the observations that are not stored yet; returns how many were added."""
+def persist_observations(normalized: DataFrame, path: str, marked: bool = True) -> int:
+    """Append the observations that are not stored yet; returns how many were added.
+
+    ``marked`` states that later copies are EXCLUDED already, as the cleaning leaves them; otherwise the earliest copy of
+    each key is taken here.
+    """
     spark = normalized.sparkSession
-    batch = storable_observations(unique_observations(normalized.filter("quality_status <> 'EXCLUDED'")))
+    kept = normalized.filter("quality_status <> 'EXCLUDED'")
+    batch = storable_observations(kept if marked else unique_observations(kept))
     # The days of a batch are few; naming them lets the scan skip all other partitions of the stored table.
     days = [r[0] for r in normalized.select("observation_date").distinct().collect()]
     stored = read_table(spark, path, STORED_FARES).filter(F.col("observation_date").isin(days))

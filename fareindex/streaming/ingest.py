@@ -1,7 +1,9 @@
 """Continuous form of the observation sink.
 
-New raw files are cleaned row by row, repeats within the watermark are dropped by the state store, and each micro-batch
-goes through the same keyed append as a batch run, which removes repeats that arrive later than the watermark.
+New raw files are cleaned row by row and each micro-batch goes through the same keyed append as a batch run. The stored
+table itself is the memory of what has been seen, so a repeat is removed however late it comes, a replayed batch adds
+nothing, and no late row is lost. A watermark may be given to drop repeats earlier, in the state store; rows older than
+the watermark are then dropped by Spark, so it must cover the longest delay of the feed.
 """
 
 from __future__ import annotations
@@ -17,23 +19,25 @@ def raw_stream(spark: SparkSession, path: str, schema: str = RAW_QUOTES, files_p
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def cleaned_stream(raw: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """Accepted, normalized quotes, each duplicate key once within the watermark."""
-    return accepted(raw).withWatermark("observation_timestamp", watermark).dropDuplicatesWithinWatermark(list(DUPLICATE_KEY))
+def cleaned_stream(raw: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Accepted, normalized quotes; with a watermark each duplicate key once within it."""
+    rows = accepted(raw)
+    if watermark is None:
+        return rows
+    return rows.withWatermark("observation_timestamp", watermark).dropDuplicatesWithinWatermark(list(DUPLICATE_KEY))
 
 
-def start_ingest(raw: DataFrame, table_path: str, checkpoint: str, watermark: str = "2 days", available_now: bool = True):
+def start_ingest(raw: DataFrame, table_path: str, checkpoint: str, watermark: str | None = None, available_now: bool = True):
     """Start the ingest; with ``available_now`` it stops after the files that are there."""
     def write(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            persist_observations(batch, table_path)
+        persist_observations(batch, table_path, marked=False)
 
     writer = cleaned_stream(raw, watermark).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
 
-def run_ingest(raw: DataFrame, table_path: str, checkpoint: str, watermark: str = "2 days") -> None:
+def run_ingest(raw: DataFrame, table_path: str, checkpoint: str, watermark: str | None = None) -> None:
     """Ingest what is there and return."""
     query = start_ingest(raw, table_path, checkpoint, watermark)
     try:
