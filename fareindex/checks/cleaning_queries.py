@@ -258,7 +258,7 @@ def _(spark, sf):
 @query("d3_iqr_bounds", f"SELECT {D('day', 'observation_date')}, n_values, {R('q1')}, {R('q3')}, {R('lower_bound')}, {R('upper_bound')} FROM bounds")
 def _(spark, sf):
     good = cl.accepted(td.flawed_quotes(spark, sf))
-    return cl.iqr_bounds(cl.mark_duplicates(good).filter("quality_status = 'VALID'"))
+    return cl.iqr_bounds(cl.kept_fares(good))
 
 
 @query("d3_quantiles_by_route", f"SELECT route, count(*) AS n_values, {R('quantile_cont(comparable_fare, 0.1)', 'p10')}, {R('quantile_cont(comparable_fare, 0.5)', 'p50')}, {R('quantile_cont(comparable_fare, 0.99)', 'p99')} FROM obs GROUP BY route")
@@ -268,8 +268,8 @@ def _(spark, sf):
 
 @query("d4_mark_outliers", "SELECT ingest_seq, quality_status, quality_reason FROM cleaned WHERE quality_status <> 'EXCLUDED'")
 def _(spark, sf):
-    good = cl.mark_duplicates(cl.accepted(td.flawed_quotes(spark, sf)))
-    return cl.mark_outliers(good).filter("quality_status <> 'EXCLUDED'").select("ingest_seq", "quality_status", "quality_reason")
+    good = cl.accepted(td.flawed_quotes(spark, sf))
+    return cl.mark_outliers(cl.mark_duplicates(good), bounds=cl.iqr_bounds(cl.kept_fares(good))).filter("quality_status <> 'EXCLUDED'").select("ingest_seq", "quality_status", "quality_reason")
 
 
 @query("d5_clean_quotes", f"SELECT ingest_seq, route, {D('day', 'observation_date')}, win AS booking_window, {R('fare', 'comparable_fare')}, canonical AS source, fingerprint, quality_status, quality_reason FROM cleaned")

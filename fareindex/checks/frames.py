@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.local import small_table
 from ..operators import cleaning, index as ix, signals
 from ..plans import calculation
 from ..schemas import WEIGHTS
 from ..sources import stores, testdata as td
 
-WIDE = {"DEL-BOM": 0.3, "BOM-DEL": 0.2, "DEL-BLR": 0.15, "BLR-DEL": 0.1, "BOM-BLR": 0.05, "DEL-GOI": 0.2}
+WIDE = {"DEL-BOM": 0.29, "BOM-DEL": 0.22, "DEL-BLR": 0.14, "BLR-DEL": 0.12, "BOM-BLR": 0.06, "DEL-GOI": 0.17}
 
 
 def wide_weights(spark: SparkSession) -> DataFrame:
     """A basket with one route that is never observed and without one that is."""
-    return spark.createDataFrame([(r, w, "WIDE_V1", "USER_CONFIGURED", None, False, i) for i, (r, w) in enumerate(WIDE.items())], WEIGHTS)
+    return small_table(spark, [(r, w, "WIDE_V1", "USER_CONFIGURED", None, False, i) for i, (r, w) in enumerate(WIDE.items())], WEIGHTS)
 
 
 def history(spark, sf, partial=True, wide=False):
@@ -57,7 +58,7 @@ def route_results(spark, sf) -> DataFrame:
 
 
 def routes(spark, sf) -> DataFrame:
-    return stores.missing_routes(td.index_observations(spark, sf), spark.createDataFrame([], stores.ROUTES_SCHEMA))
+    return stores.missing_routes(td.index_observations(spark, sf), small_table(spark, [], stores.ROUTES_SCHEMA))
 
 
 def anomalies(spark, sf) -> DataFrame:

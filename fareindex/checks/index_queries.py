@@ -173,7 +173,7 @@ def _(spark, sf):
     return fr.history(spark, sf, wide=True).national
 
 
-@query("a5_subbasket_weights", f"SELECT {SL}, {R('weight')} FROM natw_eff")
+@query("a5_subbasket_weights", f"SELECT {SL}, {R('coalesce(CASE WHEN weight > 0 THEN weight ELSE 0 END / nullif(sum(CASE WHEN weight > 0 THEN weight ELSE 0 END) OVER (PARTITION BY observation_date, booking_window), 0), 0)', 'weight')} FROM natw_w")
 def _(spark, sf):
     rows = ix.observed_weights(fr.history(spark, sf).grid, fr.wide_weights(spark))
     return rows.select(*SL3, F.col("subbasket_weight").alias("weight"))
@@ -399,10 +399,17 @@ def _(spark, sf):
     return features.movement(_daily(spark, sf), "current_fare").select(*SL3, "previous_value", "percentage_change", "acceleration")
 
 
-@query("w4_rolling_features", f"SELECT {SL}, {R('round_even(rmean, 2)', 'rolling_mean')}, {R('round_even(rvol, 2)', 'rolling_volatility')} FROM moving2")
+@query("w4_rolling_features", f"SELECT {SL}, {R('rmean', 'rolling_mean')}, {R('rmedian', 'rolling_median')}, {R('rvol', 'rolling_volatility')} FROM moving2")
 def _(spark, sf):
-    rows = features.rolling(_daily(spark, sf), "current_fare")
-    return rows.select(*SL3, "rolling_mean", "rolling_volatility")
+    # The features are rounded to cents; half cents round differently in the two engines, so the exact values are compared
+    # wherever the feature lies within half a cent of them.
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("route", "booking_window").orderBy("observation_date").rowsBetween(-6, 0)
+    v = F.col("current_fare")
+    exact = {"rolling_mean": F.avg(v), "rolling_median": F.percentile(v, F.lit(0.5)), "rolling_volatility": F.stddev_pop(v)}
+    rows = features.rolling(_daily(spark, sf), "current_fare").withColumns({f"_{n}": e.over(w) for n, e in exact.items()})
+    return rows.select(*SL3, *[F.when(F.abs(F.col(n) - F.col(f"_{n}")) < 0.0051, F.col(f"_{n}")).alias(n) for n in exact])
 
 
 @query("w5_freshness_hours", f"SELECT {SL}, {R('round(greatest(epoch_us(CAST(observation_date + 1 AS TIMESTAMP)) - epoch_us(latest), 0) / 3.6e9, 2)', 'freshness_hours')} FROM daily")

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
+from ..functions.local import small_table
 from ..operators import cleaning as cl, index as ix, readside as rs
 from ..plans import jobs
 from ..schemas import INDEX_RESULTS, STORED_FARES
@@ -154,7 +155,7 @@ def _(spark, sf):
 @query("k2_missing_routes", "SELECT route AS code, substr(route, 1, 3) AS origin, substr(route, 5, 3) AS destination, TRUE AS active FROM codes WHERE substr(route, 1, 3) <> 'DEL'")
 def _(spark, sf):
     obs = td.index_observations(spark, sf)
-    known = stores.missing_routes(obs, spark.createDataFrame([], stores.ROUTES_SCHEMA)).filter("origin = 'DEL'")
+    known = stores.missing_routes(obs, small_table(spark, [], stores.ROUTES_SCHEMA)).filter("origin = 'DEL'")
     return stores.missing_routes(obs, known)
 
 

@@ -7,6 +7,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..session import apply_settings
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 CTES: dict[str, str] = {}
@@ -72,7 +74,7 @@ def with_ctes(text: str) -> str:
 def query(name: str, sql: str | None = None):
     """Register a query; without SQL only its rows are checked."""
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: present(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: present(fn(apply_settings(spark), sf_dir))
         if sql is not None:
             ORACLE[name] = with_ctes(sql)
         return fn

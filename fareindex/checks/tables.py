@@ -25,8 +25,8 @@ cte("windows", f"SELECT * FROM (VALUES {WINDOW_VALUES}) t(booking_window, lead)"
 cte("aliases", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{c}')" for a, c in K.SOURCE_ALIASES.items()) + ") t(alias, canonical)")
 cte("demo", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', CAST({w} AS DOUBLE), {i})" for i, (r, w) in enumerate(K.DEMO_WEIGHTS.items())) + ") t(route, weight, ordinal)")
 # A basket with one route that is never observed and without one that is.
-cte("wide", "SELECT * FROM (VALUES ('DEL-BOM', 0.3::DOUBLE, 0), ('BOM-DEL', 0.2::DOUBLE, 1), ('DEL-BLR', 0.15::DOUBLE, 2), "
-            "('BLR-DEL', 0.1::DOUBLE, 3), ('BOM-BLR', 0.05::DOUBLE, 4), ('DEL-GOI', 0.2::DOUBLE, 5)) t(route, weight, ordinal)")
+cte("wide", "SELECT * FROM (VALUES ('DEL-BOM', 0.29::DOUBLE, 0), ('BOM-DEL', 0.22::DOUBLE, 1), ('DEL-BLR', 0.14::DOUBLE, 2), "
+            "('BLR-DEL', 0.12::DOUBLE, 3), ('BOM-BLR', 0.06::DOUBLE, 4), ('DEL-GOI', 0.17::DOUBLE, 5)) t(route, weight, ordinal)")
 
 cte("raw", f"""
 SELECT event_id AS ingest_seq, ts AS observation_timestamp, substr(rt, 1, 3) AS origin, substr(rt, 5, 3) AS destination,
@@ -152,7 +152,7 @@ SELECT g.observation_date, g.route, g.booking_window, g.index_value, g.previous_
 FROM {grid} g LEFT JOIN {basket} w USING (route) WHERE g.status = 'SUCCESS'
 """)
     cte(f"{name}_cov", f"""
-SELECT k.observation_date, k.booking_window, least(1, greatest(0, coalesce(sum(x.weight), 0))) AS coverage_ratio,
+SELECT k.observation_date, k.booking_window, round(least(1, greatest(0, coalesce(sum(x.weight), 0))), 12) AS coverage_ratio,
   coalesce(list(x.route ORDER BY w.ordinal) FILTER (w.route IS NOT NULL), []) AS present_routes,
   (SELECT list(b.route ORDER BY b.ordinal) FROM {basket} b) AS basket_routes,
   sum(x.weight * x.index_value) AS full_sum,

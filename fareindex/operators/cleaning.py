@@ -77,14 +77,16 @@ def missing_required_field() -> Column:
     )
 
 
-def tidy(raw: DataFrame) -> DataFrame:
-    """Clean texts and numbers of a raw row, each computed once, beside the untouched row in ``_raw``."""
+def tidy(raw: DataFrame, keep_raw: bool = False) -> DataFrame:
+    """Clean texts and numbers of a raw row, each computed once; on demand the untouched row stays in ``_raw``."""
     number = _fares_of(raw)
-    seq = [F.col("ingest_seq")] if "ingest_seq" in raw.columns else []
+    kept = [F.col("ingest_seq")] if "ingest_seq" in raw.columns else []
+    if keep_raw:
+        kept.append(F.struct(*raw.columns).alias("_raw"))
     return text.evaluate_once(
         raw,
-        *seq,
-        F.struct(*raw.columns).alias("_raw"),
+        *kept,
+        F.col("source").alias("_source"),
         *[text.normalize_text(F.col(n)).alias(n) for n in ("origin", "destination", *IDENTITY_TEXT)],
         text.normalize_text(F.col("source")).alias("_source_text"),
         text.normalize_text(F.col("observation_status")).alias("_status_text"),
@@ -127,7 +129,7 @@ def _normalization_error() -> Column:
         F.lit("Lead time of "), F.col("lead_days").cast("string"), F.lit(" days does not match a supported booking window. "
         "Expected one of: T+1, T+7, T+15, T+30, T+45."),
     )
-    shown = F.coalesce(F.col("_raw.source"), F.lit("None"))
+    shown = F.coalesce(F.col("_source"), F.lit("None"))
     return _first_reason(
         [
             (F.col("travel_date").isNull(), "Travel date is required"),
@@ -151,7 +153,7 @@ def _excluded_reason() -> Column:
 
 def classify(raw: DataFrame) -> DataFrame:
     """The raw rows with ``raw_status`` and ``raw_reason`` by the ordered rules for raw quotes."""
-    checked = tidy(raw).select("_raw", F.coalesce(_raw_rules(), F.lit("")).alias("raw_reason"))
+    checked = tidy(raw, keep_raw=True).select("_raw", F.coalesce(_raw_rules(), F.lit("")).alias("raw_reason"))
     return checked.select(
         "_raw.*", "raw_reason", F.when(F.col("raw_reason") == "", "VALID").otherwise("EXCLUDED").alias("raw_status")
     )
@@ -172,7 +174,7 @@ def normalize_tidy(rows: DataFrame) -> DataFrame:
         F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")),
         lambda k, v: ~k.isin("canonical_source", "lead_days", "quality_reason_code", "observation_status"),
     )
-    kept = [c for c in ("ingest_seq", "_raw", "reject_reason") if c in rows.columns]
+    kept = [c for c in ("ingest_seq",) if c in rows.columns]
     return rows.select(
         *kept,
         "origin", "destination", F.concat_ws("-", "origin", "destination").alias("route"), "travel_date",
@@ -190,24 +192,24 @@ def normalize_tidy(rows: DataFrame) -> DataFrame:
 
 def normalize(raw: DataFrame) -> DataFrame:
     """Normalization alone, without the raw rules; ``normalize_error`` names the obstacle."""
-    return normalize_tidy(tidy(raw)).drop("_raw")
+    return normalize_tidy(tidy(raw))
 
 
-def assess(raw: DataFrame) -> DataFrame:
+def assess(raw: DataFrame, keep_raw: bool = False) -> DataFrame:
     """Tidied rows with ``reject_reason`` (null when accepted); one narrow stage."""
     reason = F.coalesce(_raw_rules(), _normalization_error(), _excluded_reason())
-    return tidy(raw).withColumn("reject_reason", reason)
+    return tidy(raw, keep_raw).withColumn("reject_reason", reason)
 
 
 def accepted(raw: DataFrame) -> DataFrame:
     """Normalized rows of the accepted quotes."""
     good = assess(raw).filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    return normalize_tidy(good).drop("_raw", "normalize_error")
+    return normalize_tidy(good).drop("normalize_error")
 
 
 def rejected(raw: DataFrame) -> DataFrame:
     """Raw rows that fail, unchanged but for the reason put in their metadata."""
-    bad = assess(raw).filter(F.col("reject_reason").isNotNull()).select("_raw.*", "reject_reason")
+    bad = assess(raw, keep_raw=True).filter(F.col("reject_reason").isNotNull()).select("_raw.*", "reject_reason")
     own = F.map_filter(
         F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")),
         lambda k, v: ~k.isin("quality_status", "quality_reason"),
@@ -232,11 +234,21 @@ def first_copies(df: DataFrame) -> DataFrame:
     )
 
 
+# Always true for accepted rows. Stated by both users of ``first_copies``, so that their aggregations are equal and Spark
+# computes and shuffles them once.
+_COMPLETE = "fingerprint is not null and source is not null and first_seq is not null and first_day is not null and first_fare is not null"
+
+
 def duplicate_keys(df: DataFrame) -> DataFrame:
     """Keys seen more than once, with the sequence number that is kept."""
-    # The day condition always holds for accepted rows; it keeps this aggregation equal to the one that feeds the
-    # outlier bounds, so that Spark computes and shuffles it once.
-    return first_copies(df).filter("copies > 1 and first_day is not null and first_fare is not null")
+    return first_copies(df).filter(_COMPLETE).filter("copies > 1")
+
+
+def kept_fares(df: DataFrame) -> DataFrame:
+    """Day and fare of the first copies: the VALID rows that outlier bounds are taken from."""
+    return first_copies(df).filter(_COMPLETE).filter("copies >= 1").select(
+        F.col("first_day").alias("observation_date"), F.col("first_fare").alias("comparable_fare")
+    )
 
 
 def mark_duplicates(df: DataFrame, keys: DataFrame | None = None) -> DataFrame:
@@ -246,7 +258,13 @@ def mark_duplicates(df: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """
     keys = duplicate_keys(df) if keys is None else keys
     late = F.coalesce(F.col("ingest_seq") > F.col("first_seq"), F.lit(False))
-    joined = df.join(keys.select(*DUPLICATE_KEY, "first_seq"), list(DUPLICATE_KEY), "left").withColumn("_late", late)
+    # Fingerprint and source of an accepted row are never null; the timestamp may be, and null equals null here.
+    k = keys.select(*[F.col(c).alias(f"_k_{c}") for c in DUPLICATE_KEY], "first_seq")
+    same = (
+        (F.col("fingerprint") == F.col("_k_fingerprint")) & (F.col("source") == F.col("_k_source"))
+        & F.col("observation_timestamp").eqNullSafe(F.col("_k_observation_timestamp"))
+    )
+    joined = df.join(k, same, "left").withColumn("_late", late)
     own = F.map_filter(F.col("metadata"), lambda k, v: k != "quality_reason_code")
     noted = F.map_concat(own, F.create_map(F.lit("quality_reason_code"), F.lit("DUPLICATE")))
     return joined.select(
@@ -335,12 +353,7 @@ def clean(raw: DataFrame, multiplier: float = 1.5) -> Cleaned:
     """Reject, normalize, mark duplicates, then mark outliers among the rows still VALID."""
     good = accepted(raw)
     # Every accepted row is VALID until here, so the first copies are exactly the rows the bounds are taken from.
-    fares_kept = (
-        first_copies(good)
-        .filter("copies >= 1 and first_seq is not null")
-        .select(F.col("first_day").alias("observation_date"), F.col("first_fare").alias("comparable_fare"))
-    )
-    bounds = iqr_bounds(fares_kept, multiplier=multiplier)
+    bounds = iqr_bounds(kept_fares(good), multiplier=multiplier)
     return Cleaned(mark_outliers(mark_duplicates(good), bounds=bounds), rejected(raw))
 
 

@@ -7,6 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import constants as K
+from ..functions.local import small_table
 from ..functions.text import finite
 from ..schemas import WEIGHTS
 from .pairing import SLICE, matched_pairs
@@ -23,7 +24,7 @@ def demo_weights(spark: SparkSession) -> DataFrame:
         (route, weight, K.DEMO_WEIGHT_VERSION, K.DEMO_WEIGHT_SOURCE, None, False, i)
         for i, (route, weight) in enumerate(K.DEMO_WEIGHTS.items())
     ]
-    return spark.createDataFrame(rows, WEIGHTS)
+    return small_table(spark, rows, WEIGHTS)
 
 
 def validate_weights(weights: DataFrame) -> DataFrame:
@@ -225,7 +226,8 @@ def _seen_routes() -> Column:
 
 
 def _coverage_ratio() -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_cov")))
+    # Twelve places: the order in which weights are added must not decide about a threshold.
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_cov"))), 12)
 
 
 def _basket_list(weights: DataFrame) -> Column:

@@ -7,6 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
+from ..functions.local import small_table
 from .quantiles import exact_quantiles
 
 
@@ -27,7 +28,7 @@ def coverage(observations: DataFrame, expected: DataFrame, name: str, by: Sequen
 
 def expected_values(df: DataFrame, name: str, values: Sequence[str]) -> DataFrame:
     """The expected values as a frame of the same session."""
-    return df.sparkSession.createDataFrame([(v,) for v in values], f"{name} string")
+    return small_table(df.sparkSession, [(v,) for v in values], f"{name} string")
 
 
 def window_coverage(observations: DataFrame, by: Sequence[str] = (), windows: Sequence[str] = K.WINDOWS) -> DataFrame:

@@ -7,6 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
+from ..functions.local import small_table
 from ..functions.text import finite
 
 DIRECTION_TOLERANCE = 1e-7
@@ -18,7 +19,7 @@ def align_daily(
 ) -> DataFrame:
     """Both series on the calendar between two dates: (booking_window, observation_date, calculated, reference)."""
     session = calculated.sparkSession
-    spine = session.createDataFrame([(w,) for w in windows], "booking_window string").withColumn(
+    spine = small_table(session, [(w,) for w in windows], "booking_window string").withColumn(
         "observation_date", F.explode(F.sequence(start, end))
     )
     key = ["booking_window", "observation_date"]
@@ -160,7 +161,7 @@ def all_metrics(aligned: DataFrame, expected_days: Column, windows: Sequence[str
     long = found.select("booking_window", F.explode("m").alias("metric", "r")).select("booking_window", "metric", "r.*")
     # Windows without one aligned day still report their seven metrics.
     session = aligned.sparkSession
-    grid = session.createDataFrame([(w, m) for w in windows for m in metrics], "booking_window string, metric string")
+    grid = small_table(session, [(w, m) for w in windows for m in metrics], "booking_window string, metric string")
     covered = F.col("metric") == "coverage"
     empty_note = (
         F.when(F.col("metric").isin("pearson_correlation", "spearman_correlation"), "At least 2 valid paired observations required")
@@ -183,7 +184,7 @@ def backtest_summary(aligned: DataFrame, start: Column, end: Column, windows: Se
     """Per window: matched and missing days, warning, and the status of the whole back-test."""
     days = F.date_diff(end, start) + 1
     session = aligned.sparkSession
-    grid = session.createDataFrame([(w,) for w in windows], "booking_window string")
+    grid = small_table(session, [(w,) for w in windows], "booking_window string")
     counts = aligned.groupBy("booking_window").agg(F.count(F.lit(1)).alias("matched_days"))
     rows = grid.join(counts, "booking_window", "left").withColumn("matched_days", F.coalesce("matched_days", F.lit(0)))
     rows = rows.withColumn("expected_days", F.when(end < start, F.raise_error(F.lit("Invalid date range: start is after end"))).otherwise(days))

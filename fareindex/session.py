@@ -14,11 +14,18 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.statistics.histogram.enabled": "false",
+    # The JVM does not compile methods above 8000 bytes; larger generated stages would run interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Set the run-time settings above on an existing session."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = (

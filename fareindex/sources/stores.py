@@ -29,7 +29,7 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)  # decimal and map columns included
 
 
 def new_rows(df: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
