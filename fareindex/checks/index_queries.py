@@ -103,14 +103,10 @@ FROM gridx x LEFT JOIN baseline b USING (observation_date, route, booking_window
 
 def shock_inputs(spark, sf):
     """Route movements with yesterday's movement, the mean fare as baseline, and the worst quality of the slice."""
-    rows = fr.history(spark, sf).grid
-    from ..functions.fares import percent_change
-
-    earlier = rows.select(F.date_add("observation_date", 1).alias("observation_date"), "route", "booking_window",
-                          percent_change(F.col("index_value"), F.col("previous_index")).alias("previous_change"))
+    rows = signals.with_previous_change(fr.history(spark, sf).grid)
     base = td.index_observations(spark, sf).groupBy(*SL3).agg(F.avg("comparable_fare").alias("baseline"))
     worst = fr.cleaned(spark, sf).observations.groupBy(*SL3).agg(F.max("quality_status").alias("route_quality"))
-    return signals.shock_movements(rows, earlier, base, worst)
+    return signals.shock_movements(rows, baseline=base, quality=worst)
 
 
 @query("j9_movement_enrichment", f"SELECT {SL}, {R('pct', 'percentage_change')}, {R('acceleration')}, {R('deviation', 'historical_deviation')}, quality_status FROM moves")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.fares import percent_change
@@ -153,14 +153,24 @@ def confirm_sources(movements: DataFrame, minimum_sources: int = 2, minimum_rati
 # --------------------------------------------------------------------- shock
 
 
+def with_previous_change(grid: DataFrame) -> DataFrame:
+    """Adds the percentage movement of the calendar day before, null after a gap."""
+    w = Window.partitionBy("route", "booking_window").orderBy("observation_date")
+    adjacent = F.date_diff("observation_date", F.lag("observation_date").over(w)) == 1
+    rows = grid.withColumn("_change", percent_change(F.col("index_value"), F.col("previous_index")))
+    return rows.withColumn("previous_change", F.when(adjacent, F.lag("_change").over(w))).drop("_change")
+
+
 def shock_movements(
     grid: DataFrame, previous_movement: DataFrame | None = None, baseline: DataFrame | None = None, quality: DataFrame | None = None,
 ) -> DataFrame:
     """Route movements with acceleration, deviation from a baseline and quality status.
 
     The optional frames are keyed by slice: previous_movement(previous_change), baseline(baseline), quality(route_quality).
+    A grid that has ``previous_change`` already needs no such frame.
     """
-    rows = grid.filter("index_value > 0 and previous_index > 0").select(*SLICE, "index_value", "previous_index")
+    own = [c for c in ("previous_change",) if c in grid.columns]
+    rows = grid.filter("index_value > 0 and previous_index > 0").select(*SLICE, "index_value", "previous_index", *own)
     for side in (previous_movement, baseline, quality):
         if side is not None:
             rows = rows.join(side, SLICE, "left")

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from .. import constants as K
 from ..operators import features, quality, signals
 from ..operators.pairing import SLICE
-from ..functions.fares import percent_change
 from ..functions.text import finite
 
 
@@ -70,11 +69,7 @@ def analyze(
     else:
         groups = groups.join(freshness.select("observation_date", "freshness_hours"), "observation_date", "left")
 
-    earlier = rows.select(
-        F.date_add("observation_date", 1).alias("observation_date"), "route", "booking_window",
-        percent_change(F.col("index_value"), F.col("previous_index")).alias("previous_change"),
-    )
-    movements = signals.shock_movements(rows, previous_movement=earlier)
+    movements = signals.shock_movements(signals.with_previous_change(rows))
     shocks = signals.detect_shocks(movements, groups, confirmations)
 
     volume = observations.groupBy("observation_date").agg(F.count(F.lit(1)).alias("observation_count"))
