@@ -33,6 +33,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .appName("fareindex")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # Call-site capture for every column expression about doubles the time to build a large plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in SETTINGS.items():
