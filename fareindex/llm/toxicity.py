@@ -21,7 +21,8 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Training:
-    features: int = 4096      # n-grams that a score may use: those whose ratio is surest
+    features: int = 1024      # n-grams that a score may use: those whose ratio is surest
+    toxic_weight: float = 2.0  # of a toxic row in the loss, a clean one counting 1
     smoothing: float = 1.0    # added to the counts of both classes
     penalty: float = 1e-3     # of the squared weights
     rounds: int = 25
@@ -71,7 +72,7 @@ def labelled(docs: DataFrame, labels: DataFrame, use: Column) -> DataFrame:
     return texts_of(docs).filter(use).join(marks, "doc_id").select("text", "label")
 
 
-def _objective(rows: DataFrame, n: int, size: int, theta: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+def _objective(rows: DataFrame, n: float, size: int, theta: np.ndarray, penalty: float, toxic_weight: float) -> tuple[float, np.ndarray]:
     """Mean logistic loss with penalty and its gradient, added up over all rows by Spark; `size` + 2 rows come back."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 2)
@@ -82,8 +83,9 @@ def _objective(rows: DataFrame, n: int, size: int, theta: np.ndarray, penalty: f
             owner = np.repeat(np.arange(len(label)), lengths)
             values = batch.column("ratio").flatten().to_numpy(zero_copy_only=False)
             margin = theta[size] + np.bincount(owner, theta[flat] * values, len(label))
-            total[size + 1] += np.logaddexp(0.0, np.where(label == 1, -margin, margin)).sum()
-            error = 1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500))) - label
+            weight = np.where(label == 1, toxic_weight, 1.0)
+            total[size + 1] += (weight * np.logaddexp(0.0, np.where(label == 1, -margin, margin))).sum()
+            error = weight * (1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500))) - label)
             total[:size] += np.bincount(flat, error[owner] * values, size)
             total[size] += error.sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 2)), pa.array(total)], ["k", "v"])
@@ -159,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, training:
                                              ["label", "at", "ratio"])
 
     picked = written(rows.mapInArrow(pick, "label int, at array<int>, ratio array<double>"), "toxicity-features")
-    n = clean + toxic
-    theta = _minimize(lambda t: _objective(picked, n, len(chosen), t, training.penalty), np.r_[np.zeros(len(chosen)), bias], training.rounds)
+    n = clean + training.toxic_weight * toxic
+    theta = _minimize(lambda t: _objective(picked, n, len(chosen), t, training.penalty, training.toxic_weight), np.r_[np.zeros(len(chosen)), bias], training.rounds)
     weights[chosen] = theta[: len(chosen)] * ratio
     return Model(float(theta[len(chosen)]), weights)
 
