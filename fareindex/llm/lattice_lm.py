@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices, texts_of, written
+from .common import commonest, slices, texts_of, written
 from .lattice import by_length
 from .sentencepiece_codec import SPACE, Pieces, load_pieces
 
@@ -189,7 +189,7 @@ def score(docs: DataFrame, counts: DataFrame, end_count: int, lattice: LatticeMo
     known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = known.n + end_count, known.v + (end_count > 0)
     below = total + 0.5 * (distinct + 1)
-    head = {r.word.encode("utf-8", "surrogatepass"): r.n for r in counts.orderBy(F.desc("n"), "word").limit(head_words).collect()}
+    head = {r.word.encode("utf-8", "surrogatepass"): r.n for r in counts.filter(commonest(counts, "word", "n", head_words)).collect()}
     whole = len(head) == known.v
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

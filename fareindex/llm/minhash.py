@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -9,12 +10,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import slices, texts_of, written
 from .components import components
 
 SKETCH = "doc_id long, n_shingles long, sum_hash long, xor_hash long, slots array<long>"
+SIZE_STEP = 1.04  # ratio of the classes of set sizes in the exact comparison
 U = np.uint64
 _SPREAD, _FINAL = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
 
@@ -144,23 +146,38 @@ def bucket_members(reps: DataFrame, near: Near) -> DataFrame:
 def _rest_pairs(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """Candidates across components among the members (`id`, `component`) of buckets that stars could not settle; none is left out.
 
-    Sets as near as wanted share one of their rarest shingles, as many as the limit leaves unmatched and one more (prefix filtering).
-    Within a shingle, members outside its largest component meet the others; a component is not paired with itself.
+    Sets that are near enough share one of their rarest shingles (prefix filtering). How many of the rarest that are depends on the sizes
+    of both, so each document lays out its prefix for each class of sizes that a partner can have, and classes meet each other: a text
+    with too many shingles of its own for partners of a class has no prefix there. Within a shingle, members outside its largest component
+    meet the others; a component is not paired with itself.
     """
+    limit = near.percent / 100.0
     own = members.join(sets, "id").select("id", "component", "n", F.explode("shingles").alias("shingle"))
     often = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     listed = own.join(often, "shingle").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("all"))
-    # Shingles of one document only are the rarest and count in the prefix without being listed.
-    prefix = F.col("n") - F.ceil(F.col("n") * near.percent / 100.0 - 1e-9) + 1 - (F.col("n") - F.size("all"))
-    rare = written(listed.withColumn("k", prefix.cast("int")).filter("k > 0").select("id", "component", "n", F.explode(F.slice("all", 1, F.col("k"))).alias("x"))
-                   .select("id", "component", "n", F.col("x.shingle").alias("shingle")), "prefixes")
-    sizes = rare.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("members"))
-    mixed = sizes.groupBy("shingle").agg(F.max_by("component", "members").alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    minor = rare.join(mixed, "shingle").filter("component <> largest")
-    other = rare.select("shingle", F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("nb"))
-    near_enough = F.lit(100) * F.least("n", "nb") >= F.lit(near.percent) * F.greatest("n", "nb")
-    return (minor.join(other, "shingle").filter((F.col("component") != F.col("other")) & near_enough)
-            .select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct())
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(n) / math.log(SIZE_STEP) + 1e-9).cast("int")
+
+    smallest = F.ceil(F.col("n") * limit - 1e-9)
+    classed = listed.select("*", (F.col("n") - F.size("all")).alias("alone"), size_class(F.col("n")).alias("own"),
+                            F.explode(F.sequence(size_class(smallest), size_class(F.floor(F.col("n") / limit + 1e-9)))).alias("partner"))
+    least = F.greatest(smallest, F.floor(F.pow(F.lit(SIZE_STEP), F.col("partner")) - 1e-6))
+    shared = F.ceil((F.col("n") + least) * (limit / (1 + limit)) - 1e-9)
+    # Shingles of one document only are its rarest: they use up the prefix without being listed.
+    prefix = (F.col("n") - shared + 1 - F.col("alone")).cast("int")
+    rare = (classed.withColumn("k", prefix).filter("k > 0")
+            .select("id", "component", "n", "alone", "own", "partner", F.least("own", "partner").alias("lo"), F.greatest("own", "partner").alias("hi"), F.explode(F.slice("all", 1, F.col("k"))).alias("x"))
+            .select("id", "component", "n", "alone", "own", "partner", "lo", "hi", F.col("x.shingle").alias("shingle")))
+    rare = written(rare, "prefixes")
+    key = ["shingle", "lo", "hi"]
+    sizes = rare.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("members"))
+    mixed = sizes.groupBy(*key).agg(F.max_by("component", "members").alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    minor = rare.join(mixed, key).filter("component <> largest").drop("largest")
+    other = rare.join(mixed.select(*key), key).select(*key, F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("nb"), F.col("alone").alias("alone_b"), F.col("own").alias("own_b"))
+    possible = F.least(F.col("n") - F.col("alone"), F.col("nb") - F.col("alone_b")) >= (F.col("n") + F.col("nb")) * (limit / (1 + limit)) - 1e-9
+    fits = (F.col("component") != F.col("other")) & (F.col("partner") == F.col("own_b")) & possible
+    return minor.join(other, key).filter(fits).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
 
 def link(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -210,5 +227,7 @@ def keep_first(docs: DataFrame, near: Near = Near()) -> DataFrame:
     repeat an id one stays; rows without id all stay."""
     gone = link(docs, near).filter("NOT kept").select("doc_id").distinct()
     left = docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
-    again = left.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    again = docs.select("doc_id").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    if again.isEmpty():
+        return left
     return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))

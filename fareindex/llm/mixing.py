@@ -7,14 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import commonest, smallest_hashes, written
 
 SIGNS = "#*$%&|<>"
 
 
 @dataclass(frozen=True)
 class Mixing:
-    most_labelled: int = 20_000   # labelled documents that the classifier learns from, those of the smallest hashes
+    most_labelled: int = 20_000   # labelled documents that the classifier learns from, about so many, those of the smallest hashes
     most_terms: int = 20_000      # terms that it keeps: those of most documents, so their table has a bounded size
     min_documents: int = 5        # a term occurs in so many at least
     smoothing: float = 20.0       # documents of average terms added to each domain
@@ -56,15 +56,17 @@ def fit_domains(docs: DataFrame, labels: DataFrame, mixing: Mixing = Mixing()) -
     """
     marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain"))
              .filter("doc_id IS NOT NULL AND domain IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain")))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(mixing.most_labelled)
-    sample = written(sample.distinct(), "mixing-sample")
+    found = written(docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(marks, "doc_id").distinct(), "mixing-labelled")
+    n = found.count()
+    sample = found.filter(smallest_hashes(F.col("doc_id"), mixing.most_labelled / n)) if n > mixing.most_labelled else found
     size = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(size)
     total = sum(size.values())
     learned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _terms(F.col("text").cast("string")).alias("terms")).join(sample, "doc_id")
     each = learned.select("domain", F.explode("terms").alias("term"))
     seen = each.groupBy("term").agg(F.count(F.lit(1)).alias("every"), *[F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(names)])
-    kept = seen.filter(F.col("every") >= mixing.min_documents).orderBy(F.desc("every"), "term").limit(mixing.most_terms)
+    seen = written(seen.filter(F.col("every") >= mixing.min_documents), "mixing-counts")
+    kept = seen.filter(commonest(seen, "term", "every", mixing.most_terms))
     share = F.col("every") / F.lit(float(total))
     ratios = []
     for i, d in enumerate(names):

@@ -69,7 +69,7 @@ class MergeTable:
         out = lengths.copy()
         owner = np.repeat(np.arange(len(sequences)), lengths)
         symbols = self.symbol_of_byte[np.frombuffer(b"".join(sequences), np.uint8)]
-        while len(symbols) > 1:
+        while len(symbols):  # the last round, which finds no pair, notes what is left
             rank = self.pair_ranks(symbols, owner)
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             lowest = np.minimum.reduceat(np.r_[rank, NO_RANK], first)
