@@ -199,9 +199,8 @@ def link(docs: DataFrame, near: Near = Near()) -> DataFrame:
     edges = confirmed(buckets.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), sets, near)
     # A document that has several sets is the node of all of them.
     same_id = members.filter("rep IS NOT NULL AND rep <> doc_id").join(reps.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    known = written(edges.unionByName(same_id), "links")
+    found = written(components(written(edges.unionByName(same_id), "links")), "components")
     for turn in range(1, near.star_rounds + 1):
-        found = written(components(known), "components")
         placed = buckets.join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("lead"),
                                           F.min_by("component", F.xxhash64("id", F.lit(turn))).alias("lead_component")).filter("lo <> hi")
@@ -213,8 +212,10 @@ def link(docs: DataFrame, near: Near = Near()) -> DataFrame:
             buckets = open_.select("id", "key")
         else:
             more = _rest_pairs(open_.select("id", "component").distinct(), sets, near)
-        known = written(known.unionByName(confirmed(more, sets, near)), "links")
-        if turn == near.star_rounds:
+        added = written(confirmed(more, sets, near), "links")
+        if not added.isEmpty():
+            # What is connected already goes on as one link from each document to its component.
+            known = written(found.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(added), "links")
             found = written(components(known), "components")
     out = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")

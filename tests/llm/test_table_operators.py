@@ -166,7 +166,7 @@ def test_mixing_whole(spark):
     make = lambda i: " ".join(rng.choices("red green blue".split() if i % 2 else "one two three".split(), k=30))
     rows = [(i, make(i), "en", "s", 0, "c", 1) for i in range(200)] + [(None, "red", "en", "s", 0, "c", 1), (300, None, "en", "s", 0, "c", 1), (300, "", "en", "s", 0, "c", 1)]
     frame = spark.createDataFrame(rows, DOCS)
-    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(0, 200, 3)] + [(None, "a"), (5, None)], "doc_id long, domain string")
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(200) if i % 7] + [(None, "a"), (5, None)], "doc_id long, domain string")
     got = mixing.mix(frame, labels, {"a": 0.7, "b": 0.3}).collect()
     assert len(got) == len(rows) and all(r.rate >= 0 and sum(r.posterior) == pytest.approx(1) for r in got)
     assert all(r.domain == "ab"[r.doc_id % 2] for r in got if r.doc_id is not None and r.doc_id < 200)
