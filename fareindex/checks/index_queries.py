@@ -169,6 +169,12 @@ def _(spark, sf):
     return fr.history(spark, sf, wide=True).national
 
 
+@query("a4_two_weight_versions", f"SELECT {NAT}, 'WIDE_V1' AS weight_version FROM natw")
+def _(spark, sf):
+    both = ix.demo_weights(spark).unionByName(fr.wide_weights(spark))
+    return calc.historical_index(td.index_observations(spark, sf), both, allow_partial=True, weight_version="WIDE_V1").national
+
+
 @query("a5_subbasket_weights", f"SELECT {SL}, {R('coalesce(CASE WHEN weight > 0 THEN weight ELSE 0 END / nullif(sum(CASE WHEN weight > 0 THEN weight ELSE 0 END) OVER (PARTITION BY observation_date, booking_window), 0), 0)', 'weight')} FROM natw_w")
 def _(spark, sf):
     rows = ix.observed_weights(fr.history(spark, sf).grid, fr.wide_weights(spark))

@@ -145,6 +145,15 @@ def _(spark, sf):
     return _counts(stores.read_table(spark, path, STORED_FARES), stores.persist_observations(rows, path))
 
 
+@query("k1_null_timestamps", STORED_COUNTS.replace("FROM stored", "FROM (SELECT day AS observation_date, canonical AS source, round(fare, 2) AS comparable_fare FROM cleaned WHERE quality_status <> 'EXCLUDED' AND ingest_seq % 10 <> 0)"))
+def _(spark, sf):
+    path = work_dir(spark, "fares")
+    rows = fr.cleaned(spark, sf).observations
+    rows = rows.withColumn("observation_timestamp", F.when(F.col("ingest_seq") % 10 != 0, F.col("observation_timestamp")))
+    stores.persist_observations(rows, path)
+    return _counts(stores.read_table(spark, path, STORED_FARES), stores.persist_observations(rows, path))
+
+
 @query("s9_read_stored_observations", f"SELECT route, win AS booking_window, {R('comparable_fare')}, {TS('observation_timestamp')} FROM stored WHERE observation_date = DATE '2024-01-05' AND source = 'YATRA' AND quality_status = 'VALID'")
 def _(spark, sf):
     path = work_dir(spark, "fares")

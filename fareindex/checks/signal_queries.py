@@ -159,7 +159,7 @@ def _(spark, sf):
 
 
 @query("x9_index_warnings", f"""SELECT {D('observation_date')}, booking_window, route, '[' || booking_window || '] Index value unavailable for route ' || route || '.' AS warning FROM grid WHERE index_value IS NULL
-UNION ALL SELECT {D('observation_date')}, booking_window, NULL, 'Statistical Engine status: INSUFFICIENT_DATA.' FROM nats WHERE status <> 'SUCCESS'""")
+UNION ALL SELECT {D('observation_date')}, booking_window, NULL, 'Statistical Engine status: INSUFFICIENT_DATA.' FROM nats WHERE observation_date IN (SELECT observation_date FROM nats WHERE status <> 'SUCCESS')""")
 def _(spark, sf):
     run = fr.history(spark, sf, partial=False, wide=True)
     return intelligence.index_warnings(run.grid, run.national)
@@ -230,9 +230,10 @@ def _(spark, sf):
 
 START, END = "1996-01-01", "1998-12-31"
 DAYS = 1096
-cte("aligned", f"""SELECT o.booking_window, o.observation_date, o.index_value AS calculated, s.index_value AS reference FROM orderidx o JOIN shipidx s USING (observation_date, booking_window)
-WHERE observation_date BETWEEN DATE '{START}' AND DATE '{END}'""")
-cte("stepped", """SELECT *, calculated - lag(calculated) OVER w AS dc, reference - lag(reference) OVER w AS dr FROM aligned WINDOW w AS (PARTITION BY booking_window ORDER BY observation_date)""")
+cte("aligned_all", "SELECT o.booking_window, o.observation_date, o.index_value AS calculated, s.index_value AS reference FROM orderidx o JOIN shipidx s USING (observation_date, booking_window)")
+cte("aligned", f"SELECT * FROM aligned_all WHERE observation_date BETWEEN DATE '{START}' AND DATE '{END}'")
+cte("span", "SELECT date_diff('day', min(d), max(d)) + 1 AS days FROM (SELECT observation_date AS d FROM orderidx UNION ALL SELECT observation_date FROM shipidx)")
+cte("stepped", """SELECT *, calculated - lag(calculated) OVER w AS dc, reference - lag(reference) OVER w AS dr FROM aligned_all WINDOW w AS (PARTITION BY booking_window ORDER BY observation_date)""")
 cte("ranked", """SELECT *, rank() OVER (PARTITION BY booking_window ORDER BY calculated) + (count(*) OVER (PARTITION BY booking_window, calculated) - 1) / 2.0 AS rc,
   rank() OVER (PARTITION BY booking_window ORDER BY reference) + (count(*) OVER (PARTITION BY booking_window, reference) - 1) / 2.0 AS rr FROM stepped""")
 SIGN = "CASE WHEN {0} > 1e-7 THEN 1 WHEN {0} < -1e-7 THEN -1 WHEN {0} IS NOT NULL THEN 0 END"
@@ -244,34 +245,46 @@ def _aligned(spark, sf):
     return va.align_daily(td.order_index(spark, sf), td.ship_index(spark, sf), start, end)
 
 
+def _span(spark, sf):
+    """First and last date of both series, and the days between."""
+    days = td.order_index(spark, sf).select("observation_date").unionByName(td.ship_index(spark, sf).select("observation_date"))
+    first, last = days.agg(F.min("observation_date"), F.max("observation_date")).first()
+    return first, last, (last - first).days + 1 if first else 0
+
+
+def _aligned_all(spark, sf):
+    first, last, _ = _span(spark, sf)
+    return va.align_daily(td.order_index(spark, sf), td.ship_index(spark, sf), F.lit(first), F.lit(last))
+
+
 @query("j6_align_daily", f"SELECT booking_window, {D('observation_date')}, {R('calculated')}, {R('reference')} FROM aligned")
 def _(spark, sf):
     return _aligned(spark, sf)
 
 
-@query("v1_pearson", f"SELECT booking_window, {R('corr(calculated, reference)', 'value')}, 'VALID' AS status, count(*) AS sample_size FROM aligned GROUP BY 1")
+@query("v1_pearson", f"SELECT booking_window, {R('corr(calculated, reference)', 'value')}, 'VALID' AS status, count(*) AS sample_size FROM aligned_all GROUP BY 1")
 def _(spark, sf):
-    return va.pearson(_aligned(spark, sf))
+    return va.pearson(_aligned_all(spark, sf))
 
 
 @query("v2_spearman", f"SELECT booking_window, {R('corr(rc, rr)', 'value')}, 'VALID' AS status, count(*) AS sample_size FROM ranked GROUP BY 1")
 def _(spark, sf):
-    return va.spearman(_aligned(spark, sf))
+    return va.spearman(_aligned_all(spark, sf))
 
 
-@query("v3_mean_absolute_error", f"SELECT booking_window, {R('avg(abs(calculated - reference))', 'mae')} FROM aligned GROUP BY 1")
+@query("v3_mean_absolute_error", f"SELECT booking_window, {R('avg(abs(calculated - reference))', 'mae')} FROM aligned_all GROUP BY 1")
 def _(spark, sf):
-    return va.clean_pairs(_aligned(spark, sf)).groupBy("booking_window").agg(va.mean_absolute_error().alias("mae"))
+    return va.clean_pairs(_aligned_all(spark, sf)).groupBy("booking_window").agg(va.mean_absolute_error().alias("mae"))
 
 
-@query("v4_root_mean_squared_error", f"SELECT booking_window, {R('sqrt(avg((calculated - reference) * (calculated - reference)))', 'rmse')} FROM aligned GROUP BY 1")
+@query("v4_root_mean_squared_error", f"SELECT booking_window, {R('sqrt(avg((calculated - reference) * (calculated - reference)))', 'rmse')} FROM aligned_all GROUP BY 1")
 def _(spark, sf):
-    return va.clean_pairs(_aligned(spark, sf)).groupBy("booking_window").agg(va.root_mean_squared_error().alias("rmse"))
+    return va.clean_pairs(_aligned_all(spark, sf)).groupBy("booking_window").agg(va.root_mean_squared_error().alias("rmse"))
 
 
-@query("v5_temporal_coverage", f"SELECT booking_window, {R(f'count(*) / {DAYS}.0', 'coverage')} FROM aligned GROUP BY 1")
+@query("v5_temporal_coverage", f"SELECT booking_window, {R(f'count(*) * 1.0 / (SELECT days FROM span)', 'coverage')} FROM aligned_all GROUP BY 1")
 def _(spark, sf):
-    return _aligned(spark, sf).groupBy("booking_window").agg(va.temporal_coverage(F.count(F.lit(1)), F.lit(DAYS)).alias("coverage"))
+    return _aligned_all(spark, sf).groupBy("booking_window").agg(va.temporal_coverage(F.count(F.lit(1)), F.lit(_span(spark, sf)[2])).alias("coverage"))
 
 
 METRICS = {
@@ -280,7 +293,7 @@ METRICS = {
     "mae": ("avg(abs(calculated - reference))", "count(*)", ""),
     "rmse": ("sqrt(avg((calculated - reference) * (calculated - reference)))", "count(*)", ""),
     "directional_accuracy": (f"avg(CAST({SAME} AS INT))", f"count({SAME})", ""),
-    "coverage": (f"count(*) / {DAYS}.0", "count(*)", ""),
+    "coverage": (f"count(*) * 1.0 / (SELECT days FROM span)", "count(*)", ""),
     "stability": ("stddev_samp(dc)", "count(dc)", "Sample standard deviation of first differences"),
 }
 METRIC_SQL = " UNION ALL ".join(
@@ -291,7 +304,7 @@ METRIC_SQL = " UNION ALL ".join(
 
 @query("v6_all_metrics", METRIC_SQL)
 def _(spark, sf):
-    return va.all_metrics(_aligned(spark, sf), F.lit(DAYS))
+    return va.all_metrics(_aligned_all(spark, sf), F.lit(_span(spark, sf)[2]))
 
 
 @query("v7_backtest", f"""SELECT booking_window, CAST({DAYS} AS INT) AS expected_days, count(*) AS matched_days, CASE WHEN max(count(*)) OVER () >= {DAYS} * 0.5 THEN 'COMPLETED' ELSE 'LOW_DATA' END AS status,
@@ -303,17 +316,17 @@ def _(spark, sf):
 
 @query("w8_directional_accuracy", f"SELECT booking_window, {R(f'avg(CAST({SAME} AS INT))', 'value')}, 'VALID' AS status, count({SAME}) AS sample_size FROM stepped GROUP BY 1")
 def _(spark, sf):
-    return va.directional_accuracy(_aligned(spark, sf))
+    return va.directional_accuracy(_aligned_all(spark, sf))
 
 
 @query("w9_stability", f"SELECT booking_window, {R('stddev_samp(dc)', 'value')}, 'VALID' AS status, count(dc) AS sample_size FROM stepped GROUP BY 1")
 def _(spark, sf):
-    return va.stability(_aligned(spark, sf))
+    return va.stability(_aligned_all(spark, sf))
 
 
 @query("w11_average_ranks", f"SELECT booking_window, {D('observation_date')}, {R('rc', 'fractional_rank')} FROM ranked")
 def _(spark, sf):
-    rows = va.average_ranks(va.clean_pairs(_aligned(spark, sf)), "calculated", "fractional_rank", ["booking_window"])
+    rows = va.average_ranks(va.clean_pairs(_aligned_all(spark, sf)), "calculated", "fractional_rank", ["booking_window"])
     return rows.select("booking_window", "observation_date", "fractional_rank")
 
 
@@ -389,25 +402,47 @@ def _(spark, sf):
 CORRIDOR = "(SELECT 100.0 * avg(CAST(status = 'SUCCESS' AS INT)) FROM grid WHERE booking_window = 'T+15' AND observation_date = (SELECT max(observation_date) FROM grid WHERE booking_window = 'T+15'))"
 
 
-@query("v10_corridor_coverage", f"SELECT {R(CORRIDOR, 'coverage_percent')}, CASE WHEN printf('%.1f', {CORRIDOR}) = '100.0' THEN 'OPTIMAL' ELSE 'PARTIAL' END AS status")
+LAST_RUN = """(SELECT 100.0 * avg(CAST(status = 'SUCCESS' AS INT)) FROM route_results JOIN (SELECT observation_date, booking_window, calculation_version FROM results
+WHERE status = 'SUCCESS' AND booking_window = 'T+15' ORDER BY observation_date DESC, calculation_timestamp DESC LIMIT 1) USING (observation_date, booking_window, calculation_version))"""
+
+
+@query("v10_corridor_coverage", f"SELECT {R(LAST_RUN, 'coverage_percent')}, CASE WHEN printf('%.1f', {LAST_RUN}) = '100.0' THEN 'OPTIMAL' ELSE 'PARTIAL' END AS status")
 def _(spark, sf):
-    return monthly.corridor_coverage(fr.history(spark, sf).grid).select("coverage_percent", "status")
+    rows = monthly.corridor_coverage(fr.route_results(spark, sf), results=fr.results(spark, sf))
+    return rows.select("coverage_percent", "status")
 
 
 def _report(spark, sf):
     return vr.validation_report(fr.long_results(spark, sf), fr.history(spark, sf).grid, _reference(spark, sf))
 
 
-@query("v11_validation_metrics", f"""SELECT 'Pearson Correlation (r)' AS metric, (SELECT coalesce(printf('%.4f', CASE WHEN count(*) >= 3 THEN corr(own_index, reference_index) END), 'N/A') FROM common) AS value, 'CONNECTED' AS status
+VALUES_SQL = f"""SELECT 'Pearson Correlation (r)' AS metric, (SELECT coalesce(printf('%.4f', CASE WHEN count(*) >= 3 THEN corr(own_index, reference_index) END), 'N/A') FROM common) AS value, 'CONNECTED' AS status
 UNION ALL SELECT 'Spearman Rank Correlation (rho)', 'N/A', 'CONNECTED'
 UNION ALL SELECT 'Mean Absolute Error (MAE)', printf('%.2f', abs(own_index - reference_index)) || ' pts', 'CONNECTED' FROM last_common
 UNION ALL SELECT 'Percentage Difference', printf('%+.2f', (own_index - reference_index) / reference_index * 100) || '%', 'CONNECTED' FROM last_common
 UNION ALL SELECT 'Corridor Coverage', printf('%.1f', {CORRIDOR}) || '%', CASE WHEN printf('%.1f', {CORRIDOR}) = '100.0' THEN 'OPTIMAL' ELSE 'PARTIAL' END
-UNION ALL SELECT 'Index Stability', printf('%.2f', volatility), CASE WHEN CAST(printf('%.2f', volatility) AS DOUBLE) < 5 THEN 'STABLE' ELSE 'VOLATILE' END FROM vol WHERE booking_window = 'T+15'""")
+UNION ALL SELECT 'Index Stability', printf('%.2f', volatility), CASE WHEN CAST(printf('%.2f', volatility) AS DOUBLE) < 5 THEN 'STABLE' ELSE 'VOLATILE' END FROM vol WHERE booking_window = 'T+15'"""
+TEXTS_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.METRIC_TEXTS.items())
+
+
+@query("v11_validation_metrics", f"SELECT metric, value, status, CASE metric {TEXTS_SQL} END AS description FROM ({VALUES_SQL})")
 def _(spark, sf):
     return _report(spark, sf).metrics
 
 
 @query("v11_reference_description", f"SELECT count(*) AS records, {D('min(reference_date)', 'first_date')}, {D('max(reference_date)', 'latest_date')}, {R('arg_max(index_value, reference_date)', 'latest_value')}, TRUE AS connected FROM cpi")
 def _(spark, sf):
-    return vr.reference_description(_reference(spark, sf))
+    return vr.reference_description(_reference(spark, sf)).select("records", "first_date", "latest_date", "latest_value", "connected")
+
+
+@query("v11_alignment", """SELECT count(*) FILTER (c.month IS NOT NULL) AS overlapping_months, CASE WHEN (SELECT count(*) FROM cpi) = 0 THEN 'NOT_CONNECTED' WHEN count(c.month) > 0 THEN 'CONNECTED' ELSE 'NO_OVERLAP' END AS status,
+  coalesce(string_agg(c.month, ',' ORDER BY c.month), '') AS aligned_months FROM (SELECT DISTINCT month FROM common) c""")
+def _(spark, sf):
+    return _report(spark, sf).alignment
+
+
+@query("v11_empty_reference", "SELECT 0 AS overlapping_months, 'NOT_CONNECTED' AS status, '' AS aligned_months, min(CAST(observation_date AS VARCHAR)) || ' to ' || max(CAST(observation_date AS VARCHAR)) AS period FROM orderidx WHERE booking_window = 'T+15'")
+def _(spark, sf):
+    report = vr.validation_report(fr.long_results(spark, sf), fr.history(spark, sf).grid, _reference(spark, sf).filter(F.lit(False)))
+    return report.alignment.withColumn("overlapping_months", F.col("overlapping_months").cast("int")).crossJoin(report.period)
+

@@ -91,6 +91,7 @@ REASON_MISSING_FARE = "MISSING_FARE"
 REASON_INVALID_FARE = "INVALID_FARE"
 REASON_SAME_CITY = "Origin and destination cannot be the same"
 REASON_DUPLICATE = "exact duplicate observation"
+REASON_NO_TIMESTAMP = "missing observation timestamp"
 REASON_OUTLIER = "comparable fare flagged as an IQR outlier"
 
 # Component shares used when only a total is known.
@@ -146,3 +147,14 @@ MONTH_NAMES = (
     "January", "February", "March", "April", "May", "June", "July",
     "August", "September", "October", "November", "December",
 )
+
+# Explanations of the validation metrics.
+METRIC_TEXTS = {
+    "Pearson Correlation (r)": "Linear co-movement across aligned calendar months (minimum 3 months required)",
+    "Spearman Rank Correlation (rho)": "Monotonic ranking consistency across aligned monthly index shifts",
+    "Absolute Level Difference": "Absolute divergence between project monthly index and MoSPI benchmark level at reference month",
+    "Mean Absolute Error (MAE)": "Average absolute divergence across all aligned calendar months",
+    "Percentage Difference": "Relative percentage difference against official MoSPI benchmark level",
+    "Corridor Coverage": "Proportion of representative basket corridors successfully computed",
+    "Index Stability": "Standard deviation of daily percentage changes in official index",
+}

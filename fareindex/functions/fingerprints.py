@@ -25,12 +25,20 @@ def identity_fingerprint(
     return F.sha2(_joined(parts), 256)
 
 
-def pairing_fingerprint(include_travel_date: bool = False) -> Column:
-    """Route, window and the first 16 hex digits of the constant-quality product."""
+SHOWN_DIGITS = 16  # fixed value: hex digits of the digest in an output
+
+
+def pairing_fingerprint(include_travel_date: bool = False, digits: int = SHOWN_DIGITS) -> Column:
+    """Route, window and the first hex digits of the digest of the constant-quality product; 64 are all."""
     names = ["route", "booking_window", "airline", "flight_number", "departure_time", "cabin_class", "fare_type",
              "baggage_characteristics"]
     parts = [F.coalesce(F.col(n), F.lit("")) for n in names]
     if include_travel_date:
         parts.append(F.col("travel_date").cast("string"))
-    digest = F.substring(F.sha2(_joined(parts), 256), 1, 16)
+    digest = F.substring(F.sha2(_joined(parts), 256), 1, digits)
     return F.concat_ws("_", F.col("route"), F.col("booking_window"), digest)
+
+
+def shown_fingerprint(whole: Column) -> Column:
+    """The output form of a fingerprint that has all 64 digits."""
+    return F.left(whole, F.length(whole) - (64 - SHOWN_DIGITS))

@@ -251,6 +251,14 @@ def kept_fares(df: DataFrame) -> DataFrame:
     )
 
 
+def _same_key() -> Column:
+    """Equality of duplicate keys. Fingerprint and source of an accepted row are never null; the timestamp may be, and null equals null."""
+    return (
+        (F.col("fingerprint") == F.col("_k_fingerprint")) & (F.col("source") == F.col("_k_source"))
+        & F.col("observation_timestamp").eqNullSafe(F.col("_k_observation_timestamp"))
+    )
+
+
 def mark_duplicates(df: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Later copies become EXCLUDED and stay in the table; the first by ``ingest_seq`` is kept.
 
@@ -258,13 +266,8 @@ def mark_duplicates(df: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """
     keys = duplicate_keys(df) if keys is None else keys
     late = F.coalesce(F.col("ingest_seq") > F.col("first_seq"), F.lit(False))
-    # Fingerprint and source of an accepted row are never null; the timestamp may be, and null equals null here.
     k = keys.select(*[F.col(c).alias(f"_k_{c}") for c in DUPLICATE_KEY], "first_seq")
-    same = (
-        (F.col("fingerprint") == F.col("_k_fingerprint")) & (F.col("source") == F.col("_k_source"))
-        & F.col("observation_timestamp").eqNullSafe(F.col("_k_observation_timestamp"))
-    )
-    joined = df.join(k, same, "left").withColumn("_late", late)
+    joined = df.join(k, _same_key(), "left").withColumn("_late", late)
     own = F.map_filter(F.col("metadata"), lambda k, v: k != "quality_reason_code")
     noted = F.map_concat(own, F.create_map(F.lit("quality_reason_code"), F.lit("DUPLICATE")))
     return joined.select(
@@ -277,8 +280,8 @@ def mark_duplicates(df: DataFrame, keys: DataFrame | None = None) -> DataFrame:
 
 def find_duplicates(df: DataFrame) -> DataFrame:
     """The later copies themselves."""
-    keys = duplicate_keys(df).select(*DUPLICATE_KEY, "first_seq")
-    return df.join(keys, list(DUPLICATE_KEY)).filter("ingest_seq > first_seq").drop("first_seq").select(*df.columns)
+    keys = duplicate_keys(df).select(*[F.col(c).alias(f"_k_{c}") for c in DUPLICATE_KEY], "first_seq")
+    return df.join(keys, _same_key()).filter("ingest_seq > first_seq").select(*df.columns)
 
 
 def count_duplicates(df: DataFrame, *by: str) -> DataFrame:
@@ -289,7 +292,7 @@ def count_duplicates(df: DataFrame, *by: str) -> DataFrame:
 
 def already_present(df: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows whose duplicate key is in the other table."""
-    return df.join(existing.select(*DUPLICATE_KEY), list(DUPLICATE_KEY), "left_semi").select(*df.columns)
+    return df.join(existing.select(*[F.col(c).alias(f"_k_{c}") for c in DUPLICATE_KEY]), _same_key(), "left_semi").select(*df.columns)
 
 
 # ------------------------------------------------------------------ outliers

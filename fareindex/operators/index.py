@@ -77,9 +77,24 @@ def build_weights(raw: DataFrame, auto_normalize: bool = False) -> DataFrame:
     return rows.withColumn("weight", checked.cast("double")).drop("_bad", "_sum", "_total")
 
 
-def route_weight(observed: DataFrame, weights: DataFrame) -> DataFrame:
+def one_version(weights: DataFrame, version: str | None = None) -> DataFrame:
+    """The rows of the chosen weight version. Without a choice the table must hold one version only.
+
+    Weights are a configured table of some rows per version; its version names are read by the driver.
+    """
+    if version is not None:
+        return weights.filter(F.col("version") == version)
+    if "version" not in weights.columns:  # a bare basket
+        return weights
+    found = sorted({str(r[0]) for r in weights.select("version").collect()})
+    if len(found) > 1:
+        raise ValueError(f"the weight table holds several versions ({', '.join(found)}); choose one")
+    return weights
+
+
+def route_weight(observed: DataFrame, weights: DataFrame, version: str | None = None) -> DataFrame:
     """Adds ``weight`` by route, 0 for a route outside the basket."""
-    side = weights.select("route", "weight")
+    side = one_version(weights, version).select("route", "weight")
     return observed.join(side, "route", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
@@ -253,8 +268,9 @@ def _subbasket_share() -> Column:
     return F.coalesce(F.try_divide(F.when(F.col("weight") > 0, F.col("weight")), F.col("_positive")), F.lit(0.0))
 
 
-def observed_weights(grid: DataFrame, weights: DataFrame) -> DataFrame:
+def observed_weights(grid: DataFrame, weights: DataFrame, version: str | None = None) -> DataFrame:
     """Successful slices with their basket weight and the sub-basket weight rescaled to one."""
+    weights = one_version(weights, version)
     rows = _window_sums(_basket_rows(grid, weights)).filter("_idx is not null")
     return rows.select(
         *SLICE, "index_value", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.col("_cov").alias("covered_weight"),
@@ -262,8 +278,9 @@ def observed_weights(grid: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def weight_coverage(grid: DataFrame, weights: DataFrame) -> DataFrame:
+def weight_coverage(grid: DataFrame, weights: DataFrame, version: str | None = None) -> DataFrame:
     """Coverage ratio with the present and missing basket routes per (date, window)."""
+    weights = one_version(weights, version)
     rows = _basket_rows(grid, weights).groupBy("observation_date", "booking_window").agg(
         _group_sums()["_cov"].alias("_cov"), _seen_routes().alias("_seen")
     )
@@ -300,9 +317,10 @@ def _weight_errors(weights: DataFrame) -> Column:
 
 
 def national_index(
-    grid: DataFrame, weights: DataFrame, allow_partial: bool = False, min_coverage: float = K.MIN_COVERAGE
+    grid: DataFrame, weights: DataFrame, allow_partial: bool = False, min_coverage: float = K.MIN_COVERAGE, version: str | None = None
 ) -> DataFrame:
     """Weighted national index per (date, window) with coverage policy, status and warnings, in one aggregation."""
+    weights = one_version(weights, version)
     sums = {name: value.alias(name) for name, value in _group_sums().items()}
     rows = (
         _basket_rows(grid, weights)
@@ -355,6 +373,7 @@ def previous_day_index(grid: DataFrame) -> DataFrame:
 
 def carried_previous_index(grid: DataFrame, weights: DataFrame, start: float = K.BASE_INDEX) -> DataFrame:
     """Adds the last known earlier route index; basket routes start at the base level."""
+    weights = one_version(weights)
     before = Window.partitionBy("route", "booking_window").orderBy("observation_date").rowsBetween(Window.unboundedPreceding, -1)
     known = F.last("index_value", ignorenulls=True).over(before)
     basket = weights.select("route", F.lit(start).alias("_start"))
@@ -365,6 +384,7 @@ def carried_previous_index(grid: DataFrame, weights: DataFrame, start: float = K
 
 def stored_previous_index(grid: DataFrame, weights: DataFrame, stored: DataFrame, start: float = K.BASE_INDEX) -> DataFrame:
     """Adds the previous index from stored route indices of the previous date, laid over the base level."""
+    weights = one_version(weights)
     key = ["route", "booking_window"]
     latest = stored.filter(F.col("index_value").isNotNull()).groupBy(*key).agg(
         F.max_by(F.col("index_value").cast("double"), "calculation_timestamp").alias("_stored")
@@ -376,12 +396,13 @@ def stored_previous_index(grid: DataFrame, weights: DataFrame, stored: DataFrame
 
 
 def contributions(
-    grid: DataFrame, weights: DataFrame, allow_partial: bool = False, min_coverage: float = K.MIN_COVERAGE
+    grid: DataFrame, weights: DataFrame, allow_partial: bool = False, min_coverage: float = K.MIN_COVERAGE, version: str | None = None
 ) -> DataFrame:
     """Level, point and percentage-share contributions of the routes behind each national index.
 
     ``grid`` carries ``previous_index``.
     """
+    weights = one_version(weights, version)
     rows = (
         _window_sums(_basket_rows(grid, weights))
         .withColumns({"coverage_ratio": _coverage_ratio(), "_errors": _weight_errors(weights)})
@@ -454,7 +475,7 @@ def execution_checksum(
 
 def base_day_rows(weights: DataFrame, base_date: Column, windows: Sequence[str] = K.WINDOWS) -> DataFrame:
     """Index 100 and contribution 0 for every window and basket route of the base day."""
-    return weights.select(
+    return one_version(weights).select(
         base_date.alias("observation_date"),
         F.explode(F.array(*[F.lit(w) for w in windows])).alias("booking_window"),
         F.concat(F.lit("CALC_"), base_date.cast("string"), F.lit("_BASE")).alias("calculation_version"),

@@ -104,9 +104,17 @@ def daily_volatility(results: DataFrame, window: str | None = None, date: str =
     ).withColumn("status", F.when(F.col("volatility_text").cast("double") < 5.0, "STABLE").otherwise("VOLATILE"))
 
 
-def corridor_coverage(route_indices: DataFrame, window: str = K.HEADLINE_WINDOW) -> DataFrame:
-    """Share of SUCCESS routes on the latest date of one window."""
+def corridor_coverage(route_indices: DataFrame, window: str = K.HEADLINE_WINDOW, results: DataFrame | None = None) -> DataFrame:
+    """Share of SUCCESS routes of one window behind its latest SUCCESS result.
+
+    ``results`` names the calculations; the route rows of the latest successful one count, not those of other runs of
+    its date. Without it the routes are those of a single calculation and its latest date counts.
+    """
     rows = route_indices.filter(F.col("booking_window") == window)
+    if results is not None:
+        good = results.filter((F.col("status") == "SUCCESS") & (F.col("booking_window") == window))
+        chosen = good.agg(F.max_by("calculation_version", F.struct("observation_date", "calculation_timestamp"))).scalar()
+        rows = rows.filter(F.col("calculation_version") == chosen)
     per_day = rows.groupBy("observation_date").agg(
         (F.avg((F.col("status") == "SUCCESS").cast("double")) * 100.0).alias("coverage_percent")
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import finite
-from ..functions.fingerprints import pairing_fingerprint
+from ..functions.fingerprints import pairing_fingerprint, shown_fingerprint
 
 SLICE = ["observation_date", "route", "booking_window"]
 
@@ -25,13 +25,13 @@ def eligible_fare(allow_suspect: bool = False) -> Column:
 def _priced(observations: DataFrame, include_travel_date: bool, allow_suspect: bool) -> DataFrame:
     return observations.select(
         *SLICE,
-        pairing_fingerprint(include_travel_date).alias("fingerprint"),
+        pairing_fingerprint(include_travel_date, digits=64).alias("fingerprint"),
         eligible_fare(allow_suspect).alias("fare"),
     )
 
 
 def _both_sides(tagged: DataFrame) -> DataFrame:
-    """Aggregate tagged quotes to one row per (date, product)."""
+    """Aggregate tagged quotes to one row per (date, product). Products are told apart by the whole digest, then shown by its first digits."""
     current, previous = F.col("is_current"), ~F.col("is_current")
     return tagged.groupBy(*SLICE, "fingerprint").agg(
         F.min(F.when(current, F.col("fare"))).alias("current_fare"),
@@ -40,7 +40,7 @@ def _both_sides(tagged: DataFrame) -> DataFrame:
         F.count_if(previous & F.col("fare").isNotNull()).alias("previous_quotes"),
         F.count_if(current).alias("current_raw"),
         F.count_if(previous).alias("previous_raw"),
-    )
+    ).withColumn("fingerprint", shown_fingerprint(F.col("fingerprint")))
 
 
 def consecutive_products(

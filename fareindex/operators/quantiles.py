@@ -12,13 +12,14 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BANDS_PER_UNIT = 1000  # width of a band: 0.1 % of the value
+BANDS_PER_UNIT = 1000  # width of a band: 0.1 % of the value, whatever its size
+MIDDLE = 1_000_000     # above the band number of every double, so that all magnitudes stand on one side of zero
 
 
 def _band(value: Column) -> Column:
-    """A non-decreasing integer of the value (sign, then magnitude on a log scale)."""
-    size = F.floor(F.ln(F.abs(value) + 1.0) * BANDS_PER_UNIT)
-    return F.when(value < 0, -size - 1).otherwise(size)
+    """A non-decreasing integer of the value (sign, then magnitude on a log scale); zero has a band of its own."""
+    size = F.floor(F.least(F.ln(F.abs(value)) * BANDS_PER_UNIT, F.lit(float(MIDDLE - 1)))) + MIDDLE
+    return F.when(value < 0, -size).when(value > 0, size).when(value == 0, F.lit(0))
 
 
 def exact_quantiles(

@@ -7,6 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
+from .index import one_version
 from ..functions.fares import percent_change
 from ..functions.text import valid_route
 
@@ -193,11 +194,12 @@ def route_star(route_indices: DataFrame, routes: DataFrame, results: DataFrame)
     )
 
 
-def simulate(scenarios: DataFrame, results: DataFrame, weights: DataFrame) -> DataFrame:
+def simulate(scenarios: DataFrame, results: DataFrame, weights: DataFrame, version: str | None = None) -> DataFrame:
     """What-if table: effect of a route shock on the latest SUCCESS index; the index itself is not changed.
 
     ``scenarios`` has route, shock_percent and optionally projected_index, which then overrides the estimate.
     """
+    weights = one_version(weights, version)
     current = (
         results.filter("status = 'SUCCESS'")
         .agg(F.max_by(F.col("index_value").cast("double"), F.struct("observation_date", "calculation_timestamp", "booking_window")))

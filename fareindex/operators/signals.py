@@ -96,8 +96,10 @@ def source_movements(means: DataFrame, previous: DataFrame | None = None, tolera
     """
     key = ["route", "booking_window", "source"]
     if previous is None:
-        before = means.select(F.date_add("observation_date", 1).alias("observation_date"), *key, F.col("average_fare").alias("previous_fare"))
-        joined = means.join(before, ["observation_date", *key]).withColumnRenamed("average_fare", "current_fare")
+        # One row per day and source: yesterday's mean stands right before today's.
+        w = Window.partitionBy(*key).orderBy("observation_date")
+        adjacent = F.date_diff("observation_date", F.lag("observation_date").over(w)) == 1
+        joined = means.withColumn("previous_fare", F.when(adjacent, F.lag("average_fare").over(w))).withColumnRenamed("average_fare", "current_fare")
     else:
         def batch(df, name):
             return df.groupBy(*key).agg((F.sum("fare_sum") / F.sum("quotes")).alias(name), F.max("observation_date").alias("observation_date"))
@@ -391,10 +393,10 @@ def confidence_score(df: DataFrame, weights=None, maximum_freshness: float = 48.
 
 
 def event_rows(anomalies: DataFrame, source: str = "MOCK") -> DataFrame:
-    """Stored events: detected moves or a score of 3 and more."""
+    """Stored events: detected moves, with their explanation, or a score of 3 and more. ``source`` is the source of the run."""
     score = F.col("anomaly_score")
     shock = F.col("detected") & (score >= 4.0)
-    text = F.coalesce("reason", F.concat(F.lit("Price movement on "), F.col("route"), F.lit(" for "), F.col("booking_window")))
+    text = F.coalesce(F.when(F.col("detected"), explanation()), F.col("reason"), F.concat(F.lit("Price movement on "), F.col("route"), F.lit(" for "), F.col("booking_window")))
     return anomalies.filter(F.col("detected") | (score >= 3.0)).select(
         "observation_date", "booking_window", "route",
         F.when(shock, "AIRFARE_SHOCK").otherwise("ANOMALY").alias("event_type"),

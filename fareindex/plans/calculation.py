@@ -48,6 +48,7 @@ def _date_counts(grid: DataFrame, previous_date: Column) -> DataFrame:
 
 
 def _finish(grid: DataFrame, weights: DataFrame, allow_partial: bool, min_coverage: float, previous_date: Column) -> IndexRun:
+    weights = ix.one_version(weights)
     national = ix.national_index(grid, weights, allow_partial, min_coverage)
     parts = ix.contributions(grid, weights, allow_partial, min_coverage)
     return IndexRun(grid, national, parts, _date_counts(grid, previous_date))
@@ -56,9 +57,10 @@ def _finish(grid: DataFrame, weights: DataFrame, allow_partial: bool, min_covera
 def historical_index(
     observations: DataFrame, weights: DataFrame, windows: Sequence[str] = K.WINDOWS, allow_partial: bool = False,
     min_coverage: float = K.MIN_COVERAGE, min_pairs: int = 1, include_travel_date: bool = False,
-    allow_suspect: bool = False,
+    allow_suspect: bool = False, weight_version: str | None = None,
 ) -> IndexRun:
     """All day-to-day transitions at once; a missing day starts anew."""
+    weights = ix.one_version(weights, weight_version)
     products = pairing.consecutive_products(observations, include_travel_date, allow_suspect)
     slices = ix.calendar_transitions(ix.elementary_slices(products, min_pairs=min_pairs))
     grid = ix.previous_day_index(ix.route_grid(slices, windows, min_pairs))
@@ -68,9 +70,10 @@ def historical_index(
 def daily_index(
     current: DataFrame, previous: DataFrame, observation_date: Column, previous_date: Column, weights: DataFrame,
     windows: Sequence[str] = K.WINDOWS, allow_partial: bool = False, min_coverage: float = K.MIN_COVERAGE,
-    min_pairs: int = 1, stored_previous: DataFrame | None = None,
+    min_pairs: int = 1, stored_previous: DataFrame | None = None, weight_version: str | None = None,
 ) -> IndexRun:
     """One transition between two given batches; ``stored_previous`` supplies yesterday's route indices."""
+    weights = ix.one_version(weights, weight_version)
     products = pairing.two_day_products(current, previous, observation_date)
     grid = ix.route_grid(ix.elementary_slices(products, min_pairs=min_pairs), windows, min_pairs)
     if stored_previous is None:
@@ -82,9 +85,10 @@ def daily_index(
 
 def fixed_base_index(
     observations: DataFrame, weights: DataFrame, base_date: Column | None = None, windows: Sequence[str] = K.WINDOWS,
-    allow_partial: bool = True, min_coverage: float = K.MIN_COVERAGE, min_pairs: int = 1,
+    allow_partial: bool = True, min_coverage: float = K.MIN_COVERAGE, min_pairs: int = 1, weight_version: str | None = None,
 ) -> IndexRun:
     """Every later date against the base date; contributions use the last known route index."""
+    weights = ix.one_version(weights, weight_version)
     slices = ix.fixed_base_slices(observations, base_date, min_pairs=min_pairs)
     grid = ix.carried_previous_index(ix.route_grid(slices, windows, min_pairs), weights)
     first = observations.agg(F.min("observation_date")).scalar() if base_date is None else base_date

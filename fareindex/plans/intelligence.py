@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..operators import features, quality, signals
@@ -30,8 +30,12 @@ def usable_indices(grid: DataFrame) -> DataFrame:
     return grid.filter(finite(F.col("index_value")).isNotNull())
 
 
-def index_warnings(grid: DataFrame, national: DataFrame) -> DataFrame:
-    """One row per skipped index or unsuccessful national result."""
+def index_warnings(grid: DataFrame, national: DataFrame, allow_partial: bool = False) -> DataFrame:
+    """One row per skipped index, and one per window of a date whose calculation as a whole did not succeed.
+
+    A date succeeds when every window has an acceptable national index; partial coverage is acceptable where the
+    calculation allows it. A date without any national row has none here.
+    """
     tag = F.concat(F.lit("["), F.col("booking_window"), F.lit("] "))
     value = F.col("index_value")
     skipped = grid.filter(finite(value).isNull()).select(
@@ -42,7 +46,9 @@ def index_warnings(grid: DataFrame, national: DataFrame) -> DataFrame:
             F.col("route"), F.lit("."),
         ).alias("warning"),
     )
-    failed = national.filter(~F.col("status").isin("SUCCESS")).select(
+    fine = ["SUCCESS", "PARTIAL_COVERAGE"] if allow_partial else ["SUCCESS"]
+    whole = F.min(F.col("status").isin(*fine)).over(Window.partitionBy("observation_date"))  # a handful of windows per date
+    failed = national.withColumn("_whole", whole).filter(~F.col("_whole")).select(
         "observation_date", "booking_window", F.lit(None).cast("string").alias("route"),
         F.concat(F.lit("Statistical Engine status: "), F.lit("INSUFFICIENT_DATA"), F.lit(".")).alias("warning"),
     )
@@ -51,7 +57,7 @@ def index_warnings(grid: DataFrame, national: DataFrame) -> DataFrame:
 
 def analyze(
     grid: DataFrame, national: DataFrame, observations: DataFrame, missing_fares: DataFrame | None = None,
-    freshness: DataFrame | None = None, route_quality: DataFrame | None = None,
+    freshness: DataFrame | None = None, route_quality: DataFrame | None = None, allow_partial: bool = False,
 ) -> Signals:
     """Anomalies with explanation, patterns, source agreement, shocks, pressure, confidence and estimates.
 
@@ -89,5 +95,5 @@ def analyze(
     ).withColumns({"model_version": F.lit(K.MODEL_VERSION), "feature_version": F.lit(K.FEATURE_VERSION)})
     estimates = quality.missing_fare_estimate(observations if missing_fares is None else missing_fares)
     return Signals(
-        anomalies, features.persistent_pattern(rows), confirmations, shocks, scores, estimates, index_warnings(grid, national)
+        anomalies, features.persistent_pattern(rows), confirmations, shocks, scores, estimates, index_warnings(grid, national, allow_partial)
     )

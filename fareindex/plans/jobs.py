@@ -6,14 +6,23 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import constants as K
 from ..operators import cleaning, index as ix, signals
-from ..schemas import ROUTE_INDICES, STORED_FARES
+from ..schemas import INDEX_RESULTS, ROUTE_INDICES, STORED_FARES
 from ..sources import quotes, stores
 from .calculation import IndexRun, daily_index, fixed_base_index
 
 OBSERVATIONS, RESULTS, ROUTE_RESULTS, EVENTS = "fare_observations", "index_results", "route_indices", "intelligence_events"
 
 
+EVENT_KEY = ("observation_date", "booking_window", "route", "event_type", "event_timestamp")
+
+
+def stored_schema(df: DataFrame) -> str:
+    """The schema of a frame as text, for a table that has none written yet."""
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def summarize(stored: int, counts: DataFrame, national: DataFrame, checksums: DataFrame, mode: str) -> DataFrame:
     """One summary row: stored, valid and rejected rows, indices per window of the latest date, checksum, mode."""
     latest = national.filter("national_index is not null").groupBy("booking_window").agg(
@@ -30,15 +39,18 @@ def summarize(stored: int, counts: DataFrame, national: DataFrame, checksums: Da
 
 
 def run_day(
-    spark: SparkSession, raw_by_day, root: str, day: dt.date, calculated_at: dt.datetime, version: str = "LIVE",
-    weights: DataFrame | None = None,
+    spark: SparkSession, raw_by_day, root: str, day: dt.date, calculated_at: dt.datetime, version: str | None = None,
+    weights: DataFrame | None = None, weight_version: str | None = None, source: str = "LIVE",
 ) -> tuple[IndexRun, int, bool]:
-    """Incremental run for one day.
+    """Incremental run for one day; ``version`` is the time of the run, so a day may be calculated again.
 
     ``raw_by_day(date)`` gives the raw quotes of a date. Without stored valid quotes of the day before, that day is
     cleaned and stored first and the base rows are seeded (cold start). Returns the run, rows stored and the cold flag.
+    A known version is refused before anything is written. Observations, routes and events are appended by key and the
+    results last, so a run that failed half-way can be repeated.
     """
-    weights = ix.demo_weights(spark) if weights is None else weights
+    weights = ix.one_version(ix.demo_weights(spark) if weights is None else weights, weight_version)
+    version = calculated_at.strftime("%Y%m%d%H%M%S") if version is None else version
     before = day - dt.timedelta(days=1)
     path = lambda name: f"{root}/{name}"
     at = F.lit(calculated_at)
@@ -48,11 +60,16 @@ def run_day(
         rows = stored.filter(F.col("observation_date") == F.lit(date))
         return quotes.stored_to_observations(rows)
 
+    key = [(F.lit(day).alias("observation_date"), F.lit(w).alias("booking_window")) for w in K.WINDOWS]
+    planned = spark.range(1).select(F.inline(F.array(*[F.struct(*k, F.lit(f"CALC_{day.isoformat()}_{version}").alias("calculation_version")) for k in key])))
+    stores.refuse_known(planned, path(RESULTS))
     added = 0
     cold = day_rows(before).isEmpty()
     if cold:
         added += stores.persist_observations(cleaning.clean(raw_by_day(before)).observations, path(OBSERVATIONS))
-        stores.seed_base_day(weights, F.lit(before), path(RESULTS), path(ROUTE_RESULTS), at)
+        if stores.read_table(spark, path(RESULTS), INDEX_RESULTS).filter(F.col("observation_date") == F.lit(before)).isEmpty():
+            of_day = F.lit(dt.datetime.combine(before, calculated_at.time()))
+            stores.seed_base_day(weights, F.lit(before), path(RESULTS), path(ROUTE_RESULTS), of_day, F.lit(f"OBS_{before.isoformat()}"))
     added += stores.persist_observations(cleaning.clean(raw_by_day(day)).observations, path(OBSERVATIONS))
     yesterday = stores.read_table(spark, path(ROUTE_RESULTS), ROUTE_INDICES).filter(F.col("observation_date") == F.lit(before))
     run = daily_index(
@@ -60,15 +77,19 @@ def run_day(
     )
     results = stores.result_rows(run.national, run.checksums(), version, at)
     routes = stores.route_rows(run.grid, run.contributions, weights, version, at)
+    found = signals.detect_anomalies(run.grid.filter("index_value is not null"))
+    events = signals.event_rows(found, source).withColumn("event_timestamp", at)
+    stores.append_new(events, path(EVENTS), stored_schema(events), EVENT_KEY)
     stores.store_results(results, routes, path(RESULTS), path(ROUTE_RESULTS))
-    events = signals.event_rows(signals.detect_anomalies(run.grid.filter("index_value is not null"))).withColumn("event_timestamp", at)
-    events.write.mode("append").partitionBy("observation_date").parquet(path(EVENTS))
     return run, added, cold
 
 
-def run_fixed_base(spark: SparkSession, raw: DataFrame, root: str, calculated_at: dt.datetime, weights: DataFrame | None = None) -> IndexRun:
+def run_fixed_base(
+    spark: SparkSession, raw: DataFrame, root: str, calculated_at: dt.datetime, weights: DataFrame | None = None,
+    weight_version: str | None = None,
+) -> IndexRun:
     """Rerunnable run over a whole batch against its first day; replaces the dates it writes."""
-    weights = ix.demo_weights(spark) if weights is None else weights
+    weights = ix.one_version(ix.demo_weights(spark) if weights is None else weights, weight_version)
     cleaned = cleaning.clean(raw).observations.filter("quality_status <> 'EXCLUDED'")
     stores.replace_days(stores.storable_observations(cleaned), f"{root}/{OBSERVATIONS}")
     # The stored, cleaned table cuts the lineage: the calculation starts from files, not from the raw scan.

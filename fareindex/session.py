@@ -50,10 +50,13 @@ _FALLBACK: dict[str, str] = {}
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the shared checkpoint location of the session.
 
-    A machine-local folder is made only where the session names none, as in tests.
+    A machine-local folder is made only where the session names none and runs on one machine, as in tests; on a cluster
+    every executor would write to its own disk.
     """
     root = spark.conf.get(CHECKPOINT_SETTING, None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _FALLBACK:
             _FALLBACK[app] = tempfile.mkdtemp(prefix="fareindex-")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as K
 from ..functions.text import valid_route
 from ..operators.cleaning import DUPLICATE_KEY, IDENTITY_TEXT, contract_violations
-from ..operators.index import base_day_rows
-from ..schemas import INDEX_RESULTS, STORED_FARES
+from ..operators.index import base_day_rows, one_version
+from ..schemas import INDEX_RESULTS, ROUTE_INDICES, STORED_FARES
 
 RESULT_KEY = ("observation_date", "booking_window", "calculation_version")
 CPI_KEY = ("reference_date", "item_code", "base_year")
@@ -33,8 +34,10 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def new_rows(df: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows whose key is not stored; the stored side brings its key columns only."""
-    return df.join(stored.select(*key), list(key), "left_anti")
+    """Rows whose key is not stored, null being equal to null; the stored side brings its key columns only."""
+    known = stored.select(*[F.col(c).alias(f"_k_{c}") for c in key])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key])
+    return df.join(known, same, "left_anti")
 
 
 def _append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -62,14 +65,19 @@ def storable_observations(normalized: DataFrame) -> DataFrame:
     )
 
 
+def without_timestamp(normalized: DataFrame) -> DataFrame:
+    """Observations that the stored table refuses, with the reason: its contract asks for the time of observation."""
+    return normalized.filter("quality_status <> 'EXCLUDED' AND observation_timestamp IS NULL").withColumn("quality_reason", F.lit(K.REASON_NO_TIMESTAMP))
+
+
 def persist_observations(normalized: DataFrame, path: str, marked: bool = True) -> int:
     """Append the observations that are not stored yet; returns how many were added.
 
     ``marked`` states that later copies are EXCLUDED already, as the cleaning leaves them; otherwise the earliest copy of
-    each key is taken here.
+    each key is taken here. Rows without a timestamp are left out (``without_timestamp`` gives them).
     """
     spark = normalized.sparkSession
-    kept = normalized.filter("quality_status <> 'EXCLUDED'")
+    kept = normalized.filter("quality_status <> 'EXCLUDED' AND observation_timestamp IS NOT NULL")
     batch = storable_observations(kept if marked else unique_observations(kept))
     # The days of a batch are few; naming them lets the scan skip all other partitions of the stored table.
     days = [r[0] for r in normalized.select("observation_date").distinct().collect()]
@@ -98,13 +106,27 @@ def conflicting_results(results: DataFrame, stored: DataFrame) -> DataFrame:
     return results.join(stored.select(*RESULT_KEY), list(RESULT_KEY), "left_semi")
 
 
-def store_results(results: DataFrame, route_indices: DataFrame, results_path: str, routes_path: str) -> None:
-    """Append one calculation; stored history is immutable, so a known version is refused."""
+def append_new(df: DataFrame, path: str, schema: str, key: Sequence[str]) -> None:
+    """Append the rows whose key is not stored, so that a repeated write adds nothing."""
+    _append(new_rows(df, read_table(df.sparkSession, path, schema), key), path, "observation_date")
+
+
+def refuse_known(results: DataFrame, results_path: str) -> None:
+    """Stored history is immutable: a known version is an error."""
     stored = read_table(results.sparkSession, results_path, INDEX_RESULTS)
     if not conflicting_results(results, stored).isEmpty():
         raise ValueError("calculation version already exists; historical results are immutable")
+
+
+def store_results(results: DataFrame, route_indices: DataFrame, results_path: str, routes_path: str) -> None:
+    """Append one calculation; a known version is refused before anything is written.
+
+    The results are written last and are the mark that a calculation is complete: after a failure in between, the next
+    run adds what is missing, and readers join the routes to the results.
+    """
+    refuse_known(results, results_path)
+    append_new(route_indices, routes_path, ROUTE_INDICES, (*RESULT_KEY, "route"))
     _append(results, results_path, "observation_date")
-    _append(route_indices, routes_path, "observation_date")
 
 
 def result_rows(national: DataFrame, checksums: DataFrame, version: str, calculated_at) -> DataFrame:
@@ -121,7 +143,7 @@ def route_rows(grid: DataFrame, contributions: DataFrame, weights: DataFrame, ve
     """Route results in the stored layout: point contribution, else the level."""
     key = ["observation_date", "route", "booking_window"]
     found = contributions.select(*key, F.coalesce("point_contribution", "level_contribution").alias("contribution"))
-    basket = weights.select("route", F.col("weight").alias("_w"))
+    basket = one_version(weights).select("route", F.col("weight").alias("_w"))
     return grid.join(found, key, "left").join(basket, "route", "left").select(
         "observation_date", "booking_window",
         F.concat(F.lit("CALC_"), F.col("observation_date").cast("string"), F.lit("_" + version)).alias("calculation_version"),
@@ -132,13 +154,17 @@ def route_rows(grid: DataFrame, contributions: DataFrame, weights: DataFrame, ve
     )
 
 
-def seed_base_day(weights: DataFrame, base_date, results_path: str, routes_path: str, calculated_at) -> None:
-    """Store the base day: index 100 for every window and basket route."""
+def seed_base_day(
+    weights: DataFrame, base_date, results_path: str, routes_path: str, calculated_at, observation_set: Column | None = None
+) -> None:
+    """Store the base day: index 100 for every window and basket route. ``observation_set`` names the quotes of a day that has some."""
+    weights = one_version(weights)
+    observation_set = F.lit("OBS_BASE") if observation_set is None else observation_set
     rows = base_day_rows(weights, base_date).withColumn("calculation_timestamp", calculated_at)
     results = rows.groupBy("observation_date", "booking_window", "calculation_version", "calculation_timestamp").agg(
         F.lit(K.BASE_INDEX).cast("decimal(12,4)").alias("index_value")
     ).select(
-        "observation_date", "booking_window", "index_value", F.lit("SUCCESS").alias("status"), F.lit("OBS_BASE").alias("observation_set_version"),
+        "observation_date", "booking_window", "index_value", F.lit("SUCCESS").alias("status"), observation_set.alias("observation_set_version"),
         F.lit(K.BASKET_VERSION).alias("basket_version"), weights.agg(F.max("version")).scalar().alias("weight_version"),
         F.lit(K.METHODOLOGY_VERSION).alias("methodology_version"), "calculation_version", F.repeat(F.lit("0"), 64).alias("execution_checksum"),
         "calculation_timestamp",
@@ -152,7 +178,7 @@ def load_reference(series: DataFrame, path: str) -> int:
     fresh = new_rows(series, stored, CPI_KEY)
     added = fresh.count()
     if added:
-        _append(fresh.coalesce(1), path)
+        _append(fresh.hint("rebalance"), path)
     return added
 
 
@@ -173,5 +199,3 @@ def replace_days(df: DataFrame, path: str) -> None:
     """Rewrite exactly the dates in the frame, for the rerun of a synthetic run; other dates stay."""
     writer = df.hint("rebalance", "observation_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("observation_date").parquet(path)
-
-

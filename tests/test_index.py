@@ -155,3 +155,24 @@ def test_plans_have_no_python_and_no_cartesian(spark, obs):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
         assert plan.count("ExistingRDD") <= 1  # the quotes are read once
+
+
+def test_several_weight_versions_need_a_choice(spark):
+    grid = spark.createDataFrame([(D0, "DEL-BOM", "T+7", 110.0, "SUCCESS")], "observation_date date, route string, booking_window string, index_value double, status string")
+    one = [("DEL-BOM", 1.0, "V1", 0)]
+    weights = spark.createDataFrame(one + [("DEL-BOM", 1.0, "V2", 0)], "route string, weight double, version string, ordinal int")
+    assert ix.national_index(grid, weights, version="V2").first().national_index == pytest.approx(110.0)
+    with pytest.raises(ValueError, match="several versions"):
+        ix.national_index(grid, weights)
+
+
+def test_quantiles_of_small_numbers(spark):
+    from fareindex.operators.quantiles import _band, exact_quantiles
+
+    values = [(x * 1e-6,) for x in range(1, 1001)] + [(-x * 1e-9,) for x in range(1, 200)] + [(0.0,)]
+    frame = spark.createDataFrame(values, "v double")
+    assert frame.select(_band(F.col("v"))).distinct().count() > 500
+    import numpy as np
+
+    got = exact_quantiles(frame, [], "v", {"m": 0.5, "q": 0.9}).first()
+    assert got.m == pytest.approx(np.quantile([v[0] for v in values], 0.5)) and got.q == pytest.approx(np.quantile([v[0] for v in values], 0.9))

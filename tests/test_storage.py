@@ -43,6 +43,39 @@ def test_cold_start_then_incremental(spark, by_day, tmp_path):
     assert not cold and added == 6
     with pytest.raises(ValueError, match="immutable"):
         jobs.run_day(spark, by_day, root, DAY + dt.timedelta(days=2), at, weights=weights)
+    # A later run of the same day is a new version; its observations are known.
+    _, added, _ = jobs.run_day(spark, by_day, root, DAY + dt.timedelta(days=2), at + dt.timedelta(hours=1), weights=weights)
+    assert added == 0
+    versions = stores.read_table(spark, f"{root}/{jobs.RESULTS}", INDEX_RESULTS).filter(F.col("observation_date") == F.lit(DAY + dt.timedelta(days=2))).select("calculation_version").distinct()
+    assert versions.count() == 2
+
+
+def test_failed_second_append_is_completed(spark, by_day, tmp_path, monkeypatch):
+    root, weights = str(tmp_path), ix.build_weights(spark.createDataFrame([("BLR-DEL", 1.0, "W", 0)], "route string, weight double, version string, ordinal int"))
+    at, day = dt.datetime(2026, 8, 21, 20), DAY + dt.timedelta(days=1)
+    jobs.run_day(spark, by_day, root, day, at - dt.timedelta(hours=1), weights=weights)
+    real = stores._append
+
+    def broken(df, path, partition_by=None):
+        if path.endswith(jobs.RESULTS):
+            raise OSError("disk")
+        real(df, path, partition_by)
+
+    monkeypatch.setattr(stores, "_append", broken)
+    with pytest.raises(OSError):
+        jobs.run_day(spark, by_day, root, day, at, weights=weights)
+    monkeypatch.setattr(stores, "_append", real)
+    jobs.run_day(spark, by_day, root, day, at, weights=weights)
+    mine = F.col("calculation_version").endswith(at.strftime("%Y%m%d%H%M%S"))
+    assert stores.read_table(spark, f"{root}/{jobs.RESULTS}", INDEX_RESULTS).filter(mine).count() == 5
+    assert stores.read_table(spark, f"{root}/{jobs.ROUTE_RESULTS}", ROUTE_INDICES).filter(mine).count() == 5
+
+
+def test_null_timestamps_are_refused_once_and_for_all(spark, raw, tmp_path):
+    rows = cl.clean(raw(*flights(DAY, 1.0, 0))).observations.withColumn("observation_timestamp", F.when(F.col("ingest_seq") > 2, F.col("observation_timestamp")))
+    assert stores.without_timestamp(rows).count() > 0
+    first = stores.persist_observations(rows, str(tmp_path / "t"))
+    assert 0 < first < 6 and stores.persist_observations(rows, str(tmp_path / "t")) == 0
 
 
 def test_persist_is_idempotent(spark, raw, tmp_path):
