@@ -10,14 +10,15 @@ from .common import written
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
     """Join the neighbours of each node to its smallest one: its larger neighbours, or (not `both`) its smaller ones and itself.
 
-    The smallest neighbour is a map-side combined minimum that is joined back, so a hub's neighbours are never brought together.
+    Edges lead from the larger node `a` to the smaller `b`. The smallest neighbour is a map-side combined minimum that is joined back, so
+    a hub's neighbours are never brought together, and each edge is joined once.
     """
-    seen = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else edges
+    turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    seen = edges.unionByName(turned) if both else edges
     low = seen.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    found = seen.join(low, "a")
     if both:
-        return found.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-    return (found.select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
+        return turned.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    return (edges.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
             .unionByName(low.select("a", F.col("low").alias("b"))).distinct())
 
 
