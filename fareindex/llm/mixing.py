@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import commonest, smallest_hashes, written
+from .common import WORD_PATTERN, commonest, smallest_hashes, written
 
-SIGNS = "#*$%&|<>"
+SIGNS = "[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
@@ -33,19 +33,18 @@ class Rates:
     mixing: Mixing
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+def _n_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
 def _terms(text: Column) -> Column:
     """Distinct terms of a text: runs of letters in lower case (anything in ASCII but a-z separates), and marks of its form."""
     text = F.coalesce(text, F.lit(""))
     length = F.greatest(F.length(text), F.lit(1))
-    upper = length - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    signs = length - F.length(F.translate(text, SIGNS, ""))
+    upper, signs = F.regexp_count(text, F.lit("[A-Z]")), F.regexp_count(text, F.lit(SIGNS))
     marks = F.array(F.when(upper * 2 > length, F.lit("<upper>")), F.when(signs * 20 > length, F.lit("<signs>")), F.when(length < 200, F.lit("<short>")))
     letters = F.split(F.lower(text), "[\\x00-\\x60\\x7B-\\x7F]+")
-    return F.array_distinct(F.concat(F.filter(letters, lambda w: w != ""), F.array_compact(marks)))
+    return F.array_distinct(F.concat(letters, F.array_compact(marks)))
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, mixing: Mixing = Mixing()) -> tuple[list[str], dict[str, float], DataFrame]:
@@ -65,7 +64,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, mixing: Mixing = Mixing()) -
     learned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _terms(F.col("text").cast("string")).alias("terms")).join(sample, "doc_id")
     each = learned.select("domain", F.explode("terms").alias("term"))
     seen = each.groupBy("term").agg(F.count(F.lit(1)).alias("every"), *[F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(names)])
-    seen = written(seen.filter(F.col("every") >= mixing.min_documents), "mixing-counts")
+    seen = written(seen.filter((F.col("every") >= mixing.min_documents) & (F.col("term") != "")), "mixing-counts")
     kept = seen.filter(commonest(seen, "term", "every", mixing.most_terms))
     share = F.col("every") / F.lit(float(total))
     ratios = []
@@ -84,7 +83,7 @@ def posteriors(docs: DataFrame, names: list[str], log_share: dict[str, float], t
     rounding down leaves goes to the likeliest domain, of equal ones the first.
     """
     text = F.col("text").cast("string")
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.size(_words(text)).cast("long").alias("n_tokens"),
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _n_words(text).alias("n_tokens"),
                        _terms(text).alias("terms")).select("row", "doc_id", "n_tokens", F.explode_outer("terms").alias("term"))
     summed = (rows.join(F.broadcast(terms), "term", "left").groupBy("row", "doc_id", "n_tokens")
               .agg(*[(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) + F.lit(log_share[d])).alias(f"s{i}") for i, d in enumerate(names)]))
@@ -157,7 +156,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], mixing: M
     """
     names, log_share, terms = fit_domains(docs, labels, mixing)
     if not names:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(_words(F.col("text").cast("string"))).cast("long").alias("n_tokens"),
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _n_words(F.col("text").cast("string")).alias("n_tokens"),
                            F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(float(mixing.budget)).alias("rate"))
     shared = written(posteriors(docs, names, log_share, terms), "mixing-posteriors")
     return rated(shared, fit_rates(shared, names, targets, mixing))
