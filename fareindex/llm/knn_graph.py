@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -24,7 +26,6 @@ class Graph:
     trees: int = 6              # random orders that the first neighbours come from
     block: int = 192            # consecutive nodes of such an order that are compared
     group: int = 48             # members of a neighbourhood that are compared at once; larger ones are dealt into several groups
-    rounds: int = 4             # of joining neighbours of neighbours, at most
     enough: float = 0.01        # share of changed neighbours below which the rounds end
     beam: int = 48              # candidates that a query keeps
     expand: int = 8             # of them that a step looks up the neighbours of
@@ -108,17 +109,18 @@ def _ordered_blocks(dim: int, g: Graph) -> Callable[[Iterable[pa.RecordBatch]],
 
 
 def first_neighbours(nodes: DataFrame, dim: int, g: Graph) -> DataFrame:
-    """Neighbours to begin with. Each tree orders the nodes by the signs of six random projections, then by a seventh; the orders are dealt
+    """Neighbours to begin with. Each tree orders the nodes by the signs of random projections, then by a last one; the orders are dealt
     by ranges, so every block has the same size however dense the vectors lie."""
-    planes = np.random.default_rng(11).standard_normal((g.trees, 7, dim))
+    bits = max(6, math.ceil(math.log2(max(1, nodes.count() / g.block))))  # as many cells as blocks
+    planes = np.random.default_rng(11).standard_normal((g.trees, bits + 1, dim))
 
     def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vecs = _matrix(batch.column("vec"), dim)
             for tree in range(g.trees):
                 value = vecs @ planes[tree].T
-                code = (value[:, :6] > 0) @ (1 << np.arange(6))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vecs), tree)), pa.array(code.astype(np.int64)), pa.array(value[:, 6]), batch.column("node"), batch.column("vec")],
+                code = (value[:, :bits] > 0) @ (1 << np.arange(bits))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vecs), tree)), pa.array(code.astype(np.int64)), pa.array(value[:, bits]), batch.column("node"), batch.column("vec")],
                                                  ["tree", "code", "along", "node", "vec"])
 
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -157,21 +159,29 @@ def build(nodes: DataFrame, dim: int, g: Graph = Graph()) -> DataFrame:
     """The neighbour graph: `node`, `near`, `score`, up to `neighbours` rows a node.
 
     A round joins the neighbours of each node, in both directions, with their vectors and compares those that have not met; what is nearer
-    than a member's farthest neighbour is merged into its list. A hub's many reverse neighbours are dealt into groups, anew each round.
-    Rounds end when few lists change. Each round's graph is a written table.
+    than a member's farthest neighbour is merged into its list. A hub's many reverse neighbours are dealt into groups, anew each round; as
+    its pairs meet only when they fall into one group, none of them counts as compared, until one group holds them all. Rounds end when few
+    lists change. Each round's graph is a written table.
     """
     spark = nodes.sparkSession
     vectors = nodes.select("node", "vec")
     with _small_batches(spark, 2000):
         graph = written(first_neighbours(nodes, dim, g).withColumn("fresh", F.lit(True)), "knn")
-    for turn in range(g.rounds):
+    dealt = None  # nodes whose neighbours were in several groups in the round before
+    for turn in itertools.count():
         both = graph.select("node", "near", "fresh").unionByName(graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "fresh"))
         around = both.groupBy("node", "near").agg(F.max("fresh").alias("fresh"))
         degree = around.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / g.group).cast("int").alias("groups"))
         worst = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= g.neighbours, F.min("score")).otherwise(F.lit(float("-inf"))).alias("worst"))
         info = vectors.join(worst, "node").select(F.col("node").alias("near"), "vec", "worst")
         member = F.struct(F.col("near").alias("id"), "fresh", "worst", "vec")
-        groups = (around.join(degree, "node").withColumn("part", F.pmod(F.xxhash64("near", F.lit(turn)), F.col("groups"))).join(info, "near")
+        if dealt is not None:
+            degree = degree.join(dealt, "node", "left")
+        apart = (F.col("groups") > 1) | (F.lit(False) if dealt is None else F.coalesce("dealt", F.lit(False)))
+        degree = written(degree.select("node", "groups", apart.alias("apart")), "knn-groups")
+        dealt = degree.filter("groups > 1").select("node", F.lit(True).alias("dealt"))
+        groups = (around.join(degree, "node").withColumn("fresh", F.col("fresh") | F.col("apart"))
+                  .withColumn("part", F.pmod(F.xxhash64("near", F.lit(turn)), F.col("groups"))).join(info, "near")
                   .groupBy("node", "part").agg(F.collect_list(member).alias("members")).filter(F.exists("members", lambda m: m["fresh"])))
         with _small_batches(spark, 500):
             found = written(groups.select("members").mapInArrow(_compare(dim, g), EDGES).distinct(), "knn-found")

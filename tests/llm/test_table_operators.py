@@ -146,6 +146,20 @@ def test_search_from_outside_and_tiny_tables(spark):
         assert knn_graph.nearest(few, F.lit(True)).count() == n * (n - 1)
 
 
+def test_pairs_of_a_hub_meet_in_later_rounds(spark):
+    rng = np.random.default_rng(2)
+    vecs = rng.standard_normal((600, 12))
+    vecs[:8] *= 6  # hubs under the inner product
+    nodes = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "node long, vec array<double>")
+    found = collections.defaultdict(set)
+    for r in knn_graph.build(nodes, 12, knn_graph.Graph(neighbours=12, trees=2, block=24, group=8)).collect():
+        found[r.node].add(r.near)
+    scores = vecs @ vecs.T
+    np.fill_diagonal(scores, -np.inf)
+    hits = sum(len(found[i] & set(near.tolist())) for i, near in enumerate(np.argsort(-scores, axis=1)[:, :12]))
+    assert hits >= 0.95 * 12 * len(vecs)
+
+
 def test_rates_equal_a_plain_fit(spark):
     rng = np.random.default_rng(5)
     p = rng.integers(0, 100, 300)
