@@ -110,8 +110,9 @@ def _ordered_blocks(dim: int, g: Graph) -> Callable[[Iterable[pa.RecordBatch]],
 
 def first_neighbours(nodes: DataFrame, dim: int, g: Graph) -> DataFrame:
     """Neighbours to begin with. Each tree orders the nodes by the signs of random projections, then by a last one; the orders are dealt
-    by ranges, so every block has the same size however dense the vectors lie."""
-    bits = max(6, math.ceil(math.log2(max(1, nodes.count() / g.block))))  # as many cells as blocks
+    by ranges of about 64 blocks, whatever Spark's settings, so every block has the same size however dense the vectors lie."""
+    rows = nodes.count()
+    bits = max(6, math.ceil(math.log2(max(1, rows / g.block))))  # as many cells as blocks
     planes = np.random.default_rng(11).standard_normal((g.trees, bits + 1, dim))
 
     def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +124,7 @@ def first_neighbours(nodes: DataFrame, dim: int, g: Graph) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vecs), tree)), pa.array(code.astype(np.int64)), pa.array(value[:, bits]), batch.column("node"), batch.column("vec")],
                                                  ["tree", "code", "along", "node", "vec"])
 
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, g.trees * rows // (64 * g.block))
     laid = nodes.select("node", "vec").mapInArrow(project, "tree long, code long, along double, node long, vec array<double>")
     laid = laid.repartitionByRange(parts, "tree", "code", "along", "node").sortWithinPartitions("tree", "code", "along", "node")
     return _best(laid.select("tree", "node", "vec").mapInArrow(_ordered_blocks(dim, g), EDGES).distinct(), g.neighbours)

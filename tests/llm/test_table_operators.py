@@ -160,6 +160,22 @@ def test_pairs_of_a_hub_meet_in_later_rounds(spark):
     assert hits >= 0.95 * 12 * len(vecs)
 
 
+@pytest.mark.parametrize("n", [10, 40])
+def test_few_vectors_and_many_shuffle_partitions(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(20 * i, [float(x) for x in rng.standard_normal(8)]) for i in range(n)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        found = knn_graph.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)).orderBy("query_id", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = collections.defaultdict(list)
+    for r in found:
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [i for _, i in near] for q, near in exact_neighbours(rows, 20).items()}
+
+
 def test_rates_equal_a_plain_fit(spark):
     rng = np.random.default_rng(5)
     p = rng.integers(0, 100, 300)
