@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import divergence, knn_graph, lattice_lm, minhash, mixing, revisits, toxicity, url_templates
+from . import alignment, divergence, filter_audit, knn_graph, lattice_lm, minhash, mixing, positional_index, revisits, toxicity, url_templates
 from .common import bucket, table
 from .sentencepiece_codec import encode
 from .token_counts import count_tokens
@@ -143,3 +143,24 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op11_filter_audit"] = filter_audit.audit_sql()
+
+
+@query
+def op12_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_positional_index"] = positional_index.decontaminate_sql()
+
+
+@query
+def op13_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
