@@ -274,7 +274,7 @@ def _(spark, sf):
 
 @query("d5_clean_quotes", f"SELECT ingest_seq, route, {D('day', 'observation_date')}, win AS booking_window, {R('fare', 'comparable_fare')}, canonical AS source, fingerprint, quality_status, quality_reason FROM cleaned")
 def _(spark, sf):
-    return fr.cleaned(spark, sf).observations.select(
+    return cl.split_assessed(fr.assessed(spark, sf)).observations.select(
         "ingest_seq", "route", "observation_date", "booking_window", "comparable_fare", "source", "fingerprint", "quality_status", "quality_reason"
     )
 
@@ -283,7 +283,7 @@ def _(spark, sf):
 FROM (SELECT day AS observation_date, 1 AS total, CAST(quality_status = 'VALID' AS INT) AS v, CAST(quality_status = 'EXCLUDED' AS INT) AS e, CAST(quality_status = 'OUTLIER' AS INT) AS x FROM cleaned
   UNION ALL SELECT day, 1, 0, 1, 0 FROM assessed WHERE coalesce(raw_reason, normalize_error, excluded_reason) IS NOT NULL) GROUP BY observation_date""")
 def _(spark, sf):
-    return cl.cleaning_counts(fr.cleaned(spark, sf))
+    return cl.assessed_counts(fr.assessed(spark, sf))
 
 
 @query("d13_index_ready", f"SELECT route, {D('day', 'observation_date')}, win AS booking_window, {R('fare', 'comparable_fare')}, canonical AS source, {TS('observation_timestamp')} FROM cleaned WHERE quality_status = 'VALID'")

@@ -78,5 +78,9 @@ def cleaned(spark, sf) -> cleaning.Cleaned:
     return cleaning.clean(td.flawed_quotes(spark, sf))
 
 
+def assessed(spark, sf) -> DataFrame:
+    return cleaning.assessed(td.flawed_quotes(spark, sf))
+
+
 def long_results(spark, sf) -> DataFrame:
     return td.order_index(spark, sf).withColumn("status", F.lit("SUCCESS"))

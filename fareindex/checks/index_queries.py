@@ -290,26 +290,21 @@ FULL JOIN (SELECT day AS d, canonical AS s, count(*) AS n FROM assessed WHERE co
 
 
 def quality_metrics(spark, sf):
-    from ..functions.text import canonical_source
-    from ..operators.cleaning import observation_day
-
-    result = fr.cleaned(spark, sf)
-    lost = result.rejected.select(observation_day().alias("observation_date"), canonical_source(F.col("source")).alias("source")).filter("source is not null")
-    return q.daily_quality_metrics(result.observations, lost, ix.demo_weights(spark).select("route"))
+    return q.daily_assessed(fr.assessed(spark, sf), ix.demo_weights(spark).select("route"))
 
 
 @query("d14_daily_quality_metrics", f"""SELECT {D('metric_date')}, source, CAST(observation_count AS BIGINT) AS observation_count, {R('round(route_coverage, 4)', 'route_coverage')}, {R('source_coverage')}, freshness_minutes,
   CAST(missing_observations AS BIGINT) AS missing_observations, CAST(invalid_observations AS BIGINT) AS invalid_observations, CAST(anomalous_valid_observations AS BIGINT) AS anomalous_valid_observations FROM qmetrics""")
 def _(spark, sf):
-    return quality_metrics(spark, sf).drop("route", "status", "generated_at")
+    return quality_metrics(spark, sf).select("metric_date", "source", "observation_count", "route_coverage", "source_coverage", "freshness_minutes",
+                                             "missing_observations", "invalid_observations", "anomalous_valid_observations")
 
 
 @query("a13_quality_summary", f"""SELECT count(*) AS total_observations, count(*) FILTER (quality_status = 'VALID') AS valid_observations, count(*) FILTER (quality_status = 'OUTLIER') AS outlier_count,
   {R("(SELECT round(arg_max(route_coverage, (generated_at, source)), 4) FROM qmetrics)", 'route_coverage')}, (SELECT arg_max(source, (generated_at, source)) FROM qmetrics) AS source,
   (SELECT arg_max(freshness_minutes, (generated_at, source)) FROM qmetrics) AS freshness_minutes, 'OPTIMAL' AS status FROM cleaned WHERE quality_status <> 'EXCLUDED'""")
 def _(spark, sf):
-    stored = fr.cleaned(spark, sf).observations.filter("quality_status <> 'EXCLUDED'")
-    return q.quality_summary(stored, quality_metrics(spark, sf)).select(
+    return q.summarize_assessed(fr.assessed(spark, sf), ix.demo_weights(spark).select("route")).select(
         "total_observations", "valid_observations", "outlier_count", "route_coverage", "source", "freshness_minutes", "status"
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,13 +11,15 @@ from .. import constants as K
 from ..functions.local import small_table
 from ..operators import cleaning as cl, index as ix, readside as rs
 from ..plans import jobs
-from ..schemas import INDEX_RESULTS, STORED_FARES
+from ..schemas import INDEX_RESULTS, QUALITY_METRICS, ROUTE_INDICES, STORED_FARES
 from ..session import work_dir
 from ..sources import cpi, quotes, stores, testdata as td
 from ..streaming import ingest
 from . import frames as fr
+from .cleaning_queries import CHECKSUM_SQL
 from .index_queries import SL3, quality_metrics
 from .registry import D, R, TS, cte, query
+from .tables import national
 
 cte("codes", "SELECT DISTINCT route FROM obs")
 
@@ -229,28 +232,109 @@ cte("live_elem", """SELECT c.route, c.win AS booking_window, exp(avg(ln(c.f / p.
 LIVE = f"""SELECT e.booking_window, {R('round_even(sum(w.weight * e.index_value) / sum(w.weight), 4)', 'index_value')} FROM live_elem e JOIN demo w ON w.route = e.route GROUP BY 1 HAVING sum(w.weight) >= 0.5"""
 
 
-def _run_day(spark, sf, root):
+AT = dt.datetime(2024, 1, 15, 23, 0, 0)
+
+# Every transition of the stored, valid quotes, as the jobs see them: fares in cents.
+cte("held", "SELECT *, route || '_' || win || '_' || concat_ws('|', n_airline, n_flight_number, n_departure_time, n_cabin_class, n_fare_type, n_baggage_characteristics) AS product, round(fare, 2) AS cents FROM cleaned WHERE quality_status = 'VALID'")
+cte("held_best", "SELECT day, route, win, product, min(cents) AS f FROM held GROUP BY ALL")
+cte("held_elem", """SELECT c.day, c.route, c.win, exp(avg(ln(c.f / p.f))) * 100 AS index_value FROM held_best c JOIN held_best p ON p.product = c.product AND p.day = c.day - 1 GROUP BY ALL""")
+cte("held_sizes", "SELECT day, route, win, count(*) AS n FROM held GROUP BY ALL")
+cte("held_seen", "SELECT DISTINCT t.day, s.route FROM (SELECT DISTINCT day FROM held WHERE day - 1 IN (SELECT day FROM held)) t JOIN held_sizes s ON s.day IN (t.day, t.day - 1)")
+cte("held_grid0", """SELECT s.day AS observation_date, s.route, w.booking_window, e.index_value, CASE WHEN e.index_value IS NULL THEN 'INSUFFICIENT_DATA' ELSE 'SUCCESS' END AS status,
+  coalesce(c.n, 0) AS num_current_observations, coalesce(p.n, 0) AS num_previous_observations FROM held_seen s CROSS JOIN windows w
+LEFT JOIN held_elem e ON e.day = s.day AND e.route = s.route AND e.win = w.booking_window LEFT JOIN held_sizes c ON c.day = s.day AND c.route = s.route AND c.win = w.booking_window
+LEFT JOIN held_sizes p ON p.day = s.day - 1 AND p.route = s.route AND p.win = w.booking_window""")
+cte("held_grid", "SELECT g.*, y.index_value AS previous_index FROM held_grid0 g LEFT JOIN (SELECT observation_date + 1 AS observation_date, route, booking_window, index_value FROM held_grid0) y USING (observation_date, route, booking_window)")
+# The live day starts from the base day, whose routes stand at 100.
+cte("live_grid", "SELECT g.* REPLACE (CASE WHEN d.route IS NOT NULL THEN 100.0::DOUBLE END AS previous_index) FROM held_grid g LEFT JOIN demo d USING (route) WHERE observation_date = DATE '2024-01-15'")
+national("live", "live_grid", "demo", True)
+national("hist", "held_grid", "demo", True)
+
+
+def stored_sql(grid: str, nat: str, version: str) -> str:
+    """Result, route and event rows of a stored calculation in one layout."""
+    return f"""
+SELECT 'result' AS kind, {D('n.observation_date', 'day')}, n.booking_window AS win, '' AS item, {R('round_even(n.national_index, 4)', 'v1')}, NULL::DOUBLE AS v2,
+  n.status || ' CALC_' || CAST(n.observation_date AS VARCHAR) || '_{version} ' || c.execution_checksum AS note FROM {nat} n JOIN ({CHECKSUM_SQL.replace('FROM nat GROUP', f'FROM {nat} GROUP').replace('FROM grid GROUP', f'FROM {grid} GROUP')}) c ON c.observation_date = CAST(n.observation_date AS VARCHAR)
+UNION ALL SELECT 'route', {D('g.observation_date', 'day')}, g.booking_window, g.route, {R('round_even(g.index_value, 4)', 'v1')}, {R('round_even(coalesce(c.point_contribution, c.level_contribution), 4)', 'v2')}, g.status
+  FROM {grid} g LEFT JOIN {nat}_contrib c ON c.observation_date = g.observation_date AND c.route = g.route AND c.booking_window = g.booking_window
+UNION ALL SELECT 'event', {D('observation_date', 'day')}, booking_window, route, {R('round_even(s, 4)', 'v1')}, {R('round_even(least(100, s * 10 + 35), 4)', 'v2')}, CASE WHEN s >= 4 THEN 'AIRFARE_SHOCK' ELSE 'ANOMALY' END
+  FROM (SELECT *, abs((index_value - previous_index) / previous_index * 100) AS s FROM {grid}) WHERE s >= 2"""
+
+
+def stored_tables(spark, root) -> list[DataFrame]:
+    """What ``stored_sql`` lists, read back."""
+    number = lambda c: F.col(c).cast("double")
+    layout = lambda df, kind, day, win, item, v1, v2, note: df.select(
+        F.lit(kind).alias("kind"), F.col(day).alias("day"), win.alias("win"), item.alias("item"), v1.cast("double").alias("v1"), v2.cast("double").alias("v2"), note.alias("note"))
+    results = stores.read_table(spark, f"{root}/{jobs.RESULTS}", INDEX_RESULTS)
+    routes = rs.finished(stores.read_table(spark, f"{root}/{jobs.ROUTE_RESULTS}", ROUTE_INDICES), results)
+    events = rs.finished_events(stores.read_table(spark, f"{root}/{jobs.EVENTS}", jobs.EVENT_SCHEMA), results)
+    none, empty = F.lit(None), F.lit("")
+    return [
+        layout(results, "result", "observation_date", F.col("booking_window"), empty, number("index_value"), none, F.concat_ws(" ", "status", "calculation_version", "execution_checksum")),
+        layout(routes, "route", "observation_date", F.col("booking_window"), F.col("route"), number("index_value"), number("contribution"), F.col("status")),
+        layout(events, "event", "observation_date", F.col("booking_window"), F.col("route"), number("anomaly_score"), number("pressure_score"), F.col("event_type")),
+        layout(stores.read_table(spark, f"{root}/{jobs.QUALITY}", QUALITY_METRICS), "quality", "metric_date", empty, F.col("source"), number("observation_count"), number("route_coverage"),
+               F.concat_ws(" ", "freshness_minutes", "missing_observations", "invalid_observations", "anomalous_valid_observations", "status")),
+        layout(stores.read_table(spark, f"{root}/{jobs.ROUTES}", stores.ROUTES_SCHEMA).withColumn("day", F.lit(None).cast("date")), "dimension", "day", empty, F.col("code"), none, none, F.concat_ws(" ", "origin", "destination")),
+    ]
+
+
+def _live(spark, sf, root) -> jobs.Report:
     raw = td.flawed_quotes(spark, sf)
     by_day = lambda day: raw.filter(cl.observation_day() == F.lit(day))
-    return jobs.run_day(spark, by_day, root, dt.date(2024, 1, 15), dt.datetime(2024, 1, 15, 23, 0, 0))
+    series = cpi.require_rows(cpi.national_series(td.cpi_sheet(spark, sf)))
+    return jobs.run_live(spark, by_day, root, dt.date(2024, 1, 15), AT, reference=series)
 
 
 @query("i1_incremental_day", LIVE)
 def _(spark, sf):
     root = work_dir(spark, "live")
-    _run_day(spark, sf, root)
+    _live(spark, sf, root)
     rows = stores.read_table(spark, f"{root}/{jobs.RESULTS}", INDEX_RESULTS).filter("observation_date = date'2024-01-15' and index_value is not null")
     return rows.select("booking_window", "index_value")
 
 
-SUMMARY = "SELECT 'SUCCESS' AS status, 'HISTORY' AS mode, count(*) FILTER (quality_status = 'VALID') AS valid_observations, count(*) FILTER (quality_status = 'OUTLIER') AS outlier_observations FROM cleaned"
+LIVE_DAYS = "(DATE '2024-01-14', DATE '2024-01-15')"
 
 
-@query("i2_run_summary", SUMMARY)
+@query("i1_stored_tables", f"""{stored_sql('live_grid', 'live', '20240115230000')}
+UNION ALL SELECT 'result', '2024-01-14', booking_window, '', 100.0, NULL, 'SUCCESS CALC_2024-01-14_BASE ' || repeat('0', 64) FROM windows
+UNION ALL SELECT 'route', '2024-01-14', booking_window, route, 100.0, 0.0, 'SUCCESS' FROM windows, demo
+UNION ALL SELECT 'quality', {D('metric_date', 'day')}, '', m.source, m.observation_count + 0.0, round(route_coverage, 4) + 0.0, CAST(floor(epoch(TIMESTAMP '2024-01-15 23:00:00' - to_days(CAST(DATE '2024-01-15' - metric_date AS INT)) - latest) / 60) AS BIGINT)
+  || ' ' || missing_observations || ' ' || invalid_observations || ' ' || anomalous_valid_observations || ' COMPLETE'
+  FROM qmetrics m JOIN (SELECT day, canonical AS source, max(observation_timestamp) AS latest FROM cleaned GROUP BY ALL) l ON l.day = m.metric_date AND l.source = m.source WHERE metric_date IN {LIVE_DAYS}
+UNION ALL SELECT DISTINCT 'dimension', NULL, '', route, NULL::DOUBLE, NULL::DOUBLE, o || ' ' || d FROM cleaned WHERE day IN {LIVE_DAYS}""")
 def _(spark, sf):
-    run = fr.history(spark, sf)
-    counts = cl.cleaning_counts(fr.cleaned(spark, sf))
-    return jobs.summarize(0, counts, run.national, run.checksums(), "HISTORY").select("status", "mode", "valid_observations", "outlier_observations")
+    root = work_dir(spark, "live")
+    _live(spark, sf, root)
+    return reduce(DataFrame.unionByName, stored_tables(spark, root))
+
+
+LOST = "coalesce(raw_reason, normalize_error, excluded_reason) IS NOT NULL"
+
+
+@query("i2_run_summary", f"""SELECT 'SUCCESS' AS status, 'LIVE' AS mode, 2 AS historical_days, TRUE AS cold_start, '2024-01-15' AS observation_date, '2024-01-14' AS previous_observation_date,
+  'CALC_2024-01-15_20240115230000' AS calculation_version, (SELECT string_agg(booking_window || '=' || printf('%.4f', round_even(national_index, 4)), ',' ORDER BY booking_window) FROM live WHERE national_index IS NOT NULL) AS national_indices,
+  (SELECT count(*) FROM assessed WHERE day IN {LIVE_DAYS}) AS total_processed, count(*) FILTER (quality_status <> 'EXCLUDED') AS observations_stored, count(*) FILTER (quality_status = 'VALID') AS valid_observations,
+  count(*) FILTER (quality_status = 'OUTLIER') AS outlier_observations, count(*) FILTER (quality_status = 'EXCLUDED') AS duplicate_observations, (SELECT count(*) FROM assessed WHERE day IN {LIVE_DAYS} AND {LOST}) AS rejected_observations,
+  count(DISTINCT route) AS routes_processed, 5 + (SELECT count(*) FROM live) AS index_results_stored, 30 + (SELECT count(*) FROM live_grid) AS route_indices_stored,
+  (SELECT count(*) FROM live_grid WHERE abs((index_value - previous_index) / previous_index * 100) >= 2) AS intelligence_events_stored, (SELECT count(*) FROM qmetrics WHERE metric_date IN {LIVE_DAYS}) AS quality_metrics_stored,
+  (SELECT count(*) FROM cpi) AS reference_records, (SELECT execution_checksum FROM ({CHECKSUM_SQL.replace('FROM nat GROUP', 'FROM live GROUP').replace('FROM grid GROUP', 'FROM live_grid GROUP')})) AS execution_checksum
+FROM cleaned WHERE day IN {LIVE_DAYS}""")
+def _(spark, sf):
+    shown = F.transform(F.array_sort(F.map_entries("national_indices")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"])))
+    return _live(spark, sf, work_dir(spark, "live")).frame(spark).withColumn("national_indices", F.array_join(shown, ","))
+
+
+@query("a8_resumed_history", stored_sql("held_grid", "hist", "H1"))
+def _(spark, sf):
+    root = work_dir(spark, "history")
+    stores.persist_observations(fr.cleaned(spark, sf).observations, f"{root}/{jobs.OBSERVATIONS}")
+    jobs.run_history(spark, root, "H1", AT, end=dt.date(2024, 1, 12))
+    jobs.run_history(spark, root, "H1", AT, days_per_step=12)
+    return reduce(DataFrame.unionByName, stored_tables(spark, root)[:3])
 
 
 @query("i4_streaming_ingest", f"""SELECT {D('observation_date')}, source, count(*) AS rows, {R('sum(CAST(comparable_fare AS DECIMAL(18, 2)))', 'fares')}
@@ -261,3 +345,13 @@ def _(spark, sf):
     ingest.run_ingest(ingest.raw_stream(spark, landing, files_per_batch=4), table, checkpoint)
     stored = stores.read_table(spark, table, STORED_FARES)
     return stored.groupBy("observation_date", "source").agg(F.count(F.lit(1)).alias("rows"), F.sum("comparable_fare").alias("fares"))
+
+
+@query("i4_batch_ledger", f"""SELECT (SELECT count(*) FROM flawed) AS rows, (SELECT count(*) FROM assessed WHERE {LOST}) AS rejected, (SELECT count(*) FROM accepted WHERE copy_no = 1) AS added, 0 AS added_by_second_feed""")
+def _(spark, sf):
+    landing, table = (work_dir(spark, n) for n in ("landing", "fares"))
+    td.flawed_quotes(spark, sf).repartition(8, "ingest_seq").write.parquet(landing)
+    for feed in ("one", "two"):
+        ingest.run_ingest(ingest.raw_stream(spark, landing, files_per_batch=4), table, work_dir(spark, "stream"), stream=feed)
+    of = lambda name, feed: F.sum(F.when(F.col("stream") == feed, F.col(name)))
+    return ingest.ledger(spark, table).agg(*[of(n, "one").alias(n) for n in ("rows", "rejected", "added")], of("added", "two").cast("int").alias("added_by_second_feed"))

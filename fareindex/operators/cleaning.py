@@ -174,7 +174,7 @@ def normalize_tidy(rows: DataFrame) -> DataFrame:
         F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")),
         lambda k, v: ~k.isin("canonical_source", "lead_days", "quality_reason_code", "observation_status"),
     )
-    kept = [c for c in ("ingest_seq",) if c in rows.columns]
+    kept = [c for c in ("ingest_seq", "_raw", "reject_reason") if c in rows.columns]
     return rows.select(
         *kept,
         "origin", "destination", F.concat_ws("-", "origin", "destination").alias("route"), "travel_date",
@@ -259,15 +259,16 @@ def _same_key() -> Column:
     )
 
 
-def mark_duplicates(df: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+def mark_duplicates(df: DataFrame, keys: DataFrame | None = None, among: Column | None = None) -> DataFrame:
     """Later copies become EXCLUDED and stay in the table; the first by ``ingest_seq`` is kept.
 
-    The join side holds repeated keys only; adaptive execution broadcasts it when small and splits a skewed key.
+    The join side holds repeated keys only; adaptive execution broadcasts it when small and splits a skewed key. ``among``
+    states which rows take part; the others pass unchanged.
     """
-    keys = duplicate_keys(df) if keys is None else keys
+    keys = duplicate_keys(df if among is None else df.filter(among)) if keys is None else keys
     late = F.coalesce(F.col("ingest_seq") > F.col("first_seq"), F.lit(False))
     k = keys.select(*[F.col(c).alias(f"_k_{c}") for c in DUPLICATE_KEY], "first_seq")
-    joined = df.join(k, _same_key(), "left").withColumn("_late", late)
+    joined = df.join(k, _same_key() if among is None else among & _same_key(), "left").withColumn("_late", late)
     own = F.map_filter(F.col("metadata"), lambda k, v: k != "quality_reason_code")
     noted = F.map_concat(own, F.create_map(F.lit("quality_reason_code"), F.lit("DUPLICATE")))
     return joined.select(
@@ -360,6 +361,45 @@ def clean(raw: DataFrame, multiplier: float = 1.5) -> Cleaned:
     return Cleaned(mark_outliers(mark_duplicates(good), bounds=bounds), rejected(raw))
 
 
+REJECTED = "REJECTED"
+
+
+def assessed(raw: DataFrame, multiplier: float = 1.5) -> DataFrame:
+    """Every raw row once: its normalized columns, ``quality_status`` (VALID, EXCLUDED copy, OUTLIER or REJECTED), ``quality_reason``, and
+    the untouched row of a rejected quote in ``_raw``.
+
+    What ``clean`` gives as two frames, with one pass over the quotes for the rows and one for the keys.
+    """
+    fine = F.col("reject_reason").isNull()
+    rows = normalize_tidy(assess(raw, keep_raw=True)).drop("normalize_error")
+    good = accepted(raw)
+    bounds = iqr_bounds(kept_fares(good), multiplier=multiplier)
+    marked = mark_outliers(mark_duplicates(
+        rows.withColumn("quality_status", F.when(fine, "VALID").otherwise(REJECTED)).withColumn("quality_reason", F.coalesce("reject_reason", F.lit(""))),
+        duplicate_keys(good), fine), bounds=bounds)
+    return marked.withColumn("_raw", F.when(~fine, F.col("_raw"))).drop("reject_reason")
+
+
+def split_assessed(rows: DataFrame) -> Cleaned:
+    """The two frames of ``clean`` from an assessed table, written or not."""
+    own = F.map_filter(F.coalesce(F.col("_raw.metadata"), F.create_map().cast("map<string,string>")),
+                       lambda k, v: ~k.isin("quality_status", "quality_reason"))
+    note = F.create_map(F.lit("quality_status"), F.lit("EXCLUDED"), F.lit("quality_reason"), F.col("quality_reason"))
+    lost = rows.filter(F.col("quality_status") == REJECTED)
+    return Cleaned(rows.filter(F.col("quality_status") != REJECTED).drop("_raw"),
+                   lost.select("_raw", F.col("quality_reason").alias("reject_reason"), F.map_concat(own, note).alias("_m"))
+                   .select("_raw.*", "reject_reason", "_m").withColumn("metadata", F.col("_m")).drop("_m"))
+
+
+def assessed_counts(rows: DataFrame, by: str = "observation_date") -> DataFrame:
+    """Total, valid, excluded and outlier counts per batch of an assessed table, in one aggregation."""
+    status = F.col("quality_status")
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("total_processed"), F.count_if(status == "VALID").alias("valid_count"),
+        F.count_if(status.isin("EXCLUDED", REJECTED)).alias("excluded_count"), F.count_if(status == "OUTLIER").alias("outlier_count"),
+    )
+
+
 def cleaning_counts(result: Cleaned, by: str = "observation_date") -> DataFrame:
     """Total, valid, excluded and outlier counts per batch."""
     kept = result.observations.groupBy(by).agg(

@@ -80,13 +80,15 @@ def build_weights(raw: DataFrame, auto_normalize: bool = False) -> DataFrame:
 def one_version(weights: DataFrame, version: str | None = None) -> DataFrame:
     """The rows of the chosen weight version. Without a choice the table must hold one version only.
 
-    Weights are a configured table of some rows per version; its version names are read by the driver.
+    Weights are a configured table of some rows per version; its version names are read by the driver. An unknown version is an error.
     """
-    if version is not None:
-        return weights.filter(F.col("version") == version)
-    if "version" not in weights.columns:  # a bare basket
+    if version is None and "version" not in weights.columns:  # a bare basket
         return weights
     found = sorted({str(r[0]) for r in weights.select("version").collect()})
+    if version is not None:
+        if version not in found:
+            raise ValueError(f"the weight table has no version {version}; it holds {', '.join(found) or 'none'}")
+        return weights.filter(F.col("version") == version)
     if len(found) > 1:
         raise ValueError(f"the weight table holds several versions ({', '.join(found)}); choose one")
     return weights

@@ -95,6 +95,49 @@ def daily_quality_metrics(
     )
 
 
+def daily_assessed(rows: DataFrame, expected_routes: DataFrame, now: Column | None = None) -> DataFrame:
+    """The metrics of ``daily_quality_metrics`` from an assessed table (``cleaning.assessed``) in one aggregation, with the counts by status.
+
+    Rejected quotes without a known source belong to no row.
+    """
+    lost, status = F.col("quality_status") == "REJECTED", F.col("quality_status")
+    routes = expected_routes.select("route", F.lit(True).alias("_hit"))
+    wanted = F.coalesce(expected_routes.agg(F.count(F.lit(1))).scalar(), F.lit(0))
+    end_of_day = F.date_add("metric_date", 1).cast("timestamp") if now is None else now
+    key = ["metric_date", "source"]
+    per_route = rows.filter("source is not null").select(
+        F.col("observation_date").alias("metric_date"), "source", F.when(~lost, F.col("route")).alias("route"), "quality_status",
+        F.when(~lost, F.col("observation_timestamp")).alias("_at"),
+    ).groupBy(*key, "route").agg(
+        F.count_if(~lost).alias("n"), F.count_if(lost).alias("lost"), F.max("_at").alias("latest"),
+        *[F.count_if(status == s).alias(s.lower()) for s in ("VALID", "SUSPECT", "EXCLUDED", "OUTLIER")],
+    )
+    counts = ("n", "lost", "valid", "suspect", "excluded", "outlier")
+    daily = per_route.join(routes, "route", "left").groupBy(*key).agg(
+        *[F.sum(c).alias(c) for c in counts], F.count("_hit").alias("hits"), F.max("latest").alias("latest")
+    )
+    return daily.select(
+        "metric_date", F.lit(None).cast("string").alias("route"), "source",
+        (F.col("n") + F.col("lost")).alias("observation_count"),
+        F.coalesce(F.try_divide("hits", wanted), F.lit(0.0)).cast("decimal(6,4)").alias("route_coverage"),
+        F.when(F.col("n") > 0, 1).otherwise(0).cast("decimal(6,4)").alias("source_coverage"),
+        F.floor(freshness_minutes(F.col("latest"), end_of_day)).cast("int").alias("freshness_minutes"),
+        F.col("lost").alias("missing_observations"), F.col("excluded").alias("invalid_observations"),
+        F.col("outlier").alias("anomalous_valid_observations"), F.lit("COMPLETE").alias("status"), end_of_day.alias("generated_at"),
+        *[F.col(c).alias(f"_{c}") for c in ("valid", "suspect", "excluded", "outlier")],
+    )
+
+
+def summarize_assessed(rows: DataFrame, expected_routes: DataFrame, now: Column | None = None) -> DataFrame:
+    """``quality_summary`` of the stored rows and the latest metrics, both from one aggregation of an assessed table."""
+    daily = daily_assessed(rows, expected_routes, now)
+    held = {"total_observations": F.col("_valid") + F.col("_suspect") + F.col("_outlier"), "valid_observations": F.col("_valid"),
+            "suspect_observations": F.col("_suspect"), "excluded_observations": F.lit(0), "outlier_count": F.col("_outlier")}
+    latest = F.max_by(F.struct("source", "route_coverage", "source_coverage", "freshness_minutes", "generated_at"), F.struct("generated_at", "source"))
+    counts = daily.agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(n) for n, v in held.items()], latest.alias("_m"))
+    return _summary(counts, list(held))
+
+
 def quality_summary(observations: DataFrame, metrics: DataFrame) -> DataFrame:
     """One row: counts by status, the latest metric row and source health."""
     counts = observations.agg(
@@ -109,9 +152,14 @@ def quality_summary(observations: DataFrame, metrics: DataFrame) -> DataFrame:
             F.struct("generated_at", "source"),
         )
     ).scalar()
+    return _summary(counts.withColumn("_m", latest), counts.columns)
+
+
+def _summary(counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The summary row of counts and ``_m``, the latest metric row."""
     source_coverage = F.coalesce(F.col("_m.source_coverage").cast("double"), F.lit(1.0))
-    return counts.withColumn("_m", latest).select(
-        *counts.columns,
+    return counts.select(
+        *names,
         F.coalesce(F.col("_m.route_coverage").cast("double"), F.lit(1.0)).alias("route_coverage"),
         source_coverage.alias("source_coverage"),
         F.coalesce(F.col("_m.freshness_minutes"), F.lit(1)).alias("freshness_minutes"),

@@ -34,6 +34,21 @@ def read_filter(
     return df
 
 
+RUN_KEY = ("observation_date", "booking_window", "calculation_version")
+
+
+def finished(rows: DataFrame, results: DataFrame | None) -> DataFrame:
+    """Rows of finished calculations. The results are written last and so are the list of what is complete: rows of a run that is still
+    being written, or that failed half-way, are left out. Without results the rows as they are."""
+    return rows if results is None else rows.join(results.select(*RUN_KEY), list(RUN_KEY), "left_semi").select(*rows.columns)
+
+
+def finished_events(events: DataFrame, results: DataFrame) -> DataFrame:
+    """Events of finished calculations; an event carries the time of its calculation."""
+    done = results.select("observation_date", "booking_window", F.col("calculation_timestamp").alias("event_timestamp"))
+    return events.join(done, ["observation_date", "booking_window", "event_timestamp"], "left_semi").select(*events.columns)
+
+
 def latest_runs(results: DataFrame, key: Sequence[str] = ("observation_date", "booking_window")) -> DataFrame:
     """The latest calculation of each key among reruns; reruns collapse before the shuffle."""
     rest = [c for c in results.columns if c not in key]
@@ -61,8 +76,10 @@ def index_history(results: DataFrame, start: str | None = None, end: str | None
     return latest_runs(read_filter(results, start, end, window)).orderBy("observation_date", "booking_window")
 
 
-def latest_route_index(route_indices: DataFrame, window: str | None = None) -> DataFrame:
-    """Latest index of every route (per window when none is named the newest of any) with the change in percent."""
+def latest_route_index(route_indices: DataFrame, window: str | None = None, results: DataFrame | None = None) -> DataFrame:
+    """Latest index of every route (per window when none is named the newest of any) with the change in percent, of finished runs where
+    the results are given."""
+    route_indices = finished(route_indices, results)
     rows = route_indices if window is None else route_indices.filter(F.col("booking_window") == window)
     rows = with_previous(latest_runs(rows, ("route", "booking_window", "observation_date")), ("route", "booking_window"))
     rest = [c for c in rows.columns if c != "route"]

@@ -54,6 +54,11 @@ def _finish(grid: DataFrame, weights: DataFrame, allow_partial: bool, min_covera
     return IndexRun(grid, national, parts, _date_counts(grid, previous_date))
 
 
+def from_grid(grid: DataFrame, weights: DataFrame, allow_partial: bool, previous_date: Column, min_coverage: float = K.MIN_COVERAGE) -> IndexRun:
+    """The run of a grid that was stored in between: results and contributions start from its rows."""
+    return _finish(grid, weights, allow_partial, min_coverage, previous_date)
+
+
 def historical_index(
     observations: DataFrame, weights: DataFrame, windows: Sequence[str] = K.WINDOWS, allow_partial: bool = False,
     min_coverage: float = K.MIN_COVERAGE, min_pairs: int = 1, include_travel_date: bool = False,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -62,3 +62,15 @@ def work_dir(spark: SparkSession, label: str) -> str:
             _FALLBACK[app] = tempfile.mkdtemp(prefix="fareindex-")
         root = _FALLBACK[app]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str, **figures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The frame as a table in the work folder, so that what follows starts from files, and the number of rows with further figures.
+
+    The figures are counted on the rows as they are written, after the last shuffle: a task that is run again counts once.
+    """
+    path = work_dir(df.sparkSession, label)
+    seen = Observation()
+    counted = df.hint("rebalance").observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in figures.items()])
+    counted.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), {name: seen.get.get(name) or 0 for name in ("rows", *figures)}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from typing import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from .. import constants as K
 from ..functions.text import valid_route
@@ -23,14 +23,17 @@ CPI_SCHEMA = (
 )
 
 
+def written_yet(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there, in whatever store the path names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The stored table, empty when nothing has been written yet."""
-    try:
+    if written_yet(spark, path):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)  # decimal and map columns included
+    return spark.createDataFrame([], schema)  # decimal and map columns included
 
 
 def new_rows(df: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -40,12 +43,27 @@ def new_rows(df: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.join(known, same, "left_anti")
 
 
-def _append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    if partition_by is None:
-        df.write.mode("append").parquet(path)
-        return
+def _write(df: DataFrame, path: str, partition_by: str | None, mode: str, options: dict[str, str]) -> int:
+    """Write and return the number of rows, counted on the rows as they are written: nothing is counted before or after, and a task that is
+    run again counts once, as the count stands behind the last shuffle."""
+    seen = Observation()
     # Rebalancing gives each date its own files and splits a date that is much larger than the others.
-    df.hint("rebalance", partition_by).write.mode("append").partitionBy(partition_by).parquet(path)
+    rows = df if partition_by is None else df.hint("rebalance", partition_by)
+    writer = rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).options(**options)
+    (writer if partition_by is None else writer.partitionBy(partition_by)).parquet(path)
+    return seen.get.get("rows") or 0
+
+
+def _append(df: DataFrame, path: str, partition_by: str | None = None) -> int:
+    return _write(df, path, partition_by, "append", {})
+
+
+def pruned_by(stored: DataFrame, batch: DataFrame, partition: str = "observation_date") -> DataFrame:
+    """The rows of a partitioned table on the dates of a batch. The dates are sent to the scan while the query runs, which then reads only
+    their folders; a batch has few dates, one for each calendar day."""
+    # The comparison holds for every date; the planner prunes by a side only if that side is filtered.
+    days = batch.select(F.col(partition).alias("_day")).filter(F.col("_day") >= F.lit("0001-01-01").cast("date")).distinct()
+    return stored.join(F.broadcast(days), F.col(partition) == F.col("_day"), "left_semi")
 
 
 def unique_observations(df: DataFrame) -> DataFrame:
@@ -70,21 +88,24 @@ def without_timestamp(normalized: DataFrame) -> DataFrame:
     return normalized.filter("quality_status <> 'EXCLUDED' AND observation_timestamp IS NULL").withColumn("quality_reason", F.lit(K.REASON_NO_TIMESTAMP))
 
 
-def persist_observations(normalized: DataFrame, path: str, marked: bool = True) -> int:
+def persist_observations(normalized: DataFrame, path: str, marked: bool = True, held: bool = False, tag: str | None = None) -> int:
     """Append the observations that are not stored yet; returns how many were added.
 
     ``marked`` states that later copies are EXCLUDED already, as the cleaning leaves them; otherwise the earliest copy of
-    each key is taken here. Rows without a timestamp are left out (``without_timestamp`` gives them).
+    each key is taken here. Rows without a timestamp are left out (``without_timestamp`` gives them). The batch is computed once: its rows
+    are held while their dates prune the scan of the stored table, unless the caller has ``held`` them or they come from files; a lost part
+    is computed again. ``tag`` is stored with the rows as ``ingest_batch``, which readers of the plain layout do not see.
     """
-    spark = normalized.sparkSession
     kept = normalized.filter("quality_status <> 'EXCLUDED' AND observation_timestamp IS NOT NULL")
-    batch = storable_observations(kept if marked else unique_observations(kept))
-    # The days of a batch are few; naming them lets the scan skip all other partitions of the stored table.
-    days = [r[0] for r in normalized.select("observation_date").distinct().collect()]
-    stored = read_table(spark, path, STORED_FARES).filter(F.col("observation_date").isin(days))
-    before = stored.count()
-    _append(new_rows(batch, stored, DUPLICATE_KEY), path, "observation_date")
-    return read_table(spark, path, STORED_FARES).filter(F.col("observation_date").isin(days)).count() - before
+    kept = kept if held else kept.persist(StorageLevel.DISK_ONLY)
+    try:
+        batch = storable_observations(kept if marked else unique_observations(kept))
+        stored = pruned_by(read_table(normalized.sparkSession, path, STORED_FARES), kept)
+        fresh = new_rows(batch, stored, DUPLICATE_KEY)
+        return _append(fresh if tag is None else fresh.withColumn("ingest_batch", F.lit(tag)), path, "observation_date")
+    finally:
+        if not held:
+            kept.unpersist()
 
 
 def missing_routes(df: DataFrame, routes: DataFrame) -> DataFrame:
@@ -96,9 +117,10 @@ def missing_routes(df: DataFrame, routes: DataFrame) -> DataFrame:
     )
 
 
-def upsert_routes(df: DataFrame, path: str) -> None:
+def upsert_routes(df: DataFrame, path: str) -> int:
+    """Append the routes of the rows that the dimension does not hold; returns how many were added."""
     routes = read_table(df.sparkSession, path, ROUTES_SCHEMA)
-    _append(missing_routes(df, routes), path)
+    return _append(missing_routes(df, routes), path)
 
 
 def conflicting_results(results: DataFrame, stored: DataFrame) -> DataFrame:
@@ -106,9 +128,9 @@ def conflicting_results(results: DataFrame, stored: DataFrame) -> DataFrame:
     return results.join(stored.select(*RESULT_KEY), list(RESULT_KEY), "left_semi")
 
 
-def append_new(df: DataFrame, path: str, schema: str, key: Sequence[str]) -> None:
-    """Append the rows whose key is not stored, so that a repeated write adds nothing."""
-    _append(new_rows(df, read_table(df.sparkSession, path, schema), key), path, "observation_date")
+def append_new(df: DataFrame, path: str, schema: str, key: Sequence[str], partition_by: str | None = "observation_date") -> int:
+    """Append the rows whose key is not stored, so that a repeated write adds nothing; returns how many were added."""
+    return _append(new_rows(df, read_table(df.sparkSession, path, schema), key), path, partition_by)
 
 
 def refuse_known(results: DataFrame, results_path: str) -> None:
@@ -118,15 +140,19 @@ def refuse_known(results: DataFrame, results_path: str) -> None:
         raise ValueError("calculation version already exists; historical results are immutable")
 
 
-def store_results(results: DataFrame, route_indices: DataFrame, results_path: str, routes_path: str) -> None:
-    """Append one calculation; a known version is refused before anything is written.
+def store_results(
+    results: DataFrame, route_indices: DataFrame, results_path: str, routes_path: str, checked: bool = False
+) -> tuple[int, int]:
+    """Append one calculation; a known version is refused before anything is written, unless the caller has ``checked`` the keys.
 
     The results are written last and are the mark that a calculation is complete: after a failure in between, the next
-    run adds what is missing, and readers join the routes to the results.
+    run adds what is missing, and ``readside.finished`` shows readers the routes of complete calculations only. Returns the rows added to
+    the results and to the routes.
     """
-    refuse_known(results, results_path)
-    append_new(route_indices, routes_path, ROUTE_INDICES, (*RESULT_KEY, "route"))
-    _append(results, results_path, "observation_date")
+    if not checked:
+        refuse_known(results, results_path)
+    routes = append_new(route_indices, routes_path, ROUTE_INDICES, (*RESULT_KEY, "route"))
+    return _append(results, results_path, "observation_date"), routes
 
 
 def result_rows(national: DataFrame, checksums: DataFrame, version: str, calculated_at) -> DataFrame:
@@ -156,8 +182,14 @@ def route_rows(grid: DataFrame, contributions: DataFrame, weights: DataFrame, ve
 
 def seed_base_day(
     weights: DataFrame, base_date, results_path: str, routes_path: str, calculated_at, observation_set: Column | None = None
-) -> None:
-    """Store the base day: index 100 for every window and basket route. ``observation_set`` names the quotes of a day that has some."""
+) -> tuple[int, int]:
+    """Store the base day; returns the rows added to the results and to the routes."""
+    return store_results(*base_day_tables(weights, base_date, calculated_at, observation_set), results_path, routes_path)
+
+
+def base_day_tables(weights: DataFrame, base_date, calculated_at, observation_set: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Results and route rows of the base day: index 100 for every window and basket route. ``observation_set`` names the quotes of a day that
+    has some."""
     weights = one_version(weights)
     observation_set = F.lit("OBS_BASE") if observation_set is None else observation_set
     rows = base_day_rows(weights, base_date).withColumn("calculation_timestamp", calculated_at)
@@ -169,17 +201,13 @@ def seed_base_day(
         F.lit(K.METHODOLOGY_VERSION).alias("methodology_version"), "calculation_version", F.repeat(F.lit("0"), 64).alias("execution_checksum"),
         "calculation_timestamp",
     )
-    store_results(results, rows, results_path, routes_path)
+    return results, rows
 
 
 def load_reference(series: DataFrame, path: str) -> int:
     """Append the reference months that are not stored yet; returns how many were added."""
     stored = read_table(series.sparkSession, path, CPI_SCHEMA)
-    fresh = new_rows(series, stored, CPI_KEY)
-    added = fresh.count()
-    if added:
-        _append(fresh.hint("rebalance"), path)
-    return added
+    return _append(new_rows(series, stored, CPI_KEY).hint("rebalance"), path)
 
 
 def append_checked(df: DataFrame, path: str) -> DataFrame:
@@ -195,7 +223,6 @@ def append_rows(df: DataFrame, path: str, schema: str) -> None:
     _append(df.select(*columns), path)
 
 
-def replace_days(df: DataFrame, path: str) -> None:
-    """Rewrite exactly the dates in the frame, for the rerun of a synthetic run; other dates stay."""
-    writer = df.hint("rebalance", "observation_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("observation_date").parquet(path)
+def replace_days(df: DataFrame, path: str) -> int:
+    """Rewrite exactly the dates in the frame, for the rerun of a synthetic run; other dates stay. Returns the rows written."""
+    return _write(df, path, "observation_date", "overwrite", {"partitionOverwriteMode": "dynamic"})
