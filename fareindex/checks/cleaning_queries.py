@@ -8,9 +8,10 @@ from .. import constants as K
 from ..functions import fares, fingerprints as fp, text
 from ..operators import cleaning as cl, index as ix
 from ..operators.quantiles import exact_quantiles
+from ..session import work_dir
 from ..sources import cpi, quotes, testdata as td
 from . import frames as fr
-from .registry import D, R, TS, query
+from .registry import D, R, TS, cents, query
 from .tables import FARE, TEXTS, bad, norm
 
 FARE_TEXT_SQL = """CASE event_id % 9 WHEN 0 THEN 'INR ' || value WHEN 1 THEN '₹' || value WHEN 2 THEN 'Rs. ' || value WHEN 3 THEN '  1,' || value || ' '
@@ -293,19 +294,17 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------- sources
 
-@query("s1_complete_raw", f"""SELECT ingest_seq, {R('CASE WHEN ingest_seq % 3 = 0 AND total_fare > 0 THEN total_fare * 0.82 ELSE base_fare END', 'base_fare')},
+@query("s1_complete_raw", f"""SELECT ingest_seq, {R(f'CASE WHEN ingest_seq % 3 = 0 AND total_fare > 0 THEN {cents("total_fare * 0.82")} ELSE base_fare END', 'base_fare')},
+  {R(f'CASE WHEN ingest_seq % 3 = 0 AND total_fare > 0 THEN {cents("total_fare * 0.15")} ELSE taxes END', 'taxes')},
   sha256(concat_ws('|', origin || '-' || destination, CAST(travel_date AS VARCHAR), airline, flight_number, departure_time, booking_window, raw.source, strftime(observation_timestamp, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00')) AS observation_id FROM raw""")
 def _(spark, sf):
     some = F.when(F.col("ingest_seq") % 3 != 0, F.col("base_fare"))
     rows = quotes.complete_raw(td.raw_quotes(spark, sf).withColumn("base_fare", some))
-    # Compared within half a cent: amounts that end in an exact half cent round differently in the two engines.
-    exact = F.when((F.col("ingest_seq") % 3 == 0) & (F.col("total_fare") > 0), F.col("total_fare") * 0.82).otherwise(F.col("base_fare"))
-    near = F.when(F.abs(F.col("base_fare") - exact) < 0.0051, exact)
-    return rows.select("ingest_seq", near.alias("base_fare"), "observation_id")
+    return rows.select("ingest_seq", "base_fare", "taxes", "observation_id")
 
 
 @query("s2_flatten_itineraries", f"""SELECT ingest_seq, 'UNKNOWN' AS fare_type, flight_number, departure_time, CASE WHEN ingest_seq % 4 = 0 THEN 'UNKNOWN' ELSE 'ECONOMY' END AS cabin_class,
-  CASE WHEN ingest_seq % 2 = 0 THEN 'NOT_SPECIFIED' ELSE '{{"checked":1}}' END AS baggage_characteristics, {R('total_fare')}, 'INR' AS currency, airline
+  CASE WHEN ingest_seq % 2 = 0 THEN 'NOT_SPECIFIED' ELSE '{{"checked":1}}' END AS baggage_characteristics, {R('total_fare')}, 'INR' AS currency, airline, ingest_seq || ' false None' AS metadata
 FROM raw WHERE ingest_seq % 11 <> 0 AND ingest_seq % 13 <> 0""")
 def _(spark, sf):
     n = F.col("ingest_seq")
@@ -322,7 +321,8 @@ def _(spark, sf):
     )
     raw = td.raw_quotes(spark, sf).select("ingest_seq", "origin", "destination", "travel_date", "observation_date", body.alias("itinerary"))
     return quotes.flatten_itineraries(raw).select(
-        "ingest_seq", "fare_type", "flight_number", "departure_time", "cabin_class", "baggage_characteristics", "total_fare", "currency", "airline"
+        "ingest_seq", "fare_type", "flight_number", "departure_time", "cabin_class", "baggage_characteristics", "total_fare", "currency", "airline",
+        F.concat_ws(" ", *[F.col("metadata")[k] for k in ("ignav_id", "requires_self_transfer", "price_status")]).alias("metadata"),
     )
 
 
@@ -337,9 +337,12 @@ def _(spark, sf):
     return quotes.directed_routes(td.raw_quotes(spark, sf).select(F.col("origin").alias("city")))
 
 
-@query("s5_sheet_scan", "SELECT item, count(*) AS n FROM sheet GROUP BY 1")
+@query("s5_sheet_scan", f"SELECT trim(item) AS item, count(*) AS n, CAST(sum(\"year\") AS BIGINT) AS years, {R('sum(v)', 'total')} FROM sheet GROUP BY 1")
 def _(spark, sf):
-    return cpi.check_columns(td.cpi_sheet(spark, sf)).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    path = work_dir(spark, "sheet")
+    td.cpi_sheet(spark, sf).write.option("header", "true").csv(path)
+    rows = cpi.read_sheet(spark, path)
+    return rows.groupBy(F.trim("item").alias("item")).agg(F.count(F.lit(1)).alias("n"), F.sum("year").cast("long").alias("years"), F.sum(F.col("index").cast("double")).alias("total"))
 
 
 @query("s6_airfare_slice", f"SELECT \"year\", \"month\", \"state\", {R('v', 'index_number')} FROM sheet WHERE lower(trim(item)) = 'airfare'")
@@ -374,7 +377,7 @@ def _(spark, sf):
 
 
 @query("i3_bridge_records", f"""SELECT ingest_seq, {D('observation_date')}, booking_window, departure_time,
-  {R('CASE WHEN ingest_seq % 3 = 0 AND total_fare > 0 THEN total_fare * 0.82 ELSE base_fare END', 'base_fare')} FROM raw""")
+  {R(f'CASE WHEN ingest_seq % 3 = 0 AND total_fare > 0 THEN {cents("total_fare * 0.82")} ELSE base_fare END', 'base_fare')} FROM raw""")
 def _(spark, sf):
     n = F.col("ingest_seq")
     raw = td.raw_quotes(spark, sf)
@@ -386,6 +389,4 @@ def _(spark, sf):
             "base_fare": F.when(n % 3 != 0, F.col("base_fare")),
         }
     )
-    exact = F.when((n % 3 == 0) & (F.col("total_fare") > 0), F.col("total_fare") * 0.82).otherwise(F.col("base_fare"))
-    near = F.when(F.abs(F.col("base_fare") - exact) < 0.0051, exact)
-    return quotes.bridge_records(records).select("ingest_seq", "observation_date", "booking_window", "departure_time", near.alias("base_fare"))
+    return quotes.bridge_records(records).select("ingest_seq", "observation_date", "booking_window", "departure_time", "base_fare")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.local import small_table
-from ..operators import cleaning, index as ix, signals
-from ..plans import calculation
+from ..operators import cleaning, features, index as ix, signals
+from ..plans import calculation, intelligence
 from ..schemas import WEIGHTS
 from ..sources import stores, testdata as td
 
@@ -23,6 +23,17 @@ def history(spark, sf, partial=True, wide=False):
     return calculation.historical_index(td.index_observations(spark, sf), weights, allow_partial=partial)
 
 
+def prepared(spark, sf) -> intelligence.Prepared:
+    """The tables that the signals start from."""
+    return intelligence.prepare(td.index_observations(spark, sf), ix.demo_weights(spark))
+
+
+def freshness(facts: DataFrame) -> DataFrame:
+    """Age of each date's latest quote at the end of the day, in hours."""
+    return signals.facts_days(facts).select(
+        "observation_date", features.freshness_hours(F.col("latest"), F.date_add("observation_date", 1).cast("timestamp")).alias("freshness_hours"))
+
+
 def _runs(df: DataFrame) -> DataFrame:
     """Every date in version A, every third day once more in version B, a little higher."""
     versions = F.when(F.dayofmonth("observation_date") % 3 == 0, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array(F.lit("A")))

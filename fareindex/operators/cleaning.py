@@ -77,8 +77,11 @@ def missing_required_field() -> Column:
     )
 
 
-def tidy(raw: DataFrame, keep_raw: bool = False) -> DataFrame:
-    """Clean texts and numbers of a raw row, each computed once; on demand the untouched row stays in ``_raw``."""
+def tidy(raw: DataFrame, keep_raw: bool = False, metadata: bool = True) -> DataFrame:
+    """Clean texts and numbers of a raw row, each computed once; on demand the untouched row stays in ``_raw``.
+
+    Without ``metadata`` that column is not read: the values are pinned, so the planner cannot leave out one that nobody uses later.
+    """
     number = _fares_of(raw)
     kept = [F.col("ingest_seq")] if "ingest_seq" in raw.columns else []
     if keep_raw:
@@ -96,10 +99,24 @@ def tidy(raw: DataFrame, keep_raw: bool = False) -> DataFrame:
         *[number[n].alias(n) for n in ("base_fare", "taxes", "mandatory_charges", "total_fare")],
         *[F.col(n).isNull().alias(f"_no_{n}") for n in ("base_fare", "taxes", "mandatory_charges", "total_fare")],
         "observation_timestamp",
-        "metadata",
+        F.col("metadata") if metadata else F.lit(None).cast("map<string,string>").alias("metadata"),
     )
 
 
+def of_days(raw: DataFrame, start, end, sources: Sequence[str] = ()) -> DataFrame:
+    """Raw quotes of the observation days from start to end, and of canonical sources where some are named.
+
+    Said here, before the cleaning, the filters reach the scan: they name the raw columns, so a table that is partitioned by
+    ``observation_date`` or ``source`` reads those folders only, besides the one of quotes without a date, whose day is that of their time.
+    """
+    low, high = (F.lit(d).cast("date") for d in (start, end))
+    day, time = F.col("observation_date"), F.col("observation_timestamp")
+    until = F.date_add(high, 1).cast("timestamp")
+    rows = raw.filter(day.between(low, high) | (day.isNull() & (time >= low.cast("timestamp")) & (time < until)))
+    names = [a for a, c in K.SOURCE_ALIASES.items() if c in sources]
+    return rows.filter(text.normalize_text(F.col("source")).isin(names)) if sources else rows
+
+
 def _raw_rules() -> Column:
     """Reason of the first failing rule of a tidied raw row, null when it is acceptable."""
     bad = {n: ~F.coalesce(F.col(n) > 0, F.lit(False)) for n in ("base_fare", "taxes", "mandatory_charges", "total_fare")}
@@ -195,15 +212,15 @@ def normalize(raw: DataFrame) -> DataFrame:
     return normalize_tidy(tidy(raw))
 
 
-def assess(raw: DataFrame, keep_raw: bool = False) -> DataFrame:
+def assess(raw: DataFrame, keep_raw: bool = False, metadata: bool = True) -> DataFrame:
     """Tidied rows with ``reject_reason`` (null when accepted); one narrow stage."""
     reason = F.coalesce(_raw_rules(), _normalization_error(), _excluded_reason())
-    return tidy(raw, keep_raw).withColumn("reject_reason", reason)
+    return tidy(raw, keep_raw, metadata).withColumn("reject_reason", reason)
 
 
-def accepted(raw: DataFrame) -> DataFrame:
+def accepted(raw: DataFrame, metadata: bool = True) -> DataFrame:
     """Normalized rows of the accepted quotes."""
-    good = assess(raw).filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    good = assess(raw, metadata=metadata).filter(F.col("reject_reason").isNull()).drop("reject_reason")
     return normalize_tidy(good).drop("normalize_error")
 
 
@@ -355,10 +372,10 @@ class Cleaned:
 
 def clean(raw: DataFrame, multiplier: float = 1.5) -> Cleaned:
     """Reject, normalize, mark duplicates, then mark outliers among the rows still VALID."""
-    good = accepted(raw)
+    slim = accepted(raw, metadata=False)  # for keys and bounds
     # Every accepted row is VALID until here, so the first copies are exactly the rows the bounds are taken from.
-    bounds = iqr_bounds(kept_fares(good), multiplier=multiplier)
-    return Cleaned(mark_outliers(mark_duplicates(good), bounds=bounds), rejected(raw))
+    bounds = iqr_bounds(kept_fares(slim), multiplier=multiplier)
+    return Cleaned(mark_outliers(mark_duplicates(accepted(raw), duplicate_keys(slim)), bounds=bounds), rejected(raw))
 
 
 REJECTED = "REJECTED"
@@ -372,7 +389,7 @@ def assessed(raw: DataFrame, multiplier: float = 1.5) -> DataFrame:
     """
     fine = F.col("reject_reason").isNull()
     rows = normalize_tidy(assess(raw, keep_raw=True)).drop("normalize_error")
-    good = accepted(raw)
+    good = accepted(raw, metadata=False)  # for keys and bounds
     bounds = iqr_bounds(kept_fares(good), multiplier=multiplier)
     marked = mark_outliers(mark_duplicates(
         rows.withColumn("quality_status", F.when(fine, "VALID").otherwise(REJECTED)).withColumn("quality_reason", F.coalesce("reject_reason", F.lit(""))),

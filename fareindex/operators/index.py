@@ -176,6 +176,11 @@ def route_grid(slices: DataFrame, windows: Sequence[str] = K.WINDOWS, min_pairs:
     )
 
 
+def first_day(observations: DataFrame) -> Column:
+    """The earliest date, found while the query runs; only the date column is read for it."""
+    return observations.agg(F.min("observation_date")).scalar()
+
+
 def fixed_base_slices(
     observations: DataFrame, base_date: Column | None = None, include_travel_date: bool = False, allow_suspect: bool = False,
     min_pairs: int = 1,
@@ -183,8 +188,7 @@ def fixed_base_slices(
     """Slice results of every later date against the quotes of one base date (the first when none is given)."""
     from .pairing import _priced
 
-    days = observations.agg(F.array_sort(F.collect_set("observation_date"))).scalar()  # one entry per calendar day
-    base = F.array_min(days) if base_date is None else base_date
+    base = first_day(observations) if base_date is None else base_date
     best = (
         _priced(observations, include_travel_date, allow_suspect)
         .groupBy(*SLICE, "fingerprint")
@@ -203,7 +207,9 @@ def fixed_base_slices(
         F.count(usable).alias("num_matched_pairs"),
         F.sum("raw").alias("num_current_observations"),
     )
-    # Base routes appear on every later day, quoted or not: gather the days of a slice and lay them out again.
+    # Base routes appear on every later day, quoted or not: gather the days of a slice and lay them out again. The days, one entry for each
+    # calendar day, come from the slice table, whose shuffle both uses share.
+    days = stats.agg(F.array_sort(F.collect_set("observation_date"))).scalar()
     fields = ["geometric_mean", "num_matched_pairs", "num_current_observations"]
     per_slice = stats.groupBy("route", "booking_window", "_base").agg(
         F.map_from_entries(F.collect_list(F.struct("observation_date", F.struct(*fields)))).alias("_by_day")

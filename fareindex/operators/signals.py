@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.fares import percent_change
+from ..functions.text import finite
 from ..functions.scores import clamp, fixed, ratio_signal, scaled_signal, score_level, weighted_score
 from .pairing import SLICE
 
@@ -69,26 +70,58 @@ def explanation(current: str = "index_value", previous: str = "previous_index")
 # -------------------------------------------------------------- cross-source
 
 
-def source_means(observations: DataFrame) -> DataFrame:
-    """Mean positive fare per (date, route, window, source); incomplete rows are left out."""
-    from ..functions.text import finite
+FACT_KEY = ("observation_date", "origin", "destination", "booking_window", "source")
 
-    origin, destination = F.upper(F.trim("origin")), F.upper(F.trim("destination"))
+
+def source_facts(observations: DataFrame) -> DataFrame:
+    """The quotes at the finest grain that the signals use: rows, usable fares with their sum, and latest time per date, route, window and
+    source as they are written. Sums, counts and maxima of these give every coarser figure, so the quotes are read once."""
     fare = finite(F.col("comparable_fare"))
+    usable = F.when(fare > 0, fare)
+    return observations.groupBy(*FACT_KEY).agg(
+        F.sum(usable).alias("fare_sum"), F.count(usable).alias("fares"), F.sum(F.col("comparable_fare").cast("double")).alias("raw_sum"),
+        F.count("comparable_fare").alias("raw_fares"), F.count(F.lit(1)).alias("rows"), F.max("observation_timestamp").alias("latest"),
+    )
+
+
+def facts_means(facts: DataFrame) -> DataFrame:
+    """Mean positive fare per (date, route, window, source) from the facts; incomplete keys are left out."""
+    origin, destination = F.upper(F.trim("origin")), F.upper(F.trim("destination"))
     return (
-        observations.select(
+        facts.select(
             "observation_date", F.when((origin != "") & (destination != "") & (origin != destination),
                                        F.concat_ws("-", origin, destination)).alias("route"),
             F.nullif(F.upper(F.trim("booking_window")), F.lit("")).alias("booking_window"),
-            F.nullif(F.upper(F.trim("source")), F.lit("")).alias("source"), fare.alias("fare"),
+            F.nullif(F.upper(F.trim("source")), F.lit("")).alias("source"), "fare_sum", "fares",
         )
-        .filter("fare > 0 and observation_date is not null and route is not null and booking_window is not null and source is not null")
+        .filter("fares > 0 and observation_date is not null and route is not null and booking_window is not null and source is not null")
         .groupBy(*SLICE, "source")
-        .agg(F.sum("fare").alias("fare_sum"), F.count(F.lit(1)).alias("quotes"))
+        .agg(F.sum("fare_sum").alias("fare_sum"), F.sum("fares").alias("quotes"))
         .withColumn("average_fare", F.col("fare_sum") / F.col("quotes"))
     )
 
 
+def facts_slices(facts: DataFrame) -> DataFrame:
+    """Per slice the mean fare of all its quotes as ``baseline``, its rows and its distinct sources, from the facts."""
+    source = F.trim("source")
+    return facts.withColumn("route", F.concat_ws("-", "origin", "destination")).groupBy(*SLICE).agg(
+        (F.sum("raw_sum") / F.sum("raw_fares")).alias("baseline"), F.sum("rows").alias("observation_count"),
+        F.count_distinct(F.when(source != "", source)).alias("source_count"),
+    )
+
+
+def facts_days(facts: DataFrame) -> DataFrame:
+    """Per date the rows and the latest time, from the facts."""
+    return facts.groupBy("observation_date").agg(F.sum("rows").alias("observation_count"), F.max("latest").alias("latest"))
+
+
+def source_means(observations: DataFrame) -> DataFrame:
+    """Mean positive fare per (date, route, window, source); incomplete rows are left out. In one aggregation, where no facts are at hand."""
+    fare = finite(F.col("comparable_fare"))
+    usable = F.when(fare > 0, fare)
+    return facts_means(observations.select(*FACT_KEY, usable.alias("fare_sum"), F.when(usable.isNotNull(), 1).otherwise(0).alias("fares")))
+
+
 def source_movements(means: DataFrame, previous: DataFrame | None = None, tolerance: float = 0.5) -> DataFrame:
     """Change of each source against the day before (or against a given earlier batch).
 

@@ -94,10 +94,10 @@ def fixed_base_index(
 ) -> IndexRun:
     """Every later date against the base date; contributions use the last known route index."""
     weights = ix.one_version(weights, weight_version)
+    base_date = ix.first_day(observations) if base_date is None else base_date
     slices = ix.fixed_base_slices(observations, base_date, min_pairs=min_pairs)
     grid = ix.carried_previous_index(ix.route_grid(slices, windows, min_pairs), weights)
-    first = observations.agg(F.min("observation_date")).scalar() if base_date is None else base_date
-    return _finish(grid, weights, allow_partial, min_coverage, first)
+    return _finish(grid, weights, allow_partial, min_coverage, base_date)
 
 
 def calendar_gaps(observations: DataFrame) -> DataFrame:

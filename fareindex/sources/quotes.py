@@ -9,12 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import constants as K
 from ..functions import fares, text
 from ..schemas import ITINERARY, RAW_QUOTES
-from ..operators.cleaning import IDENTITY_TEXT, build_observations
+from ..operators.cleaning import IDENTITY_TEXT, build_observations, of_days
 
 
-def read_raw_quotes(spark: SparkSession, path: str, file_format: str = "parquet", schema: str = RAW_QUOTES) -> DataFrame:
-    """Raw quotes in the canonical layout; the schema is given, never inferred."""
-    return complete_raw(spark.read.schema(schema).format(file_format).load(path))
+def read_raw_quotes(
+    spark: SparkSession, path: str, file_format: str = "parquet", schema: str = RAW_QUOTES, start: str | None = None, end: str | None = None,
+    sources: Sequence[str] = (),
+) -> DataFrame:
+    """Raw quotes in the canonical layout; the schema is given, never inferred. Days and sources are handed to the scan (``of_days``)."""
+    raw = spark.read.schema(schema).format(file_format).load(path)
+    return complete_raw(raw if start is None and not sources else of_days(raw, start or "0001-01-01", end or "9999-12-30", sources))
 
 
 def complete_raw(df: DataFrame) -> DataFrame:

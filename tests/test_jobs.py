@@ -212,3 +212,57 @@ def test_quotes_are_read_twice_at_most(spark):
     queries = entry.queries()
     for name in ("d5_clean_quotes", "d6_cleaning_counts", "d14_daily_quality_metrics", "a13_quality_summary"):
         assert scans(queries[name](spark, "/root/testdata/sf0.001")) <= 2, name
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_days_and_sources_reach_the_scan_through_the_cleaning(spark, raw, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")  # else the plan's text is cut
+    path = str(tmp_path / "raw")
+    frame = raw(*flights(DAY, 1.0, 0), *flights(DAY + ONE, 1.0, 100), raw_row(700, observation_date=None, source="IGNAV"), raw_row(701, source="YATRA"))
+    frame.write.partitionBy("observation_date", "source").parquet(path)
+    part = quotes.read_raw_quotes(spark, path, start=str(DAY), end=str(DAY), sources=("IGNAV",))
+    whole = cl.clean(quotes.read_raw_quotes(spark, path)).observations.filter((F.col("observation_date") == F.lit(DAY)) & (F.col("source") == "IGNAV"))
+    found = cl.clean(part).observations
+    assert rows(found, "quality_status", "quality_reason", "metadata") == rows(whole, "quality_status", "quality_reason", "metadata") and found.count() == 8
+    for df in (found, cl.clean(part).rejected, cl.assessed(part)):
+        scans = re.findall(r"PartitionFilters: \[(.*?)\], PushedFilters", plan_of(df))
+        assert scans and all("observation_date" in s and "source" in s for s in scans)
+    keys = cl.duplicate_keys(cl.accepted(part, metadata=False))
+    assert "metadata" not in re.search(r"ReadSchema: (\S+)", plan_of(keys))[1]
+    stored = str(tmp_path / "stored")
+    stores.persist_observations(found, stored)
+    plan = plan_of(quotes.read_stored_observations(spark, stored, str(DAY), "IGNAV").select("route", "comparable_fare"))
+    assert "PartitionFilters: [isnotnull(observation_date" in plan and "base_fare" not in re.search(r"ReadSchema: (\S+)", plan)[1]
+
+
+def test_fixed_base_reads_the_quotes_once_besides_their_first_date(spark):
+    import __spark_entry__ as entry
+
+    assert scans(entry.queries()["a9_fixed_base_index"](spark, "/root/testdata/sf0.001")) <= 2
+
+
+def test_signals_read_the_quotes_four_times_at_most(spark):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["x5_detect_shocks"](spark, "/root/testdata/sf0.001")  # pairs and facts are written while it is built
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet [^\n]*events\.parquet", final)) <= 2
+
+
+def test_facts_roll_up_to_the_direct_figures(spark, obs):
+    from conftest import obs_row
+    from fareindex.operators import quality, signals
+
+    made = [obs_row(DAY, 100.0 + i, flight=str(i), source=s) for i, s in enumerate(["A", "b ", " B", "", "A"])] + [obs_row(DAY, -5.0), obs_row(DAY + ONE, 50.0)]
+    frame = obs(*made)
+    facts = signals.source_facts(frame)
+    assert rows(signals.facts_means(facts)) == rows(signals.source_means(frame))
+    direct = quality.source_volume(frame, ["observation_date", "route", "booking_window"])
+    assert rows(signals.facts_slices(facts).select(*direct.columns)) == rows(direct)
+    means = {(r.observation_date, r.route): r.baseline for r in signals.facts_slices(facts).collect()}
+    assert means[DAY, "DEL-BOM"] == pytest.approx((100 + 101 + 102 + 103 + 104 - 5) / 6)
+    assert {r.observation_date: r.observation_count for r in signals.facts_days(facts).collect()} == {DAY: 6, DAY + ONE: 1}
