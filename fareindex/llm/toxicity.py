@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bucket, slices, texts_of, written
+from .common import bucket, slices, smallest_hashes, texts_of, written
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -26,6 +26,7 @@ class Training:
     smoothing: float = 1.0    # added to the counts of both classes
     penalty: float = 1e-3     # of the squared weights
     rounds: int = 25
+    rows: int = 20_000        # labelled rows of each class that are learned from, about
 
 
 @dataclass(frozen=True)
@@ -65,15 +66,33 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[0, part]), pa.array(counts[1, part])], ["bucket", "clean", "toxic"])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, use: Column) -> DataFrame:
-    """`text` and `label` of the rows whose id has a label and is to be used; of several labels of an id the largest counts."""
+def labelled(docs: DataFrame, labels: DataFrame, use: Column, most: int) -> tuple[DataFrame, dict[int, int], dict[int, float]]:
+    """`text` and `label` of about `most` rows of each class whose id has a label and is to be used, their numbers and the part of the class
+    that they are. Of several labels of an id the largest counts.
+
+    Ids are taken by their hash until about `most` of a class are left; that list, bounded so, is sent to the tasks that read the texts. Where
+    ids repeat in `docs` the rows are thinned to the same bound. No text is shuffled.
+    """
     marks = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
-             .filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label")))
-    return texts_of(docs).filter(use).join(marks, "doc_id").select("text", "label")
+             .filter("doc_id IS NOT NULL AND label IN (0, 1)").filter(use).groupBy("doc_id").agg(F.max("label").alias("label")))
+
+    def by_label(df: DataFrame) -> dict[int, int]:
+        return {r.label: r.n for r in df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def part_of(seen: dict[int, int]) -> dict[int, float]:
+        return {label: min(1.0, most / max(1, n)) for label, n in seen.items()}
+
+    ids = part_of(by_label(marks))
+    at = lambda parts: F.when(F.col("label") == 1, F.lit(parts.get(1, 1.0))).otherwise(F.lit(parts.get(0, 1.0)))
+    wanted = F.when(F.col("label") == 1, smallest_hashes(F.col("doc_id"), ids.get(1, 1.0))).otherwise(smallest_hashes(F.col("doc_id"), ids.get(0, 1.0)))
+    known = F.broadcast(written(marks.filter(wanted), "toxicity-ids"))
+    rows = part_of(by_label(docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(known, "doc_id")))
+    taken = written(texts_of(docs).join(known, "doc_id").filter(F.rand(17) < at(rows)).select("text", "label"), "toxicity-labelled")
+    return taken, by_label(taken), {label: ids.get(label, 1.0) * rows.get(label, 1.0) for label in (0, 1)}
 
 
-def _objective(rows: DataFrame, n: float, size: int, theta: np.ndarray, penalty: float, toxic_weight: float) -> tuple[float, np.ndarray]:
-    """Mean logistic loss with penalty and its gradient, added up over all rows by Spark; `size` + 2 rows come back."""
+def _objective(rows: DataFrame, n: float, size: int, theta: np.ndarray, penalty: float, clean_weight: float, toxic_weight: float) -> tuple[float, np.ndarray]:
+    """Mean weighted logistic loss with penalty and its gradient, added up over all rows by Spark; `size` + 2 rows come back."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 2)
         for batch in batches:
@@ -83,7 +102,7 @@ def _objective(rows: DataFrame, n: float, size: int, theta: np.ndarray, penalty:
             owner = np.repeat(np.arange(len(label)), lengths)
             values = batch.column("ratio").flatten().to_numpy(zero_copy_only=False)
             margin = theta[size] + np.bincount(owner, theta[flat] * values, len(label))
-            weight = np.where(label == 1, toxic_weight, 1.0)
+            weight = np.where(label == 1, toxic_weight, clean_weight)
             total[size + 1] += (weight * np.logaddexp(0.0, np.where(label == 1, -margin, margin))).sum()
             error = weight * (1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500))) - label)
             total[:size] += np.bincount(flat, error[owner] * values, size)
@@ -133,15 +152,14 @@ def _minimize(evaluate, theta: np.ndarray, rounds: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, training: Training = Training()) -> Model:
-    """The classifier of all labelled rows of `docs` that `use` (a condition on `doc_id`) allows.
+    """The classifier of the labelled rows of `docs` that `use` (a condition on `doc_id`) allows, about `training.rows` of each class at most.
 
-    Spark counts in how many clean and toxic texts each n-gram bucket occurs (2^18 rows reach the driver at most), the surest ratios are
+    Where a class is larger, its rows stand for all of it in the loss. Spark counts in how many clean and toxic texts each n-gram bucket occurs (2^18 rows reach the driver at most), the surest ratios are
     chosen, and the loss is minimised by passes over a table of the chosen n-grams of each labelled text. Without rows of both classes the
     model is the smoothed share of toxic rows.
     """
-    rows = written(labelled(docs, labels, F.lit(True) if use is None else use), "toxicity-labelled")
-    seen = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    clean, toxic = seen.get(0, 0), seen.get(1, 0)
+    rows, seen, part = labelled(docs, labels, F.lit(True) if use is None else use, training.rows)
+    clean, toxic = (seen.get(k, 0) / part[k] for k in (0, 1))
     bias, weights = float(np.log((toxic + 1) / (clean + 1))), np.zeros(1 << BITS)
     if not clean or not toxic:
         return Model(bias, weights)
@@ -162,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, training:
 
     picked = written(rows.mapInArrow(pick, "label int, at array<int>, ratio array<double>"), "toxicity-features")
     n = clean + training.toxic_weight * toxic
-    theta = _minimize(lambda t: _objective(picked, n, len(chosen), t, training.penalty, training.toxic_weight), np.r_[np.zeros(len(chosen)), bias], training.rounds)
+    theta = _minimize(lambda t: _objective(picked, n, len(chosen), t, training.penalty, 1 / part[0], training.toxic_weight / part[1]), np.r_[np.zeros(len(chosen)), bias], training.rounds)
     weights[chosen] = theta[: len(chosen)] * ratio
     return Model(float(theta[len(chosen)]), weights)
 

@@ -206,3 +206,58 @@ def test_naive_bayes_ratios_scale_the_features():
     chosen = toxicity.present("trash")
     assert set(toxicity.present("TRASH\n")) <= set(toxicity.present(" trash ")) | set(toxicity.present("trash \n")) and len(chosen) == 5 + 4 + 3
     assert len(set(itertools.chain(toxicity.present(None), toxicity.present("")))) == 0
+
+
+def toxic_rows(spark, n=60):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choices("sun tree lake good warm kind".split(), k=12) + (["vile", "scum"] if i % 3 == 0 else [])), "en", "s", 0, None, None, None, None) for i in range(n)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    return frame, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)], "doc_id long, toxic int"), rows
+
+
+def test_weights_are_the_log_count_ratios_times_the_minimiser(spark):
+    frame, marks, rows = toxic_rows(spark)
+    training = toxicity.Training(features=40, rounds=60)
+    model = toxicity.fit(frame, marks, training=training)
+    have = [set(toxicity.present(r[1]).tolist()) for r in rows]
+    label = np.array([i % 3 == 0 for i in range(len(rows))])
+    counts = {b: (sum(b in h for h, y in zip(have, label) if y), sum(b in h for h, y in zip(have, label) if not y)) for b in set().union(*have)}
+    a, b = (sum(c[k] + 1 for c in counts.values()) for k in (0, 1))
+    ratio = {k: math.log((x + 1) / a) - math.log((y + 1) / b) for k, (x, y) in counts.items()}
+    sure = {k: abs(ratio[k]) / math.sqrt(1 / (x + 1) + 1 / (y + 1)) for k, (x, y) in counts.items()}
+    chosen = sorted(counts, key=lambda k: (-sure[k], k))[:40]
+    assert set(np.flatnonzero(model.weights).tolist()) <= set(chosen)
+    x = np.array([[ratio[k] if k in h else 0.0 for k in chosen] for h in have])
+    theta = np.array([model.weights[k] / ratio[k] for k in chosen])
+    weight = np.where(label, training.toxic_weight, 1.0)
+
+    def loss(t, bias):
+        m = x @ t + bias
+        return (weight * np.logaddexp(0, np.where(label, -m, m))).sum() / weight.sum() + training.penalty / 2 * t @ t
+
+    best = loss(theta, model.bias)
+    rng = np.random.default_rng(1)
+    assert all(loss(theta + d, model.bias + e) >= best - 1e-4 for d, e in ((rng.normal(0, 0.05, 40), rng.normal(0, 0.05)) for _ in range(50)))
+    scores = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    assert scores == pytest.approx({i: 1 / (1 + math.exp(-m)) for i, m in enumerate(x @ theta + model.bias)})
+
+
+def test_gradient_is_that_of_the_loss(spark):
+    rows = spark.createDataFrame([(1, [0, 2], [0.5, -1.0]), (0, [1], [2.0]), (0, [], []), (1, [0, 1, 2], [0.5, 2.0, -1.0])], "label int, at array<int>, ratio array<double>")
+    at = np.array([0.3, -0.2, 0.1, 0.05])
+    evaluate = lambda t: toxicity._objective(rows, 7.0, 3, t, 0.01, 1.5, 2.0)
+    value, slope = evaluate(at)
+    for k in range(4):
+        step = np.eye(4)[k] * 1e-5
+        assert (evaluate(at + step)[0] - evaluate(at - step)[0]) / 2e-5 == pytest.approx(slope[k], abs=1e-6)
+
+
+def test_learning_reads_a_bounded_number_of_rows(spark):
+    frame, marks, rows = toxic_rows(spark, 600)
+    taken, seen, part = toxicity.labelled(frame, marks, F.lit(True), 50)
+    assert seen[0] + seen[1] == taken.count() and all(20 <= n <= 90 for n in seen.values()) and part[0] == pytest.approx(50 / 400)
+    assert all(a == b for a, b in zip(sorted(r.text for r in taken.collect()), sorted(r.text for r in toxicity.labelled(frame, marks, F.lit(True), 50)[0].collect())))
+    # One id on a third of all rows is thinned too.
+    many = spark.createDataFrame(rows + [rows[3]] * 600, SCHEMA)
+    _, seen, part = toxicity.labelled(many, marks, F.lit(True), 400)
+    assert seen[1] < 520 and part[1] < 0.6
