@@ -16,7 +16,7 @@ from .common import slices, texts_of, written
 from .components import components
 
 SKETCH = "doc_id long, n_shingles long, sum_hash long, xor_hash long, slots array<long>"
-SIZE_STEP = 1.04  # ratio of the classes of set sizes in the exact comparison
+BLOCK_SHINGLES, BLOCK_MEMBERS = 100_000, 512  # of a block of open documents, about; a larger set is a block of its own
 U = np.uint64
 _SPREAD, _FINAL = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
 
@@ -143,49 +143,111 @@ def bucket_members(reps: DataFrame, near: Near) -> DataFrame:
     return keys.join(full, "key")
 
 
-def _rest_pairs(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """Candidates across components among the members (`id`, `component`) of buckets that stars could not settle; none is left out.
+def _overlap_counts(owner: np.ndarray, shingles: np.ndarray, n: int, split: int) -> np.ndarray:
+    """Shared shingles of each document below `split` with each one from `split` on (of all with all where it is 0), as products of incidence
+    matrices over some thousand shingles at a time. Shingles that only one side holds are left out first."""
+    _, at = np.unique(shingles, return_inverse=True)
+    left = np.bincount(at[owner < split] if split else at, minlength=at.max(initial=-1) + 1)
+    right = np.bincount(at[owner >= split], minlength=len(left))
+    used = (left > 0) & (right > 0) if split else left > 1
+    number = np.cumsum(used) - 1
+    keep = used[at]
+    owner, at = owner[keep], number[at[keep]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    rows = (split or n, n - split)
+    out = np.zeros(rows, np.float32)
+    for low in range(0, int(at.max(initial=-1)) + 1, 4096):
+        i, j = np.searchsorted(at, (low, low + 4096))
+        held = np.zeros((n, 4096), np.float32)
+        held[owner[i:j], at[i:j] - low] = 1.0
+        out += held[: split or n] @ held[split:].T
+    return out
+
+
+def _forest(components: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[int]:
+    """Of linked pairs those that join components not yet joined by the ones before: at most one fewer than there are components."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kinds = np.stack((np.minimum(components[rows], components[columns]), np.maximum(components[rows], components[columns])), axis=1)
+    _, first = np.unique(kinds, axis=0, return_index=True)
+    out = []
+    for k in first.tolist():
+        a, b = find(int(components[rows[k]])), find(int(components[columns[k]]))
+        if a != b:
+            root[a] = b
+            out.append(k)
+    return out
+
 
-    Sets that are near enough share one of their rarest shingles (prefix filtering). How many of the rarest that are depends on the sizes
-    of both, so each document lays out its prefix for each class of sizes that a partner can have, and classes meet each other: a text
-    with too many shingles of its own for partners of a class has no prefix there. Within a shingle, members outside its largest component
-    meet the others; a component is not paired with itself.
+def _links_of_blocks(part: pa.Table, near: Near) -> pa.Table:
+    """Links of two blocks, or within one, that connect different components."""
+    side = part.column("side").to_numpy()
+    order = np.argsort(side, kind="stable")
+    part = part.take(pa.array(order))
+    ids, comps, sizes = (part.column(c).to_numpy() for c in ("id", "component", "n"))
+    lists = part.column("shingles").combine_chunks()
+    lengths = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(len(ids)), lengths)
+    split = int((side == 0).sum()) if (side == 1).any() else 0
+    if len(ids) < 2 or (side == 1).all():
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    common = _overlap_counts(owner, lists.flatten().to_numpy(zero_copy_only=False), len(ids), split).astype(np.int64)
+    union = sizes[: split or len(ids), None] + sizes[None, split:] - common
+    rows, columns = np.nonzero((100 * common >= near.percent * union) & (comps[: split or len(ids), None] != comps[None, split:]))
+    columns = columns + split
+    found = _forest(comps, rows, columns)
+    one, two = ids[rows[found]], ids[columns[found]]
+    return pa.table({"a": pa.array(np.maximum(one, two)), "b": pa.array(np.minimum(one, two))})
+
+
+def _rest_links(open_: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Links across components within the buckets (`id`, `key`, `component`, `lead`) that stars could not settle; none between different
+    components of a bucket is lost, up to those that a given one makes superfluous.
+
+    Documents whose buckets hang together are a family. Its members are dealt into classes of set sizes, as wide as the limit lets a
+    partner's size differ, so partners are in one class or neighbouring ones, and classes into blocks of bounded content. Each pair of blocks
+    is one group: a task compares the two in full and gives out a spanning forest of the components that it joins, so no row stands for a
+    pair. A member goes to as many groups as its class and its neighbours have blocks.
     """
-    limit = near.percent / 100.0
-    own = members.join(sets, "id").select("id", "component", "n", F.explode("shingles").alias("shingle"))
-    often = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    listed = own.join(often, "shingle").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("all"))
-
-    def size_class(n: Column) -> Column:
-        return F.floor(F.log(n) / math.log(SIZE_STEP) + 1e-9).cast("int")
-
-    smallest = F.ceil(F.col("n") * limit - 1e-9)
-    classed = listed.select("*", (F.col("n") - F.size("all")).alias("alone"), size_class(F.col("n")).alias("own"),
-                            F.explode(F.sequence(size_class(smallest), size_class(F.floor(F.col("n") / limit + 1e-9)))).alias("partner"))
-    least = F.greatest(smallest, F.floor(F.pow(F.lit(SIZE_STEP), F.col("partner")) - 1e-6))
-    shared = F.ceil((F.col("n") + least) * (limit / (1 + limit)) - 1e-9)
-    # Shingles of one document only are its rarest: they use up the prefix without being listed.
-    prefix = (F.col("n") - shared + 1 - F.col("alone")).cast("int")
-    rare = (classed.withColumn("k", prefix).filter("k > 0")
-            .select("id", "component", "n", "alone", "own", "partner", F.least("own", "partner").alias("lo"), F.greatest("own", "partner").alias("hi"), F.explode(F.slice("all", 1, F.col("k"))).alias("x"))
-            .select("id", "component", "n", "alone", "own", "partner", "lo", "hi", F.col("x.shingle").alias("shingle")))
-    rare = written(rare, "prefixes")
-    key = ["shingle", "lo", "hi"]
-    sizes = rare.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("members"))
-    mixed = sizes.groupBy(*key).agg(F.max_by("component", "members").alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    minor = rare.join(mixed, key).filter("component <> largest").drop("largest")
-    other = rare.join(mixed.select(*key), key).select(*key, F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("nb"), F.col("alone").alias("alone_b"), F.col("own").alias("own_b"))
-    possible = F.least(F.col("n") - F.col("alone"), F.col("nb") - F.col("alone_b")) >= (F.col("n") + F.col("nb")) * (limit / (1 + limit)) - 1e-9
-    fits = (F.col("component") != F.col("other")) & (F.col("partner") == F.col("own_b")) & possible
-    return minor.join(other, key).filter(fits).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    families = components(open_.select(F.col("id").alias("a"), F.col("lead").alias("b")).filter("a <> b"))
+    ratio = math.log(100.0 / near.percent)
+    members = open_.select("id", "component").distinct().join(families.select("id", F.col("component").alias("family")), "id").join(sets, "id")
+    members = written(members.withColumn("size", F.floor(F.log(F.col("n")) / ratio + 1e-9).cast("int")), "open-members")
+    dealt = members.groupBy("family", "size").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    above = dealt.select("family", (F.col("size") - 1).alias("size"), F.col("blocks").alias("above"))
+    below = dealt.select("family", (F.col("size") + 1).alias("size"), F.col("blocks").alias("below"))
+    dealt = dealt.join(above, ["family", "size"], "left").join(below, ["family", "size"], "left").na.fill(0, ["above", "below"])
+    rows = members.join(dealt, ["family", "size"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    own, at, size = F.col("block"), lambda *x: F.struct(*[c.alias(n) for c, n in zip(x, ("lo", "lo_block", "hi", "hi_block", "side"))]), F.col("size")
+    zero, one = F.lit(0), F.lit(1)
+    groups = F.concat(
+        F.transform(numbers(F.col("blocks")), lambda k: at(size, F.least(own, k), size, F.greatest(own, k), F.when(own > k, one).otherwise(zero))),
+        F.transform(numbers(F.col("above")), lambda k: at(size, own, size + 1, k, zero)),
+        F.transform(numbers(F.col("below")), lambda k: at(size - 1, k, size, own, one)),
+    )
+    key = ["family", "lo", "lo_block", "hi", "hi_block"]
+    groups = rows.select("family", "id", "component", "n", "shingles", F.explode(groups).alias("g")).select("family", "g.*", "id", "component", "n", "shingles")
+
+    def compare(part: pa.Table) -> pa.Table:
+        return _links_of_blocks(part, near)
+
+    return groups.groupBy(*key).applyInArrow(compare, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` and `kept` of each row: the smallest id that it reaches by links, and whether that is itself.
 
     Equal sets are one node, its smallest id. In each bucket every member is compared with the bucket's lead; while a bucket still holds
-    more than one component, further leads are tried, and what they leave is compared across components by an exact prefix filter. So no
-    link between documents of one bucket is lost, and no group is paired with itself. Texts without words, and rows without id, have no
+    more than one component, further leads are tried, and what they leave is compared block by block inside tasks. So no link between
+    documents of one bucket is lost that would change a component, and no row stands for a pair of a group. Texts without words, and rows without id, have no
     links: the first are their own component, the others have none and are kept. Rows that repeat an id share its node and its fate.
     """
     sketched = written(sketches(docs, near), "sketches")
@@ -210,9 +272,9 @@ def link(docs: DataFrame, near: Near = Near()) -> DataFrame:
         if turn < near.star_rounds:
             more = open_.filter("component <> lead_component").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
             buckets = open_.select("id", "key")
+            added = written(confirmed(more, sets, near), "links")
         else:
-            more = _rest_pairs(open_.select("id", "component").distinct(), sets, near)
-        added = written(confirmed(more, sets, near), "links")
+            added = written(_rest_links(open_, sets, near), "links")
         if not added.isEmpty():
             # What is connected already goes on as one link from each document to its component.
             known = written(found.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(added), "links")

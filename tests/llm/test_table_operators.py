@@ -281,3 +281,40 @@ def test_pipeline_stages(spark):
     assert out.count() == sizes[-1] and out.filter("NOT round_trip").count() == 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_blocks_of_open_buckets_join_what_all_pairs_join(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    near = minhash.Near(words=1, percent=80)
+    sets = {}
+    for i in range(240):  # copies of one text that differ too much from most others, and texts of other lengths
+        base = np.arange(60 if i % 5 else 20)
+        sets[i] = np.unique(np.where(rng.random(len(base)) < 0.12, 1000 + rng.integers(0, 5000, len(base)), base))
+    sets[240], sets[241] = np.arange(9000), np.arange(100, 9100)
+    linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    rows = spark.createDataFrame([(i, len(s), s.tolist()) for i, s in sets.items()], "id long, n long, shingles array<long>")
+    start = {i: (i if i % 7 else 7 * (i // 14)) for i in sets}  # some components from before
+    open_ = spark.createDataFrame([(i, 1, start[i], 0) for i in sets], "id long, key long, component long, lead long")
+
+    def joined(links):
+        root = {c: c for c in start.values()}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            root[find(start[a])] = find(start[b])
+        groups = collections.defaultdict(set)
+        for i in sets:
+            groups[find(start[i])].add(i)
+        return sorted(map(sorted, groups.values()))
+
+    want = joined([(a, b) for a in sets for b in sets if b < a and linked(a, b)])
+    for members, shingles in ((512, 100_000), (16, 100_000), (512, 300)):
+        monkeypatch.setattr(minhash, "BLOCK_MEMBERS", members)
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+        links = [(r.a, r.b) for r in minhash._rest_links(open_, rows, near).collect()]
+        assert joined(links) == want and all(linked(a, b) and start[a] != start[b] for a, b in links)
+        assert len(want) > 1 and len(links) < 20 * len(sets)
