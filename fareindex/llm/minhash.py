@@ -211,14 +211,14 @@ def _rest_links(open_: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """Links across components within the buckets (`id`, `key`, `component`, `lead`) that stars could not settle; none between different
     components of a bucket is lost, up to those that a given one makes superfluous.
 
-    Documents whose buckets hang together are a family. Its members are dealt into classes of set sizes, as wide as the limit lets a
-    partner's size differ, so partners are in one class or neighbouring ones, and classes into blocks of bounded content. Each pair of blocks
+    Buckets of one lead are a family: leads are chosen by a hash of the document alone, so the buckets of a group of copies have few. Its
+    members are dealt into classes of set sizes, as wide as the limit lets a partner's size differ, so partners are in one class or
+    neighbouring ones, and classes into blocks of bounded content. Each pair of blocks
     is one group: a task compares the two in full and gives out a spanning forest of the components that it joins, so no row stands for a
     pair. A member goes to as many groups as its class and its neighbours have blocks.
     """
-    families = components(open_.select(F.col("id").alias("a"), F.col("lead").alias("b")).filter("a <> b"))
     ratio = math.log(100.0 / near.percent)
-    members = open_.select("id", "component").distinct().join(families.select("id", F.col("component").alias("family")), "id").join(sets, "id")
+    members = open_.select("id", "component", F.col("lead").alias("family")).distinct().join(sets, "id")
     members = written(members.withColumn("size", F.floor(F.log(F.col("n")) / ratio + 1e-9).cast("int")), "open-members")
     dealt = members.groupBy("family", "size").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS)).cast("int").alias("blocks"))
     above = dealt.select("family", (F.col("size") - 1).alias("size"), F.col("blocks").alias("above"))
