@@ -38,3 +38,19 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(_stars(_stars(now, True), False), "edges")
     ends = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ends.unionByName(ends.select(F.col("component").alias("id"), "component").distinct())
+
+
+def merged(found: DataFrame, added: DataFrame) -> DataFrame:
+    """The components `found` (`id`, `component`) after further links `added` (`a`, `b`).
+
+    The links are taken between components, so only these go through the rounds, not the edges that were settled before. Each document is
+    joined with the new name of its component once; names that change are few, and a component with a large share of the documents is split
+    by adaptive execution or meets a broadcast table.
+    """
+    own = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    between = added.join(own("a"), "a", "left").join(own("b"), "b", "left").select(
+        F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b").distinct()
+    moved = written(components(between), "moved")
+    nodes = found.unionByName(moved.select("id", F.col("id").alias("component")).join(found.select("id"), "id", "left_anti"))
+    names = moved.select(F.col("id").alias("component"), F.col("component").alias("into"))
+    return nodes.join(names, "component", "left").select("id", F.coalesce("into", "component").alias("component"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import slices, texts_of, written
-from .components import components
+from .components import components, merged
 
 SKETCH = "doc_id long, n_shingles long, sum_hash long, xor_hash long, slots array<long>"
 BLOCK_SHINGLES, BLOCK_MEMBERS = 100_000, 512  # of a block of open documents, about; a larger set is a block of its own
@@ -276,9 +276,7 @@ def link(docs: DataFrame, near: Near = Near()) -> DataFrame:
         else:
             added = written(_rest_links(open_, sets, near), "links")
         if not added.isEmpty():
-            # What is connected already goes on as one link from each document to its component.
-            known = written(found.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(added), "links")
-            found = written(components(known), "components")
+            found = written(merged(found, added), "components")
     out = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),

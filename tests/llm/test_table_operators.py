@@ -318,3 +318,17 @@ def test_blocks_of_open_buckets_join_what_all_pairs_join(spark, monkeypatch):
         links = [(r.a, r.b) for r in minhash._rest_links(open_, rows, near).collect()]
         assert joined(links) == want and all(linked(a, b) and start[a] != start[b] for a, b in links)
         assert len(want) > 1 and len(links) < 20 * len(sets)
+
+
+def test_merged_components_equal_components_of_all_links(spark):
+    from fareindex.llm.components import components, merged
+
+    rng = random.Random(2)
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    for _ in range(3):
+        first, more = ([(rng.randrange(60), rng.randrange(60)) for _ in range(n)] for n in (25, 20))
+        want = {r.id: r.component for r in components(frame(first + more)).collect()}
+        got = merged(components(frame(first)), frame(more)).collect()
+        assert {r.id: r.component for r in got if r.id in want} == want and len(got) == len({r.id for r in got})
+        assert all(r.component == r.id for r in got if r.id not in want)
+    assert merged(components(frame([])), frame([(5, 3)])).count() == 2
