@@ -116,11 +116,10 @@ def _sets(docs: DataFrame, ids: DataFrame, near: Near) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """Those of the distinct pairs (`a`, `b`) whose full sets are near enough; sizes are compared before the sets."""
-    sized = sets.select("id", "n")
-    close = (pairs.join(sized.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-             .filter(F.lit(100) * F.least("na", "nb") >= F.lit(near.percent) * F.greatest("na", "nb")).select("a", "b"))
-    both = (close.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b"))
+    sized = pairs.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    close = (sized.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
+             .filter(F.lit(100) * F.least("na", "nb") >= F.lit(near.percent) * F.greatest("na", "nb")))
+    both = close.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return (both.select("a", "b", "na", "nb", common.alias("common"))
             .filter(F.lit(100) * F.col("common") >= F.lit(near.percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"))
