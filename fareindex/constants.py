@@ -5,20 +5,6 @@ WINDOW_DAYS = (1, 7, 15, 30, 45)
 WINDOWS = ("T+1", "T+7", "T+15", "T+30", "T+45")
 HEADLINE_WINDOW = "T+15"
 
-# Cities of the collection universe.
-CITIES = {
-    "Delhi": "DEL",
-    "Mumbai": "BOM",
-    "Bengaluru": "BLR",
-    "Chennai": "MAA",
-    "Hyderabad": "HYD",
-    "Kolkata": "CCU",
-    "Ahmedabad": "AMD",
-    "Pune": "PNQ",
-    "Kochi": "COK",
-    "Goa": "GOI",
-}
-
 # Illustrative, unofficial demo basket.
 DEMO_WEIGHT_VERSION = "DEMO_FIXTURE_TOP_ROUTES_V1"
 DEMO_WEIGHT_SOURCE = "DEMO_FIXTURE"
