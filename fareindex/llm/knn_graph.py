@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Callable, Iterable, Iterator
@@ -25,10 +26,10 @@ class Graph:
     neighbours: int = 24        # that each node keeps
     trees: int = 6              # random orders that the first neighbours come from
     block: int = 192            # consecutive nodes of such an order that are compared
-    group: int = 48             # members of a neighbourhood that are compared at once; larger ones are dealt into several groups
+    group: int = 48             # lists that may name a node before its neighbourhood is dealt into several groups
     enough: float = 0.01        # share of changed neighbours below which the rounds end
-    beam: int = 48              # candidates that a query keeps
-    expand: int = 8             # of them that a step looks up the neighbours of
+    beam: int = 128             # candidates that a query keeps
+    expand: int = 48            # of them that a step looks up the neighbours of
     entries: int = 256          # nodes from which queries start that are not in the graph
 
 
@@ -156,50 +157,105 @@ def _compare(dim: int, g: Graph) -> Callable[[Iterable[pa.RecordBatch]], Iterato
     return run
 
 
+def _listed(edges: DataFrame, g: Graph) -> DataFrame:
+    """The nearest `neighbours` of each node, `worst`, the score that a further one must exceed, and `first`, true in one row of each node."""
+    whole = Window.partitionBy("node")
+    order = whole.orderBy(F.desc("score"), "near")
+    kept = edges.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= g.neighbours)
+    worst = F.when(F.count(F.lit(1)).over(whole) >= g.neighbours, F.min("score").over(whole)).otherwise(F.lit(float("-inf")))
+    return kept.select("node", "near", "score", "fresh", worst.alias("worst"), (F.col("place") == 1).alias("first"))
+
+
+def _crowds(graph: DataFrame, dealt: DataFrame | None, g: Graph) -> DataFrame:
+    """Nodes that more than `group` others list, or that were such a round before: `node`, `groups`."""
+    lists = graph.select(F.col("near").alias("node"), F.lit(1).alias("one"), F.lit(False).alias("dealt"))
+    if dealt is not None:
+        lists = lists.unionByName(dealt.select("node", F.lit(0).alias("one"), F.lit(True).alias("dealt")))
+    counted = lists.groupBy("node").agg(F.ceil(F.sum("one") / g.group).cast("int").alias("groups"), F.max("dealt").alias("dealt"))
+    return counted.filter("groups > 1 OR dealt").select("node", F.greatest("groups", F.lit(1)).alias("groups"))
+
+
 def build(nodes: DataFrame, dim: int, g: Graph = Graph()) -> DataFrame:
     """The neighbour graph: `node`, `near`, `score`, up to `neighbours` rows a node.
 
     A round joins the neighbours of each node, in both directions, with their vectors and compares those that have not met; what is nearer
     than a member's farthest neighbour is merged into its list. A hub's many reverse neighbours are dealt into groups, anew each round; as
     its pairs meet only when they fall into one group, none of them counts as compared, until one group holds them all. Rounds end when few
-    lists change. Each round's graph is a written table.
+    lists change. Each round's graph is a written table, the only one beside the short list of hubs.
     """
     spark = nodes.sparkSession
     vectors = nodes.select("node", "vec")
     with _small_batches(spark, 2000):
-        graph = written(first_neighbours(nodes, dim, g).withColumn("fresh", F.lit(True)), "knn")
+        graph = written(_listed(first_neighbours(nodes, dim, g).withColumn("fresh", F.lit(True)), g), "knn")
     dealt = None  # nodes whose neighbours were in several groups in the round before
     for turn in itertools.count():
+        hubs = written(_crowds(graph, dealt, g), "knn-hubs")
+        dealt = hubs.filter("groups > 1")
         both = graph.select("node", "near", "fresh").unionByName(graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "fresh"))
-        around = both.groupBy("node", "near").agg(F.max("fresh").alias("fresh"))
-        degree = around.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / g.group).cast("int").alias("groups"))
-        worst = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= g.neighbours, F.min("score")).otherwise(F.lit(float("-inf"))).alias("worst"))
-        info = vectors.join(worst, "node").select(F.col("node").alias("near"), "vec", "worst")
+        around = both.groupBy("node", "near").agg(F.max("fresh").alias("fresh")).join(hubs, "node", "left")
+        info = vectors.join(graph.filter("first").select("node", "worst"), "node").select(F.col("node").alias("near"), "vec", "worst")
         member = F.struct(F.col("near").alias("id"), "fresh", "worst", "vec")
-        if dealt is not None:
-            degree = degree.join(dealt, "node", "left")
-        apart = (F.col("groups") > 1) | (F.lit(False) if dealt is None else F.coalesce("dealt", F.lit(False)))
-        degree = written(degree.select("node", "groups", apart.alias("apart")), "knn-groups")
-        dealt = degree.filter("groups > 1").select("node", F.lit(True).alias("dealt"))
-        groups = (around.join(degree, "node").withColumn("fresh", F.col("fresh") | F.col("apart"))
-                  .withColumn("part", F.pmod(F.xxhash64("near", F.lit(turn)), F.col("groups"))).join(info, "near")
+        groups = (around.withColumn("fresh", F.col("fresh") | F.col("groups").isNotNull())
+                  .withColumn("part", F.pmod(F.xxhash64("near", F.lit(turn)), F.coalesce("groups", F.lit(1)))).join(info, "near")
                   .groupBy("node", "part").agg(F.collect_list(member).alias("members")).filter(F.exists("members", lambda m: m["fresh"])))
         with _small_batches(spark, 500):
-            found = written(groups.select("members").mapInArrow(_compare(dim, g), EDGES).distinct(), "knn-found")
-        old = graph.select("node", "near", "score", F.lit(False).alias("fresh"))
-        merged = old.unionByName(found.withColumn("fresh", F.lit(True))).groupBy("node", "near").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
-        graph = written(_best(merged, g.neighbours), "knn")
+            found = groups.select("members").mapInArrow(_compare(dim, g), EDGES)
+            old = graph.select("node", "near", "score", F.lit(False).alias("fresh"))
+            merged = old.unionByName(found.withColumn("fresh", F.lit(True))).groupBy("node", "near").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
+            graph = written(_listed(merged, g), "knn")
         changed = graph.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("fresh").cast("long")).alias("fresh")).first()
         if not changed.n or changed.fresh <= g.enough * changed.n:
             break
     return graph.select("node", "near", "score")
 
 
-def _dots(dim: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+STATE = "query long, query_vec array<double>, node array<long>, score array<double>, done array<boolean>, nears array<long>, met array<long>, asks array<long>"
+ANSWERS = "query long, node long, score double, nears array<long>"
+
+
+def _answer(dim: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores of nodes for the queries that ask for them, in double precision, beside the nodes' neighbours."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = np.einsum("ij,ij->i", _matrix(batch.column("vec"), dim), _matrix(batch.column("query_vec"), dim))
-            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(score)], ["query", "node", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(score), batch.column("nears")], ["query", "node", "score", "nears"])
+
+    return run
+
+
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column, each as an array; a null one is empty."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+
+
+def _advance(g: Graph) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One step of each query: its new answers join its candidates, the best stay, and the nearest not looked up yet name the nodes to ask for next."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = batch.column("got")
+            fields = {name: _rows(pa.ListArray.from_arrays(got.offsets, got.values.field(name))) for name in ("node", "score")}
+            fields["nears"] = [x.reshape(-1, g.neighbours) for x in _rows(pa.ListArray.from_arrays(pa.compute.multiply(got.offsets, g.neighbours), got.values.field("nears").flatten()))]
+            old = {name: _rows(batch.column(name)) for name in ("node", "score", "done", "nears", "met")}
+            out = {name: [] for name in ("node", "score", "done", "nears", "met", "asks")}
+            for i in range(len(batch)):
+                node = np.r_[old["node"][i], fields["node"][i]].astype(np.int64)
+                score = np.r_[old["score"][i], fields["score"][i]].astype(float)
+                done = np.r_[old["done"][i], np.zeros(len(fields["node"][i]), bool)].astype(bool)
+                nears = np.r_[old["nears"][i].reshape(-1, g.neighbours), fields["nears"][i]].astype(np.int64)
+                best = np.lexsort((node, -score))[:g.beam]
+                node, score, done, nears = node[best], score[best], done[best], nears[best]
+                met, asks = old["met"][i].astype(np.int64), np.zeros(0, np.int64)
+                while not len(asks) and not done.all():
+                    now = np.flatnonzero(~done)[:g.expand]
+                    asks = np.setdiff1d(nears[now], met)
+                    done[now] = True
+                for name, value in zip(out, (node, score, done, nears.ravel(), np.r_[met, asks], asks)):
+                    out[name].append(value)
+            lists = {name: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)), pa.array(np.concatenate(rows)))
+                     for name, rows in out.items() if len(batch)}
+            if lists:
+                yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("query_vec"), *lists.values()], ["query", "query_vec", *lists])
 
     return run
 
@@ -207,48 +263,43 @@ def _dots(dim: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBa
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, dim: int, g: Graph = Graph()) -> DataFrame:
     """Greedy search: `query`, `node`, `score` of up to `beam` nodes a query. `queries` has `query`, `query_vec` and `start` (a node, or null).
 
-    Each step joins the nearest `expand` candidates that have not been looked up with the graph, scores nodes that the query has not met
-    in double precision and keeps the best `beam`; a query ends when all that it keeps have been looked up. The steps of all queries run as one join;
-    a step's state is a written table. Queries without start begin at the nearest of `entries` nodes.
+    A node's vector and its list of neighbours are one row of a table written once. Each step sends the nodes that a query asks for there,
+    scores them in double precision and hands back score and neighbours; the query keeps the best `beam` and asks for the neighbours,
+    not met before, of the nearest `expand` it has not looked up. It ends when all that it keeps have been looked up and leaves the later
+    steps. The steps of all queries run as one join; the state of those under way, one row each, is a written table. Queries without start
+    begin at the nearest of `entries` nodes.
     """
     spark = nodes.sparkSession
-    vectors = nodes.select("node", "vec")
-    queries = written(queries, "knn-queries")
-    doors = vectors.orderBy(F.xxhash64("node"), "node").limit(g.entries).collect() if not queries.filter("start IS NULL").isEmpty() else []
+    near = graph.groupBy("node").agg(F.collect_list("near").alias("near"))
+    listed = F.coalesce("near", F.array().cast("array<long>"))
+    padded = F.concat(listed, F.array_repeat("node", F.lit(g.neighbours) - F.size(listed)))  # a node among its own neighbours has been met
+    places = written(nodes.select("node", "vec").join(near, "node", "left").select("node", "vec", padded.alias("nears")), "knn-places")
+    doors = places.orderBy(F.xxhash64("node"), "node").limit(g.entries).collect() if not queries.filter("start IS NULL").isEmpty() else []
     door_ids, door_vecs = np.array([r.node for r in doors], np.int64), np.array([r.vec for r in doors], float).reshape(-1, dim)
 
     def enter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(door_ids):
                 best = door_ids[np.argmax(_matrix(batch.column("query_vec"), dim) @ door_vecs.T, axis=1)]
-                yield pa.RecordBatch.from_arrays([batch.column("query"), pa.array(best)], ["query", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("query_vec"), pa.array(best)], ["query", "query_vec", "start"])
 
-    starts = queries.filter("start IS NOT NULL").select("query", F.col("start").alias("node"))
+    starts = queries.filter("start IS NOT NULL").select("query", "query_vec", "start")
     if doors:
-        starts = starts.unionByName(queries.filter("start IS NULL").select("query", "query_vec").mapInArrow(enter, "query long, node long"))
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(vectors, "node").join(queries.select("query", "query_vec"), "query").select("query", "node", "vec", "query_vec")
-                .mapInArrow(_dots(dim), "query long, node long, score double"))
-
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-    still = Window.partitionBy("query").orderBy(F.col("done"), F.desc("score"), "node")
-
-    def marked(state: DataFrame) -> DataFrame:
-        """The best candidates of each query, and which of them this step looks up."""
-        kept = state.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= g.beam).drop("place")
-        return kept.withColumn("now", ~F.col("done") & (F.row_number().over(still) <= g.expand))
-
-    with _small_batches(spark, 5000):
-        state = written(marked(scored(starts.distinct()).withColumn("done", F.lit(False))), "knn-state")
-        met = state.select("query", "node")
-        while not state.filter("now").isEmpty():
-            reached = state.filter("now").select("query", "node").join(graph.select("node", "near"), "node").select("query", F.col("near").alias("node")).distinct()
-            new = written(scored(reached.join(met, ["query", "node"], "left_anti")), "knn-new")
-            met = written(met.unionByName(new.select("query", "node")), "knn-met")
-            old = state.select("query", "node", "score", (F.col("done") | F.col("now")).alias("done"))
-            state = written(marked(old.unionByName(new.withColumn("done", F.lit(False)))), "knn-state")
-    return state.select("query", "node", "score")
+        starts = starts.unionByName(queries.filter("start IS NULL").select("query", "query_vec").mapInArrow(enter, "query long, query_vec array<double>, start long"))
+    none = {"node": "array<long>", "score": "array<double>", "done": "array<boolean>", "nears": "array<long>"}
+    asks = F.array("start")
+    state = starts.select("query", "query_vec", *[F.array().cast(kind).alias(name) for name, kind in none.items()], asks.alias("met"), asks.alias("asks"))
+    with _small_batches(spark, 1000):
+        state, ended = written(state, "knn-state"), []
+        while not state.filter("size(asks) > 0").isEmpty():
+            asked = state.filter("size(asks) > 0")
+            answers = (asked.select("query", "query_vec", F.explode("asks").alias("node")).join(places, "node")
+                       .select("query", "node", "query_vec", "vec", "nears").mapInArrow(_answer(dim), ANSWERS)
+                       .groupBy("query").agg(F.collect_list(F.struct("node", "score", "nears")).alias("got")))
+            state = written(asked.drop("asks").join(answers, "query").mapInArrow(_advance(g), STATE), "knn-state")
+            ended.append(state.filter("size(asks) = 0"))
+    found = functools.reduce(DataFrame.unionByName, ended, state.limit(0))
+    return found.select("query", F.explode(F.arrays_zip("node", "score")).alias("hit")).select("query", "hit.node", "hit.score")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, g: Graph = Graph()) -> DataFrame:
