@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -18,6 +19,7 @@ from .sentencepiece_codec import SPACE, Pieces, load_pieces
 
 FLUSH = 300_000
 CACHE_ENTRIES = 400_000
+LONG = 64  # longer strings advance one by one, the others together with those of their length
 LOG10 = np.log(10.0)
 SCORED = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
           "rest array<struct<word: string, n: long>>")
@@ -69,10 +71,92 @@ def _arcs(pieces: Pieces, log_p: np.ndarray, strings: list[str], codes: np.ndarr
                 yield s, 1, bare, None, value
 
 
+def _log_sum(terms: list[float]) -> float:
+    top = max(terms)
+    return top if len(terms) == 1 or top == -math.inf else top + math.log(sum(math.exp(t - top) for t in terms))
+
+
+class _LongString:
+    """The lattice of one long string, walked in plain Python: a window of as many values as the longest piece has characters."""
+
+    def __init__(self, pieces: Pieces, log_p: list[float], string: str):
+        self.pieces, self.log_p, self.string = pieces, log_p, string
+        self.bare: dict[str, tuple[list[int], float]] = {}
+
+    def arcs(self, s: int) -> list[tuple[int, list[int], float]]:
+        """Length, pieces (several: bytes) and log-probability of every arc that starts at a place."""
+        step, log_p = self.pieces.step, self.log_p
+        out, single = [], False
+        for k in range(1, min(self.pieces.longest, len(self.string) - s) + 1):
+            got = step.get(self.string[s : s + k])
+            if got is None:
+                break
+            if got[0] >= 0:
+                single |= k == 1
+                out.append((k, [got[0]], log_p[got[0]]))
+        if not single:
+            char = self.string[s]
+            if char not in self.bare:
+                ids = self.pieces.unmatched(char)
+                self.bare[char] = ids, sum(log_p[i] for i in ids)
+            out.append((1, *self.bare[char]))
+        return out
+
+    def forward(self) -> Iterator[float]:
+        """Log of the summed probability of all segmentations of the first 0, 1, 2, ... characters."""
+        width = self.pieces.longest + 1
+        due: list[list[float]] = [[] for _ in range(width)]
+        due[0].append(0.0)
+        for s in range(len(self.string) + 1):
+            terms = due[s % width]
+            alpha = _log_sum(terms)
+            terms.clear()
+            yield alpha
+            if s < len(self.string):
+                for k, _, value in self.arcs(s):
+                    due[(s + k) % width].append(alpha + value)
+
+    def marginal(self) -> float:
+        alpha = 0.0
+        for alpha in self.forward():
+            pass
+        return alpha
+
+    def add_counts(self, out: np.ndarray, times: float) -> None:
+        """Expected counts of the pieces; one number for each character is held."""
+        alpha = np.fromiter(self.forward(), np.float64, len(self.string) + 1)
+        whole = float(alpha[-1])
+        width = self.pieces.longest + 1
+        beta = [0.0] * width
+        counts: Counter = Counter()
+        for s in range(len(self.string) - 1, -1, -1):
+            here, terms = float(alpha[s]), []
+            for k, ids, value in self.arcs(s):
+                after = value + beta[(s + k) % width]
+                terms.append(after)
+                weight = math.exp(here + after - whole)
+                for i in ids:
+                    counts[i] += weight
+            beta[s % width] = _log_sum(terms)
+        for i, n in counts.items():
+            out[i] += times * n
+
+
+def _split_long(strings: list[str]) -> tuple[list[int], list[str]]:
+    """Places of the long strings, and all strings with these left empty."""
+    long = [i for i, s in enumerate(strings) if len(s) > LONG]
+    return long, ["" if len(s) > LONG else s for s in strings] if long else strings
+
+
 def log_marginals(pieces: Pieces, log_p: np.ndarray, strings: list[str]) -> np.ndarray:
-    """Log of the summed probability of all segmentations of each string: the forward recursion, for all strings of a length at once."""
+    """Log of the summed probability of all segmentations of each string: the forward recursion, for all strings of a length at once,
+    long ones each for itself in time that grows with the length."""
     out = np.zeros(len(strings))
-    for places, codes in by_length(strings):
+    long, short = _split_long(strings)
+    plain = log_p.tolist() if long else []
+    for i in long:
+        out[i] = _LongString(pieces, plain, strings[i]).marginal()
+    for places, codes in by_length(short):
         n, size = codes.shape
         alpha = np.full((size + 1, n), -np.inf)
         alpha[0] = 0.0
@@ -85,7 +169,11 @@ def log_marginals(pieces: Pieces, log_p: np.ndarray, strings: list[str]) -> np.n
 def expected_counts(pieces: Pieces, log_p: np.ndarray, strings: list[str], times: np.ndarray) -> np.ndarray:
     """How often each piece occurs in the strings, each so many times, when every segmentation counts by its probability."""
     out = np.zeros(len(log_p))
-    for places, codes in by_length(strings):
+    long, short = _split_long(strings)
+    plain = log_p.tolist() if long else []
+    for i in long:
+        _LongString(pieces, plain, strings[i]).add_counts(out, float(times[i]))
+    for places, codes in by_length(short):
         n, size = codes.shape
         arcs = list(_arcs(pieces, log_p, strings, codes, places))
         alpha, beta = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
@@ -183,7 +271,8 @@ def _marginals(pieces: Pieces, model: LatticeModel, distinct: list[bytes]) -> np
 def score(docs: DataFrame, counts: DataFrame, end_count: int, lattice: LatticeModel, model: str, held_out: Column, head_words: int = Training.head_words) -> DataFrame:
     """Base and lattice scores (log10) of every whole text; one row for each row of `docs`, repeated and null ids included.
 
-    A null text is empty and has the end of the text only. The lattice model scores within the task. For the base, the counts of the
+    A null text is empty and has the end of the text only. The lattice model scores within the task, in time that grows with the length of a
+    text, also where it is one word of a megabyte. For the base, the counts of the
     `head_words` commonest words go to every task; each text's other words are joined with the counts and added up again.
     """
     known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()

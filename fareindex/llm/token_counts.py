@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 
@@ -17,7 +18,8 @@ from .common import slices, texts_of
 #: Fixed value: the pattern with which byte-level BPE splits a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 64  # remembered pre-tokens, and the longest of them
+LONG = 512                                # characters from which a pre-token is counted with places listed by rank
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -28,6 +30,12 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def every_other(at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of occurrences that overlap (a run of one symbol, beginning where `first` holds) every other one, from the left."""
+    place = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+    return at[place % 2 == 0]
+
+
 class MergeTable:
     """Byte symbols and ranked merges of a byte-level BPE file, for many sequences at a time."""
 
@@ -53,11 +61,59 @@ class MergeTable:
         self.pattern = regex.compile(PATTERN)
         self.cache: dict[str, int] = {}
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols."""
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
+
     def pair_ranks(self, symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Rank of each symbol with its right neighbour; none across sequences."""
-        key = symbols[:-1] << 20 | symbols[1:]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (owner[:-1] == owner[1:]), self.ranks[at], NO_RANK)
+        return np.where(owner[:-1] == owner[1:], self.ranks_of(symbols[:-1], symbols[1:]), NO_RANK)
+
+    def count_long(self, sequence: bytes) -> int:
+        """Symbols that survive in one long sequence.
+
+        The rounds are those of `count`, but the places of every pair wait in a list of its rank, and a round touches only the places of the
+        lowest rank and their neighbours. So the work grows with the length, whatever the number of rounds.
+        """
+        n = left = len(sequence)
+        symbols = self.symbol_of_byte[np.frombuffer(sequence, np.uint8)]
+        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        due: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            rank = self.ranks_of(symbols[at], symbols[after[at]])
+            at, rank = at[rank != NO_RANK], rank[rank != NO_RANK]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            edges = [0, *(np.flatnonzero(np.diff(rank)) + 1).tolist(), len(at)] if len(at) else []
+            for i, j in zip(edges[:-1], edges[1:]):
+                r = int(rank[i])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(due, r)
+                waiting[r].append(at[i:j])
+
+        wait(np.arange(n - 1))
+        while due:
+            rank = heapq.heappop(due)
+            at = np.unique(np.concatenate(waiting.pop(rank)))
+            at = at[(symbols[at] >= 0) & (after[at] < n)]
+            at = at[self.ranks_of(symbols[at], symbols[after[at]]) == rank]  # the others were merged meanwhile
+            if not len(at):
+                continue
+            at = every_other(at, np.r_[True, after[at[:-1]] != at[1:]])
+            gone = after[at]
+            symbols[at] = self.merged[rank]
+            symbols[gone] = -1
+            after[at] = after[gone]
+            inner = at[after[at] < n]
+            before[after[inner]] = inner
+            left -= len(at)
+            wait(np.unique(np.r_[before[at][before[at] >= 0], inner]))
+        return left
 
     def count(self, sequences: list[bytes]) -> np.ndarray:
         """Symbols that survive in each sequence.
@@ -79,10 +135,7 @@ class MergeTable:
             at = np.flatnonzero(hit)
             if not len(at):
                 break
-            # Occurrences that overlap (a run of one symbol) are taken from the left, every other one.
-            run = np.r_[True, np.diff(at) != 1]
-            place = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            at = at[place % 2 == 0]
+            at = every_other(at, np.r_[True, np.diff(at) != 1])
             symbols[at] = self.merged[rank[at]]
             live = per_symbol != NO_RANK
             live[at + 1] = False
@@ -90,7 +143,13 @@ class MergeTable:
         return out
 
     def remember(self, tokens: set[str]) -> None:
-        new = [t for t in tokens if t not in self.cache]
+        new = []
+        for t in tokens:
+            if t not in self.cache:
+                if len(t) >= LONG:
+                    self.cache[t] = self.count_long(t.encode("utf-8", "surrogatepass"))
+                else:
+                    new.append(t)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             self.cache.update(zip(part, self.count([t.encode("utf-8", "surrogatepass") for t in part]).tolist()))
@@ -104,8 +163,13 @@ class MergeTable:
             parts = self.special.split(text) if self.special else [text]
             extra.append(len(parts) - 1)
             split.append([t for part in parts for t in self.pattern.findall(part)] if len(parts) > 1 else self.pattern.findall(text))
-        self.remember(set().union(*split))
-        return [n + sum(map(self.cache.__getitem__, tokens)) for n, tokens in zip(extra, split)]
+        distinct = set().union(*split)
+        self.remember(distinct)
+        counts = [n + sum(map(self.cache.__getitem__, tokens)) for n, tokens in zip(extra, split)]
+        for t in distinct:
+            if len(t) > CACHE_CHARS:
+                del self.cache[t]
+        return counts
 
 
 @functools.cache
@@ -117,7 +181,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     """Tokens of every whole text, as the tokenizer's library counts them without begin, end or added special tokens.
 
     One row for each row of `docs`, repeated and null ids included; a null text counts as empty (0 bytes, 0 tokens). No shuffle: each task
-    splits its texts, keeps a bounded memory of split tokens it has counted, and merges the others together. `tokenizer` is the path of a
+    splits its texts, keeps a bounded memory of short pre-tokens it has counted, and merges the others together. Time and memory grow
+    with the length of a text, also where it is one pre-token of a megabyte. `tokenizer` is the path of a
     byte-level BPE file which every executor can read.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -46,6 +47,25 @@ def test_token_counts_equal_the_library(spark, docs):
     assert token_counts.count_tokens(empty(spark), BPE).count() == 0
 
 
+def test_long_pre_tokens_equal_the_library():
+    merges, library, rng = token_counts.merge_table(BPE), Tokenizer.from_file(BPE), random.Random(2)
+    made = ["".join(rng.choices(letters, k=n)) for letters in ("etaoinshrdlu", "aab", "東京都中国日本語", "=-#") for n in (511, 512, 513, 4000)]
+    made += [c * n for c in ("a", "ab", "=", "=-") for n in (600, 601, 3001)] + [" " + "th" * 700, "x" * 700 + " the " + "the" * 400]
+    assert merges.count_texts(made) == [len(library.encode(t, add_special_tokens=False).ids) for t in made]
+    assert not any(len(t) > token_counts.CACHE_CHARS for t in merges.cache)
+
+
+def test_a_megabyte_without_spaces():
+    rng = random.Random(4)
+    text = "".join(rng.choices("etaoinshrdlucmfwyp", k=1_000_000))
+    start = time.monotonic()
+    parts = token_counts.merge_table(BPE).count_texts([text])[0]
+    p = codec.load_pieces(MODEL)
+    value = lattice_lm.log_marginals(p, lattice_lm.vocabulary_weights(p), [codec.SPACE + text])[0]
+    assert 300_000 < parts < 800_000 and -math.inf < value < 0
+    assert time.monotonic() - start < 120
+
+
 def whole_lattice(p, written):
     """Viterbi with every position held."""
     best, back = [0.0] + [-math.inf] * len(written), [None] * (len(written) + 1)
@@ -128,6 +148,30 @@ def test_marginals_and_expected_counts():
         assert counts[p.id_of[piece][0]] == pytest.approx(slope, abs=1e-4)
 
 
+def test_long_strings_equal_short_ones(monkeypatch):
+    p, rng = codec.load_pieces(MODEL), random.Random(6)
+    log_p = lattice_lm.vocabulary_weights(p)
+    strings = [codec.SPACE + "".join(rng.choices("abcdeilnorstué東😀", k=n)) for n in (1, 63, 64, 65, 200, 1000)] + ["x" * 300, "the"]
+    times = np.arange(1.0, len(strings) + 1)
+    monkeypatch.setattr(lattice_lm, "LONG", 10**9)
+    together, counts = lattice_lm.log_marginals(p, log_p, strings), lattice_lm.expected_counts(p, log_p, strings, times)
+    for limit in (0, 64):
+        monkeypatch.setattr(lattice_lm, "LONG", limit)
+        assert lattice_lm.log_marginals(p, log_p, strings) == pytest.approx(together, rel=1e-12)
+        assert lattice_lm.expected_counts(p, log_p, strings, times) == pytest.approx(counts, rel=1e-8, abs=1e-12)
+
+
+def test_score_of_a_text_sums_all_its_segmentations(spark):
+    rows = [(1, "the cat", "x"), (2, None, "x"), (3, "", "x"), (4, "Und 東 x", "x"), (1, "the cat", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    counts = lattice_lm.word_counts(frame.select("text"))
+    model = lattice_lm.fit_pieces(counts, frame.count(), MODEL)
+    p = codec.load_pieces(MODEL)
+    got = lattice_lm.score(frame, counts, frame.count(), model, MODEL, F.lit(False)).collect()
+    want = [(math.log(math.prod(segmentations(p, model.log_p, codec.SPACE + w) for w in (t or "").lower().split())) + model.end) / math.log(10) for _, t, _ in rows]
+    assert sorted(r.score for r in got) == pytest.approx(sorted(want))
+
+
 @pytest.mark.parametrize("head", [3, 10_000])
 def test_likelihood_base(docs, spark, head):
     held = bucket(F.col("doc_id"), 5) == 1
