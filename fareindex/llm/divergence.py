@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import SEPARATORS, slices, texts_of, words
+from .common import SEPARATORS, slices, texts_of, words, written
 
 SYMBOLS = "#*$%&|<>"         # fixed value: characters counted as symbols
 TRIMMED = b".,;:!?"          # punctuation that does not belong to a common word
@@ -37,16 +37,33 @@ class Rules:
     word_limit: float = 0.28
     word_slack: float = 1.2          # divided by the root of the number of words and added to the limit: what chance adds to the distance
     common_words: int = 50
-    min_share: float = 0.001         # a language has a reference from this share of the rows on, so there are 1000 at most
+    min_share: float = 0.001         # a language has a reference of its own from this share of the rows on, so there are 1000 at most,
+    ample_rows: int = 1000           # or from this number of rows on, if it is among
+    most_languages: int = 2000       # so many with most rows
+    pooled_limit: float = 0.35       # of the distance from the pooled reference, for texts of the other languages and of none
 
 
 @dataclass(frozen=True)
 class Reference:
-    """Histograms of one language: share of each character class, share of each common word and of all others."""
+    """Histograms of one language: share of each character class, share of each common word and of all others. The pooled one, for texts
+    whose language has none, takes all letters as one class, as scripts differ in case, and has no common words."""
 
     classes: np.ndarray
     common: dict[bytes, int] = field(default_factory=dict)
     shares: np.ndarray = field(default_factory=lambda: np.ones(1))
+    pooled: bool = False
+
+
+POOLED = None  # key of the pooled reference
+References = dict[str | None, Reference]
+
+
+def reference_of(lang: str | None, references: References) -> Reference | None:
+    return references.get(lang) or references.get(POOLED)
+
+
+def one_letter_class(classes: np.ndarray) -> np.ndarray:
+    return np.r_[classes[:3].sum(), classes[3:]]
 
 
 @functools.cache
@@ -131,34 +148,40 @@ def distances(text: str, m: Measured, ref: Reference | None, rules: Rules) -> tu
     """Distances of character classes and of common words; None where there is no reference or the text is too short."""
     by_class = by_word = None
     if ref is not None and len(text) >= rules.class_min_chars and ref.classes.sum() > 0:
-        by_class = distance(class_counts(text), ref.classes)
+        counts = class_counts(text)
+        by_class = distance(one_letter_class(counts) if ref.pooled else counts, ref.classes)
     if ref is not None and m.n_words >= rules.word_min_words and len(ref.common):
         place = np.fromiter((ref.common.get(common_form(w), len(ref.common)) for w in m.distinct), np.int64, len(m.distinct))
         by_word = distance(np.bincount(place[m.ids], minlength=len(ref.common) + 1), ref.shares)
     return by_class, by_word
 
 
-def judge(n_words: int, by_class: float | None, by_word: float | None, rules: Rules) -> bool:
-    return not ((by_class or 0.0) > rules.class_limit or (by_word is not None and by_word > rules.word_limit + rules.word_slack / n_words ** 0.5))
+def judge(n_words: int, by_class: float | None, by_word: float | None, ref: Reference | None, rules: Rules) -> bool:
+    limit = rules.pooled_limit if ref is not None and ref.pooled else rules.class_limit
+    return not ((by_class or 0.0) > limit or (by_word is not None and by_word > rules.word_limit + rules.word_slack / n_words ** 0.5))
 
 
-def _statistics(rules: Rules) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """By language, over the texts that pass the base rules: characters of each class, words of each common form, all words."""
-    def rows(lang: str, kind: str, counts: Iterable[tuple[str, int]]) -> pa.RecordBatch:
+def _statistics(rules: Rules, names: frozenset[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """By language, over the texts that pass the base rules: characters of each class, words of each common form, all words. Languages not
+    named count as none, and for none the characters only."""
+    def rows(lang: str | None, kind: str, counts: Iterable[tuple[str, int]]) -> pa.RecordBatch:
         keys, n = zip(*counts)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array([kind] * len(n)), pa.array(keys), pa.array(n, pa.int64())],
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([kind] * len(n)), pa.array(keys), pa.array(n, pa.int64())],
                                           ["lang", "kind", "key", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms: dict[str, Counter] = defaultdict(Counter)
-        classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
+        classes: dict[str | None, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
         total: Counter = Counter()
         for batch in slices(batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 m = measure(text or "")
                 if m.failed(rules):
                     continue
+                lang = lang if lang in names else POOLED
                 classes[lang] += class_counts(text)
+                if lang is POOLED:
+                    continue
                 total[lang] += m.n_words
                 counter = forms[lang]
                 for w, n in zip(m.distinct, np.bincount(m.ids, minlength=len(m.distinct)).tolist()):
@@ -173,39 +196,45 @@ def _statistics(rules: Rules) -> Callable[[Iterable[pa.RecordBatch]], Iterator[p
     return run
 
 
-def language_references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, Reference]:
-    """References of the languages that hold at least `min_share` of the rows, from all texts that pass the base rules.
+def language_references(docs: DataFrame, rules: Rules = Rules()) -> References:
+    """References of the languages with enough rows (`Rules`), from all texts that pass the base rules, and the pooled one of all these
+    texts under `POOLED`. No texts, or none that pass, give no references.
 
     Words are counted within each task, added up by a shuffle on (language, word) and cut to the commonest before they are brought
-    together; at most 1000 languages x (`common_words` + 8) rows reach the driver.
+    together; at most 3000 languages x (`common_words` + 8) rows reach the driver.
     """
-    langs = docs.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") >= rules.min_share * F.sum("n").over(Window.partitionBy())
-    names = [r.lang for r in langs.select("lang", share.alias("large")).filter("large AND lang IS NOT NULL").collect()]
-    if not names:
-        return {}
-    counted = (texts_of(docs, "lang").filter(F.col("lang").isin(names)).mapInArrow(_statistics(rules), "lang string, kind string, key string, n long")
+    langs = written(docs.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")), "languages")
+    total = langs.agg(F.sum("n")).first()[0] or 0
+    named = langs.filter("lang IS NOT NULL")
+    ample = named.filter(F.col("n") >= rules.ample_rows).orderBy(F.desc("n"), "lang").limit(rules.most_languages)
+    names = frozenset(r.lang for r in named.filter(F.col("n") >= rules.min_share * total).unionByName(ample).collect())
+    counted = (texts_of(docs, "lang").mapInArrow(_statistics(rules, names), "lang string, kind string, key string, n long")
                .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).filter("kind <> 'word' OR key <> ''"))
     most = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    rows = counted.withColumn("place", F.row_number().over(most)).filter(F.col("place") <= max(rules.common_words, len(CLASSES))).collect()
-    out = {}
-    for lang in names:
-        of = {kind: sorted(((r.place, r.key, r.n) for r in rows if r.lang == lang and r.kind == kind)) for kind in ("word", "class", "total")}
-        if not of["total"]:
-            continue
+    found: dict[str | None, dict[str, list]] = defaultdict(lambda: defaultdict(list))
+    for r in counted.withColumn("place", F.row_number().over(most)).filter(F.col("place") <= max(rules.common_words, len(CLASSES))).collect():
+        found[r.lang][r.kind].append((r.place, r.key, r.n))
+    out: References = {}
+    every = np.zeros(len(CLASSES))
+    for lang, of in found.items():
         by_class = {key: n for _, key, n in of["class"]}
         classes = np.array([by_class.get(c, 0) for c in CLASSES], float)
-        common = of["word"][: rules.common_words]
-        counts = np.array([n for _, _, n in common] + [of["total"][0][2] - sum(n for _, _, n in common)], float)
-        out[lang] = Reference(classes / classes.sum(), {key.encode("utf-8"): i for i, (_, key, _) in enumerate(common)}, counts / counts.sum())
+        every += classes
+        if lang is not POOLED:
+            common = sorted(of["word"])[: rules.common_words]
+            counts = np.array([n for _, _, n in common] + [of["total"][0][2] - sum(n for _, _, n in common)], float)
+            out[lang] = Reference(classes / classes.sum(), {key.encode("utf-8"): i for i, (_, key, _) in enumerate(common)}, counts / counts.sum())
+    if every.sum() > 0:
+        out[POOLED] = Reference(one_letter_class(every / every.sum()), pooled=True)
     return out
 
 
-def assess(docs: DataFrame, references: dict[str, Reference], rules: Rules = Rules()) -> DataFrame:
+def assess(docs: DataFrame, references: References, rules: Rules = Rules()) -> DataFrame:
     """Base counts, distances and verdict of every whole text; one row for each row of `docs`.
 
-    A null text has no words and fails the base rule. A language without reference (null and rare ones) and a text below a minimum
-    length have a null distance, which is never held against them. No shuffle.
+    A null text has no words and fails the base rule. A text of a language without reference (null and rare ones) is judged by its distance
+    from the pooled reference's character classes and has no word distance; a text below a minimum length has a null distance. Null
+    distances are never held against a text. No shuffle.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -213,22 +242,23 @@ def assess(docs: DataFrame, references: dict[str, Reference], rules: Rules = Rul
             for doc, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang"))):
                 m = measure(text or "")
                 failed = m.failed(rules)
-                by_class, by_word = distances(text or "", m, references.get(lang), rules)
+                ref = reference_of(lang, references)
+                by_class, by_word = distances(text or "", m, ref, rules)
                 out.append((doc, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words, failed,
-                            not failed and judge(m.n_words, by_class, by_word, rules), by_class, by_word))
+                            not failed and judge(m.n_words, by_class, by_word, ref, rules), by_class, by_word))
             kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [f.split()[0] for f in SCHEMA.split(", ")])
 
     return texts_of(docs, "lang").mapInArrow(run, SCHEMA)
 
 
-def keep(docs: DataFrame, references: dict[str, Reference], rules: Rules = Rules()) -> DataFrame:
+def keep(docs: DataFrame, references: References, rules: Rules = Rules()) -> DataFrame:
     """The rows of `docs`, all columns, that `assess` keeps."""
     @F.pandas_udf("boolean")
     def kept(text: pd.Series, lang: pd.Series) -> pd.Series:
         def one(t: str | None, name: str | None) -> bool:
-            m = measure(t or "")
-            return not m.failed(rules) and judge(m.n_words, *distances(t or "", m, references.get(name), rules), rules)
+            m, ref = measure(t or ""), reference_of(name, references)
+            return not m.failed(rules) and judge(m.n_words, *distances(t or "", m, ref, rules), ref, rules)
         return pd.Series([one(t, name) for t, name in zip(text, lang)], dtype=bool)
 
     return docs.filter(kept(F.col("text").cast("string"), F.col("lang").cast("string")))

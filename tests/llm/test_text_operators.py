@@ -226,6 +226,28 @@ def test_quality_distance_and_guards(spark):
     assert divergence.distances("x" * 50, divergence.measure("x" * 50), refs["en"], divergence.Rules()) == (None, None)
 
 
+def test_quality_of_rare_and_missing_languages(spark):
+    rng = random.Random(9)
+    some = lambda letters, n=90: " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(n)) + "."
+    latin, kanji, signs = "aeioutnrs", "東京都中国日本語海山川空", "#$%&*@~^0123456789"
+    rows = [(i, some(latin), "en") for i in range(400)]
+    rows += [(1000, some(latin), None), (1001, some(latin), "zz"), (1002, some(latin).upper(), None), (1003, some(kanji), "ja"),
+             (1004, some(kanji).replace(" ", "。 "), None), (2000, some(signs), None), (2001, some(signs), "zz"), (2002, "", None), (2003, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rules = divergence.Rules(min_share=0.005)  # two rows of 409 are a language
+    refs = divergence.language_references(frame, rules)
+    assert set(refs) == {"en", divergence.POOLED} and refs[None].pooled and refs[None].classes.sum() == pytest.approx(1)
+    by_id = {r.doc_id: r for r in divergence.assess(frame, refs, rules).collect()}
+    assert {i for i, r in by_id.items() if r.kept} == set(range(400)) | {1000, 1001, 1002, 1003, 1004}
+    assert all(by_id[i].class_distance > rules.pooled_limit and by_id[i].word_distance is None for i in (2000, 2001))
+    assert {r.doc_id for r in divergence.keep(frame, refs, rules).collect()} == {i for i, r in by_id.items() if r.kept}
+    ample = divergence.Rules(min_share=0.5, ample_rows=2)
+    assert set(divergence.language_references(frame, ample)) == {"en", "zz", None}
+    nameless = divergence.language_references(frame.withColumn("lang", F.lit(None).cast("string")))
+    assert set(nameless) == {None}
+    assert divergence.language_references(frame.filter("doc_id >= 2002")) == {}
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(7)
     plain = [f"w{i}x" for i in range(200)]
