@@ -6,37 +6,45 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import written
 
+SMALL_EDGES = 20_000  # edge lists up to this size take one task a round and no shuffle; longer ones are dealt out
 
-def _stars(edges: DataFrame, both: bool) -> DataFrame:
+
+def _together(df: DataFrame, small: bool) -> DataFrame:
+    return df.coalesce(1) if small else df
+
+
+def _stars(edges: DataFrame, both: bool, small: bool = False) -> DataFrame:
     """Join the neighbours of each node to its smallest one: its larger neighbours, or (not `both`) its smaller ones and itself.
 
     Edges lead from the larger node `a` to the smaller `b`. The smallest neighbour is a map-side combined minimum that is joined back, so
     a hub's neighbours are never brought together, and each edge is joined once.
     """
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    seen = edges.unionByName(turned) if both else edges
+    seen = _together(edges.unionByName(turned), small) if both else edges
     low = seen.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
     if both:
         return turned.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-    return (edges.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
-            .unionByName(low.select("a", F.col("low").alias("b"))).distinct())
+    rows = edges.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
+    return _together(rows.unionByName(low.select("a", F.col("low").alias("b"))), small).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """`id` and `component` (the smallest id that it reaches) of every node with an edge; `edges` has long columns `a` and `b`.
 
     Alternates large and small stars until nothing changes, a number of rounds that grows with the logarithm of the longest path. Each
-    round is a written table. Loops and repeated edges do no harm; no edges give no rows.
+    round is a written table. Loops and repeated edges do no harm; no edges give no rows. A list of few edges is not dealt out: its rounds
+    would be nothing but the start of tasks. Rounds never add edges, so it stays short.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    mark, small = None, False
     while True:
         new_mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if new_mark == mark or not new_mark[0]:
             break
-        mark = new_mark
-        now = written(_stars(_stars(now, True), False), "edges")
-    ends = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        small = small or new_mark[0] <= SMALL_EDGES
+        mark, now = new_mark, _together(now, small)
+        now = written(_stars(_stars(now, True, small), False, small), "edges")
+    ends = _together(now, small).select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ends.unionByName(ends.select(F.col("component").alias("id"), "component").distinct())
 
 

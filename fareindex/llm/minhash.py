@@ -197,10 +197,27 @@ def _links_of_blocks(part: pa.Table, near: Near) -> pa.Table:
     split = int((side == 0).sum()) if (side == 1).any() else 0
     if len(ids) < 2 or (side == 1).all():
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    common = _overlap_counts(owner, lists.flatten().to_numpy(zero_copy_only=False), len(ids), split).astype(np.int64)
-    union = sizes[: split or len(ids), None] + sizes[None, split:] - common
-    rows, columns = np.nonzero((100 * common >= near.percent * union) & (comps[: split or len(ids), None] != comps[None, split:]))
-    columns = columns + split
+    shingles = lists.flatten().to_numpy(zero_copy_only=False)
+    kinds, kind, counts = np.unique(comps, return_inverse=True, return_counts=True)
+    apart = np.flatnonzero(kind != counts.argmax())  # no pair of the commonest component can be wanted
+    if not len(apart):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if 2 * len(apart) * len(ids) < (split or len(ids)) * (len(ids) - split):
+        # Those of other components, once more and in front, are compared with all.
+        picked = np.isin(owner, apart)
+        number = np.zeros(len(ids), np.int64)
+        number[apart] = np.arange(len(apart))
+        one_owner, one = number[owner[picked]], shingles[picked]
+        shared = np.isin(shingles, one)
+        common = _overlap_counts(np.concatenate((one_owner, owner[shared] + len(apart))), np.concatenate((one, shingles[shared])), len(apart) + len(ids), len(apart))
+        rows, columns, two_sides = apart, np.arange(len(ids)), side[order][apart, None] != side[order][None, :] if split else True
+    else:
+        common = _overlap_counts(owner, shingles, len(ids), split)
+        rows, columns, two_sides = np.arange(split or len(ids)), np.arange(split, len(ids)), True
+    common = common.astype(np.int64)
+    union = sizes[rows, None] + sizes[None, columns] - common
+    at_rows, at_columns = np.nonzero((100 * common >= near.percent * union) & (comps[rows, None] != comps[None, columns]) & two_sides)
+    rows, columns = rows[at_rows], columns[at_columns]
     found = _forest(comps, rows, columns)
     one, two = ids[rows[found]], ids[columns[found]]
     return pa.table({"a": pa.array(np.maximum(one, two)), "b": pa.array(np.minimum(one, two))})
@@ -245,7 +262,7 @@ def link(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` and `kept` of each row: the smallest id that it reaches by links, and whether that is itself.
 
     Equal sets are one node, its smallest id. In each bucket every member is compared with the bucket's lead; while a bucket still holds
-    more than one component, further leads are tried, and what they leave is compared block by block inside tasks. So no link between
+    more than one component, further leads are tried as long as they link a fair part, and what they leave is compared block by block inside tasks. So no link between
     documents of one bucket is lost that would change a component, and no row stands for a pair of a group. Texts without words, and rows without id, have no
     links: the first are their own component, the others have none and are kept. Rows that repeat an id share its node and its fate.
     """
@@ -260,22 +277,30 @@ def link(docs: DataFrame, near: Near = Near()) -> DataFrame:
     edges = confirmed(buckets.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), sets, near)
     # A document that has several sets is the node of all of them.
     same_id = members.filter("rep IS NOT NULL AND rep <> doc_id").join(reps.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = written(components(written(edges.unionByName(same_id), "links")), "components")
+    found = written(components(edges.unionByName(same_id)), "components")
+    last = near.star_rounds
     for turn in range(1, near.star_rounds + 1):
         placed = buckets.join(found, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("lead"),
                                           F.min_by("component", F.xxhash64("id", F.lit(turn))).alias("lead_component")).filter("lo <> hi")
         open_ = written(placed.join(mixed.select("key", "lead", "lead_component"), "key"), "open-buckets")
-        if open_.isEmpty():
+        rows = open_.count()
+        if not rows:
             break
-        if turn < near.star_rounds:
+        if turn < last:
             more = open_.filter("component <> lead_component").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
             buckets = open_.select("id", "key")
             added = written(confirmed(more, sets, near), "links")
         else:
             added = written(_rest_links(open_, sets, near), "links")
-        if not added.isEmpty():
+        links = added.count()
+        if links:
             found = written(merged(found, added), "components")
+        if turn >= last:
+            break
+        # A document is in side * side buckets at most. Where fewer than a tenth of the open ones found a link, another lead would do no better.
+        if links * 10 * near.side ** 2 < rows:
+            last = turn + 1
     out = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),

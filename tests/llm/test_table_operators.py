@@ -332,3 +332,58 @@ def test_merged_components_equal_components_of_all_links(spark):
         assert {r.id: r.component for r in got if r.id in want} == want and len(got) == len({r.id for r in got})
         assert all(r.component == r.id for r in got if r.id not in want)
     assert merged(components(frame([])), frame([(5, 3)])).count() == 2
+
+
+def test_few_edges_are_not_dealt_out(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long").coalesce(1)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("few-edges", "few edges")
+    try:
+        assert {(r.id, r.component) for r in components(edges).collect()} == {(i, 0) for i in range(31)}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("few-edges") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(s.numCompletedTasks for s in stages if s) < 200
+
+
+def test_blocks_compare_only_what_can_join_components(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    near, sets = minhash.Near(words=1, percent=80), [np.where((x := rng.random(40)) < 0.08, 1000 + rng.integers(0, 90, 40), np.arange(40)) for _ in range(60)]
+    sets = [np.unique(s) for s in sets]
+    compared, plain = [], minhash._overlap_counts
+    monkeypatch.setattr(minhash, "_overlap_counts", lambda owner, shingles, n, split: compared.append(split) or plain(owner, shingles, n, split))
+
+    def links(comps, sides):
+        part = pa.table({"id": pa.array(range(60), pa.int64()), "component": pa.array(comps, pa.int64()), "n": pa.array(map(len, sets), pa.int64()),
+                         "side": pa.array(sides, pa.int32()), "shingles": pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))})
+        return [tuple(r.values()) for r in minhash._links_of_blocks(part, near).to_pylist()]
+
+    for sides in ([0] * 60, [i % 2 for i in range(60)]):
+        assert links([0] * 60, sides) == [] and not compared
+        comps = [i if i in (7, 20, 41) else 0 for i in range(60)]
+        wanted = {(a, b) for a in range(60) for b in range(a) if comps[a] != comps[b] and (sides[a] != sides[b] or not any(sides))
+                  and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+        found = links(comps, sides)
+        assert compared == [3] and set(found) <= wanted
+        assert union_find(set(comps), [(comps[a], comps[b]) for a, b in found]) == union_find(set(comps), [(comps[a], comps[b]) for a, b in wanted])
+        assert wanted
+        compared.clear()
+
+
+def test_leads_that_link_nothing_are_not_tried_again(spark, monkeypatch):
+    rng, base, labels, plain = random.Random(3), [f"w{i}" for i in range(120)], [], minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, label: labels.append(label) or plain(df, label))
+    texts = [" ".join(rng.choice(("x", "y", "z")) + str(i) if rng.random() < 0.04 else w for w in base) for i in range(60)]  # alike, yet below the limit
+    near = minhash.Near(words=3, percent=85, side=12, star_rounds=6)
+    rows = minhash.link(spark.createDataFrame([(i, t, "en", "s", len(t), None, 1) for i, t in enumerate(texts)], DOCS), near).collect()
+    sets = minhash.shingle_sets(texts, 3)
+    pairs = [(a, b) for a in range(60) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+    assert {r.doc_id: r.component_id for r in rows} == union_find(range(60), pairs)
+    assert labels.count("open-buckets") == 2 and "open-members" in labels
