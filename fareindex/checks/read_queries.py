@@ -350,7 +350,7 @@ def _(spark, sf):
 @query("i4_batch_ledger", f"""SELECT (SELECT count(*) FROM flawed) AS rows, (SELECT count(*) FROM assessed WHERE {LOST}) AS rejected, (SELECT count(*) FROM accepted WHERE copy_no = 1) AS added, 0 AS added_by_second_feed""")
 def _(spark, sf):
     landing, table = (work_dir(spark, n) for n in ("landing", "fares"))
-    td.flawed_quotes(spark, sf).repartition(8, "ingest_seq").write.parquet(landing)
+    td.land(td.flawed_quotes(spark, sf), landing, 8)
     for feed in ("one", "two"):
         ingest.run_ingest(ingest.raw_stream(spark, landing, files_per_batch=4), table, work_dir(spark, "stream"), stream=feed)
     of = lambda name, feed: F.sum(F.when(F.col("stream") == feed, F.col(name)))

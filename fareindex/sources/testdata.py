@@ -102,6 +102,15 @@ def flawed_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate_once(changed, *changed.columns)
 
 
+LANDING_GROUP = 8 << 20  # bytes of a row group
+
+
+def land(quotes: DataFrame, path: str, files: int) -> None:
+    """Write the quotes as so many files for a stream. A file is split between row groups only, so groups below the default size let the few
+    files of a batch be read by more tasks than there are files."""
+    quotes.repartition(files, "ingest_seq").write.option("parquet.block.size", LANDING_GROUP).parquet(path)
+
+
 def index_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes as clean index observations: positive fare, status VALID."""
     raw = raw_quotes(spark, sf_dir)

@@ -19,6 +19,7 @@ from ..operators.cleaning import DUPLICATE_KEY, accepted, assess, normalize_tidy
 from ..schemas import RAW_QUOTES, STORED_FARES
 from ..sources.stores import persist_observations, read_table
 
+HELD = (*[c.split()[0] for c in STORED_FARES.split(", ")], "ingest_seq")  # what the append needs of a row
 LEDGER_SCHEMA = "stream string, batch_id bigint, state string, rows bigint, rejected bigint, added bigint, noted_at timestamp"
 
 
@@ -51,6 +52,15 @@ def note(spark: SparkSession, table_path: str, stream: str, batch_id: int, state
         F.current_timestamp().alias("noted_at")).write.mode("append").parquet(ledger_path(table_path))
 
 
+def to_hold(batch: DataFrame) -> DataFrame:
+    """The columns of a batch that its append needs; of rejected rows the reason alone."""
+    names = [c for c in HELD if c in batch.columns]
+    if "reject_reason" not in batch.columns:
+        return batch.select(*names)
+    fine = F.col("reject_reason").isNull()
+    return batch.select(*[F.when(fine, F.col(c)).alias(c) for c in names], "reject_reason")
+
+
 def append_batch(batch: DataFrame, batch_id: int, table_path: str, stream: str) -> None:
     """Store one micro-batch of assessed or accepted rows exactly once, and its figures in the ledger.
 
@@ -67,7 +77,7 @@ def append_batch(batch: DataFrame, batch_id: int, table_path: str, stream: str)
         earlier = stored.filter(F.col("ingest_batch") == tag).count()
     else:
         note(spark, table_path, stream, batch_id, "opened")
-    held = batch.persist(StorageLevel.DISK_ONLY)
+    held = to_hold(batch).persist(StorageLevel.DISK_ONLY)
     try:
         lost = F.col("reject_reason").isNotNull() if "reject_reason" in batch.columns else F.lit(None).cast("boolean")
         rows, rejected = held.agg(F.count(F.lit(1)), F.sum(lost.cast("bigint"))).first()

@@ -153,3 +153,26 @@ def test_itineraries(spark):
     assert (row.airline, row.departure_time, row.cabin_class, row.fare_type, row.total_fare, row.currency, row.source) == (
         "IndiGo", "07:30", "ECONOMY", "UNKNOWN", 5200.5, "INR", "ignav")
     assert row.metadata["ignav_id"] == "i1" and row.metadata["requires_self_transfer"] == "false"
+
+
+def test_batch_holds_what_the_append_needs(spark, raw, tmp_path, monkeypatch):
+    seen, plain = [], ingest.persist_observations
+    monkeypatch.setattr(ingest, "persist_observations", lambda rows, *a, **b: seen.extend(rows.columns) or plain(rows, *a, **b))
+    quotes = raw(raw_row(1), raw_row(2), raw_row(3, flight_number="7"), raw_row(4, airline=None, base_fare=1e300))
+    path = str(tmp_path / "t")
+    ingest.append_batch(ingest.assessed_stream(quotes), 0, path, "s")
+    assert not {"origin", "destination", "lead_days", "quality_reason"} & set(seen) and {"ingest_seq", "metadata"} <= set(seen)
+    assert tuple(ingest.ledger(spark, path).select("rows", "rejected", "added").first()) == (4, 1, 2)
+
+
+def test_few_landing_files_hold_many_row_groups(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from fareindex.sources import testdata
+
+    monkeypatch.setattr(testdata, "LANDING_GROUP", 16 << 10)
+    rows = spark.range(20000).select(F.col("id").alias("ingest_seq"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    testdata.land(rows, str(tmp_path / "landing"), 2)
+    files = list((tmp_path / "landing").glob("*.parquet"))
+    assert len(files) == 2 and all(pq.ParquetFile(f).num_row_groups > 3 for f in files)
+    assert spark.read.parquet(str(tmp_path / "landing")).exceptAll(rows).isEmpty()
